@@ -16,50 +16,95 @@ NON_TECH = "non-tech content"
 ACCEPT_AT = 0.60
 
 
-def hits(text: Column, keywords: Iterable[str]) -> Column:
-    """How many list entries occur in ``text`` as plain substrings. One higher-order call over
-    a literal array: the plan does not grow with the list."""
-    return F.size(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(text, k)))
-
-
 def _quoted(keyword: str) -> str:
     return "".join(ch if ch.isalnum() or ch in " _-/" else "\\" + ch for ch in keyword)
 
 
-def whole_word_pattern(keywords: Iterable[str]) -> str:
-    """One alternation that finds any keyword between word boundaries. A boundary beside a
-    keyword that starts or ends in punctuation asks for a word character there."""
+def longest_of(keywords: Iterable[str]) -> str:
+    """Regex that matches the longest keyword at a position. Shared beginnings are factored out,
+    so a position costs a few comparisons however long the list is."""
+    tree: dict = {}
+    for k in keywords:
+        node = tree
+        for ch in k:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def regex(node):
+        ways = [_quoted(ch) + regex(below) for ch, below in node.items() if ch]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+    return regex(tree)
+
+
+def found_strings(text: Column, keywords: Iterable[str]) -> Column:
+    """Distinct strings found by looking for the longest keyword at **every** position of ``text``.
+    Any keyword that occurs in the text is the beginning of one of them."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({longest_of(keywords)}))"), F.lit(1)))
+
+
+def hits(found: Column, keywords: Iterable[str]) -> Column:
+    """How many list entries occur, as plain substrings, in the text that ``found`` comes from. One
+    higher-order call over a literal array: the plan does not grow with the list."""
+    return F.size(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.exists(found, lambda f: f.startswith(k))))
+
+
+def _by_edges(keywords: Iterable[str]) -> dict[tuple[bool, bool], list[str]]:
+    """Keywords by whether they start and end with a word character."""
     is_word = lambda ch: ch.isalnum() or ch == "_"
     shapes: dict[tuple[bool, bool], list[str]] = {}
     for k in keywords:
-        shapes.setdefault((is_word(k[0]), is_word(k[-1])), []).append(_quoted(k))
+        shapes.setdefault((is_word(k[0]), is_word(k[-1])), []).append(k)
+    return shapes
+
+
+def whole_word_pattern(keywords: Iterable[str]) -> str:
+    """One alternation that finds any keyword between word boundaries. A boundary beside a
+    keyword that starts or ends in punctuation asks for a word character there."""
     parts = []
-    for (start, end), group in shapes.items():
+    for (start, end), group in _by_edges(keywords).items():
         before = f"(?<!{WORD})" if start else f"(?<={WORD})"
         after = f"(?!{WORD})" if end else f"(?={WORD})"
-        parts.append(f"{before}(?:{'|'.join(group)}){after}")
+        parts.append(f"{before}{longest_of(group)}{after}")
     return "|".join(parts)
 
 
+def _word_finds(text: Column, keywords: Iterable[str]) -> Column:
+    """The keywords found as whole words, each with the neighbour word its boundary asks for, as a
+    short text. It holds exactly the whole-word matches of ``text``."""
+    parts = []
+    for (start, end), group in _by_edges(keywords).items():
+        before, after = ("" if start else f"{WORD}+"), (f"(?!{WORD})" if end else f"{WORD}+")
+        parts.append(f"{before}{longest_of(group)}{after}")
+    pattern = f"(?<!{WORD})(?=({'|'.join(parts)}))"
+    return F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), "\n")
+
+
 def topic_by_keywords(text: Column, vocab: Vocabulary) -> Column:
-    """First topic with a keyword in ``text`` (lower case), else the default topic."""
-    chain = None
-    for topic, keywords in vocab.topics:
-        hit = text.rlike(whole_word_pattern(keywords))
-        chain = F.when(hit, F.lit(topic)) if chain is None else chain.when(hit, F.lit(topic))
-    return chain.otherwise(F.lit(vocab.otherwise))
+    """First topic with a keyword in ``text`` (lower case), else the default topic. The text is read
+    once for the keywords of all topics; the topics are tried on the few finds."""
+    def first_topic(finds):
+        chain = F.when(finds == "", F.lit(vocab.otherwise))
+        for topic, keywords in vocab.topics:
+            chain = chain.when(finds.rlike(whole_word_pattern(keywords)), F.lit(topic))
+        return chain.otherwise(F.lit(vocab.otherwise))
+
+    return let(_word_finds(text, [k for _, keywords in vocab.topics for k in keywords]), first_topic)
 
 
 def keyword_scores(df: DataFrame, vocab: Vocabulary, title: str = "title", summary: str = "summary") -> DataFrame:
     text = F.lower(F.concat(F.col(title), F.lit(" "), F.col(summary)))
-    both = let(text, lambda t: F.struct(hits(t, vocab.tech).alias("t"), hits(t, vocab.reject).alias("r")))
+    both = let(found_strings(text, [*vocab.tech, *vocab.reject]), lambda found: F.struct(
+        hits(found, vocab.tech).alias("t"), hits(found, vocab.reject).alias("r")))
     return (df.withColumn("_hits", both)
             .withColumns({"tech_score": F.col("_hits.t"), "reject_score": F.col("_hits.r")}).drop("_hits"))
 
 
 def decide_from_scores(scores: Column) -> Column:
     """Model scores (best first) to a decision struct (topic, method, confidence, reason)."""
-    two = lambda c: F.format_string("%.2f", c)
+    two = lambda c: F.format_number(c, 2)  # rounds the binary value half to even
 
     def decision(topic, method, confidence, *reason):
         return F.struct(topic.alias("topic"), F.lit(method).alias("method"), confidence.alias("confidence"),

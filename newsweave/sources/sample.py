@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweave.operators.interactions import fold_interactions
+from newsweave.operators.ranking import position_in_group, top_k_per_group
 from newsweave.session import configure
-from newsweave.sources.tables import TOPICS, Tables
+from newsweave.sources.tables import TOPICS, Tables, spread_out
 
 AS_OF = "2024-01-15 12:00:00"
 
@@ -30,6 +31,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark, sf_dir, name) -> DataFrame:
+    return spread_out(read(spark, sf_dir, name), SCHEMAS[name].split()[0])
+
+
 def topic_of(index: Column) -> Column:
     """Topic label at ``index``, NULL past the last one."""
     return F.get(F.array(*[F.lit(t) for t in TOPICS]), index.cast("int"))
@@ -50,8 +55,10 @@ def sources(spark, sf_dir) -> DataFrame:
                     F.concat(F.lit("https://"), s, F.lit(".example.com/feed")).alias("feed_url")))
 
 
-def content(spark, sf_dir) -> DataFrame:
+def content(spark, sf_dir, spread: bool = False) -> DataFrame:
+    """Articles; ``spread`` deals a one-split file out to all cores for costly text work."""
     d = read(spark, sf_dir, "documents")
+    d = spread_out(d, "doc_id") if spread else d
     e = read(spark, sf_dir, "events").select((F.col("event_id")).alias("join_id"), "ts")
     k = F.col("doc_id")
     return (d.join(e, F.col("join_id") == k * 5, "left")
@@ -94,33 +101,33 @@ def tables(spark, sf_dir) -> Tables:
                   user_topics(spark, sf_dir), users(spark, sf_dir))
 
 
-def feed_items(spark, sf_dir) -> DataFrame:
-    """Entries as feeds deliver them: links shared across feeds, ``pos`` = document order."""
-    from newsweave.operators.ranking import position_in_group
-
+def _link() -> Column:
     k = F.col("doc_id")
-    ranked = position_in_group(
-        read(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], [k.desc()], "pos")
-    keyed = ranked.select(F.col("doc_id").alias("rank_id"), "pos")
-    return (read(spark, sf_dir, "documents").join(keyed, k == F.col("rank_id"))
-            .select(source_number(F.col("source")).alias("source_id"), F.col("source").alias("source_name"),
-                    (F.col("pos") - 1).alias("pos"),
-                    F.concat(F.lit("https://news.example.com/a/"),
-                             F.when(k % 5 == 0, k + 1).otherwise(k).cast("string")).alias("link"),
-                    title_of(F.col("text")).alias("title"), F.col("text").alias("summary"),
-                    topic_of(k % 9).alias("topic"), "doc_id"))
+    return F.concat(F.lit("https://news.example.com/a/"), F.when(k % 5 == 0, k + 1).otherwise(k).cast("string"))
+
+
+def feed_links(spark, sf_dir) -> DataFrame:
+    """Entries without their place in the feed; links are shared across feeds."""
+    return read(spark, sf_dir, "documents").select(
+        source_number(F.col("source")).alias("source_id"), F.col("source").alias("source_name"), _link().alias("link"),
+        title_of(F.col("text")).alias("title"), F.col("text").alias("summary"), topic_of(F.col("doc_id") % 9).alias("topic"), "doc_id")
+
+
+def feed_items(spark, sf_dir, cap: int | None = None) -> DataFrame:
+    """Entries as feeds deliver them, newest document first: ``pos`` is the 0-based place. With
+    ``cap`` only the first entries of each feed are placed."""
+    keys = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("_k"), "source")
+    order = [F.col("_k").desc()]
+    placed = top_k_per_group(keys, ["source"], order, cap, "_n") if cap else position_in_group(keys, ["source"], order, "_n")
+    return (feed_links(spark, sf_dir).join(placed.select("_k", (F.col("_n") - 1).alias("pos")), F.col("doc_id") == F.col("_k"))
+            .drop("_k"))
 
 
 def url_status(spark, sf_dir) -> DataFrame:
-    k = F.col("doc_id")
-    link = F.concat(F.lit("https://news.example.com/a/"), F.when(k % 5 == 0, k + 1).otherwise(k).cast("string"))
-    return (read(spark, sf_dir, "documents")
-            .select(link.alias("url"), F.when(k % 11 == 0, 404).otherwise(200).alias("status"))
+    """Crawl status per link."""
+    return (read(spark, sf_dir, "documents").select(_link().alias("url"), F.when(F.col("doc_id") % 11 == 0, 404).otherwise(200).alias("status"))
             .groupBy("url").agg(F.max("status").alias("status")))
 
 
 def stored_urls(spark, sf_dir) -> DataFrame:
-    k = F.col("doc_id")
-    return (read(spark, sf_dir, "documents").where(k % 4 == 0)
-            .select(F.concat(F.lit("https://news.example.com/a/"),
-                             F.when(k % 5 == 0, k + 1).otherwise(k).cast("string")).alias("article_url")).distinct())
+    return read(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(_link().alias("article_url")).distinct()

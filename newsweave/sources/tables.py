@@ -80,3 +80,10 @@ def distinct_users(tables: Tables) -> DataFrame:
 def one_user(df: DataFrame, user_id: int | None) -> DataFrame:
     """Restrict to one user; ``None`` keeps everybody."""
     return df if user_id is None else df.where(F.col("user_id") == F.lit(user_id))
+
+
+def spread_out(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a scan that has fewer splits than the session has cores, before costly per-row
+    work. A scan with enough splits - every large table - is left as it is: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
