@@ -74,11 +74,16 @@ def backfill_image(spark, d):
     return G.backfill_image(stored, offers).select("id", "image_url")
 
 
+TITLES = ["Python code review for cloud software. ", "Security patch for Linux servers. ", "Open source robotics platform. ", "Docker on the web. ",
+          "Housing policy of the minister. ", ""]
+
+
 def raw_entries(spark, d):
-    """Feed entries as they arrive: no topic, a picture on every second one."""
+    """Feed entries as they arrive: no topic, a telling title on most, a picture on every second one."""
     k = F.col("doc_id")
+    words = F.get(F.array(*[F.lit(w) for w in TITLES]), (k % 6).cast("int"))
     picture = F.when(k % 2 == 0, F.concat(F.lit("https://img.example.com/"), k.cast("string"), F.lit(".jpg")))
-    return S.feed_items(spark, d, 10).drop("topic").withColumns({"published_at": F.lit(None).cast("timestamp"), "image_url": picture})
+    return S.feed_items(spark, d, 10).drop("topic").withColumns({"title": F.concat(words, "title"), "published_at": F.lit(None).cast("timestamp"), "image_url": picture})
 
 
 def run_ingest(spark, d):
@@ -88,7 +93,8 @@ def run_ingest(spark, d):
 def _ingest_sql(body: str) -> str:
     from newsweave.catalog.text import EXCERPT, STRIP
 
-    cut = f"select * exclude (s, topic, summary), {EXCERPT} as summary from (select *, {STRIP.replace('{c}', 'summary')} as s from feed_items where pos < 10)"
+    titled = f"select * exclude (title, topic), [{', '.join(repr(w) for w in TITLES)}][cast(doc_id % 6 as int) + 1] || title as title from feed_items"
+    cut = f"select * exclude (s, summary), {EXCERPT} as summary from (select *, {STRIP.replace('{c}', 'summary')} as s from titled where pos < 10)"
     verdict = classified_sql().replace("from content)", "from cut)").replace("select id, title, summary", "select doc_id as id, title, summary", 1)
     verdict = verdict.replace("(select id, title, summary, lower(title", "(select doc_id as id, title, summary, lower(title").replace("select doc_id as id, title, summary, len", "select id, title, summary, len")
     winners = """select * from (select f.*, v.topic, v.method, v.confidence, row_number() over (partition by link order by pos, source_name) as rn
@@ -96,7 +102,7 @@ def _ingest_sql(body: str) -> str:
      where u.status = 200 and v.topic is not null and length(f.title) <= 255 and length(f.link) <= 255) where rn = 1"""
     inserts = "select w.* from winners w where link not in (select article_url from kept)"
     kept = f"select * from content where not (coalesce(published_at < {NOW} - interval 720 hour, false) and id not in (select content_id from likes))"
-    return sql("feed_items url_status content likes", body, cut=cut, verdict=verdict, winners=winners, kept=kept, inserts=inserts, rounds=ROUNDS)
+    return sql("feed_items url_status content likes", body, titled=titled, cut=cut, verdict=verdict, winners=winners, kept=kept, inserts=inserts, rounds=ROUNDS)
 
 
 @query(_ingest_sql("""select (select max(id) from content) + row_number() over (order by pos, source_name) as id, source_id, title,
@@ -326,4 +332,4 @@ def not_exists_singleton(spark, d):
 
 @query("select ts as value from events where event_id = (select event_id from events order by event_id limit 1)")
 def scalar_subquery(spark, d):
-    return M.first_row_value(S.read(spark, d, "events").withColumnRenamed("ts", "value"), "value", "event_id")
+    return M.first_row_value(S.read(spark, d, "events").select("event_id", F.col("ts").alias("value")), "value", "event_id")
