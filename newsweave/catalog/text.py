@@ -89,7 +89,7 @@ def noisy(spark, d):
             .when(k == 2, F.concat(lit(", https://x.example.com/"), i, lit(","), F.left(s, lit(15))))
             .when(k == 3, F.concat(lit("<p>"), s, lit("</p> Table of contents one two\n\nBody "), i))
             .when(k == 4, lit("")).otherwise(F.concat(lit("&amp; "), s, lit("..."))))
-    return scan_articles(S.tables(spark, d)).withColumn("summary", text)
+    return scan_articles(S.tables(spark, d, spread=True)).withColumn("summary", text)
 
 
 @query(sql("articles", f"select id, {clean_sql('summary')} as summary from noisy", noisy=NOISY))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.functions.text import WORD, let, sanitize_pii
+from newsweave.functions.text import WORD, computed_once, let, sanitize_pii
 from newsweave.functions.vocabulary import Vocabulary
 from newsweave.schemas import CLASSIFICATION, SCORES
 
@@ -98,8 +98,8 @@ def keyword_scores(df: DataFrame, vocab: Vocabulary, title: str = "title", summa
     text = F.lower(F.concat(F.col(title), F.lit(" "), F.col(summary)))
     both = let(found_strings(text, [*vocab.tech, *vocab.reject]), lambda found: F.struct(
         hits(found, vocab.tech).alias("t"), hits(found, vocab.reject).alias("r")))
-    return (df.withColumn("_hits", both)
-            .withColumns({"tech_score": F.col("_hits.t"), "reject_score": F.col("_hits.r")}).drop("_hits"))
+    return (computed_once(df, _hits=both).withColumns({"tech_score": F.col("_hits.t"), "reject_score": F.col("_hits.r")})
+            .drop("_hits"))
 
 
 def decide_from_scores(scores: Column) -> Column:
@@ -154,19 +154,19 @@ def classify(df: DataFrame, vocab: Vocabulary | None = None, title: str = "title
     t, r = F.col("tech_score"), F.col("reject_score")
     model = decide_from_scores(F.col(scores)) if scores else F.lit(None).cast(
         "struct<topic:string,method:string,confidence:double,reason:string>")
-    df = df.withColumn("_rule", F.when(r >= 2, "keyword_reject").when((t >= 2) & (r == 0), "keyword_accept"))
-    df = df.withColumn("_model", F.when(F.col("_rule").isNull(), model))
-    df = df.withColumn("_rule", F.when(F.col("_rule").isNotNull(), F.col("_rule"))
-                       .when(F.col("_model").isNotNull(), "model")
-                       .when((t >= 3) & (t > r * 2), "keyword_fallback").otherwise("keyword_fallback_reject"))
+    by_rule = F.when(r >= 2, "keyword_reject").when((t >= 2) & (r == 0), "keyword_accept")
+    df = df.withColumn("_model", F.when(by_rule.isNull(), model))
+    df = df.withColumn("_rule", F.coalesce(by_rule, F.when(F.col("_model").isNotNull(), "model").when(
+        (t >= 3) & (t > r * 2), "keyword_fallback").otherwise("keyword_fallback_reject")))
     rule = F.col("_rule")
     # the topic step reads the title once more in front of the text
     words = F.lower(F.concat(F.col(title), F.lit(" "), F.col(title), F.lit(" "), F.col(summary)))
-    by_words = let(words, lambda w: topic_by_keywords(w, vocab))
+    by_words = F.when(rule.isin("keyword_accept", "keyword_fallback"), let(words, lambda w: topic_by_keywords(w, vocab)))
+    df = computed_once(df.drop(topic), _words_topic=by_words)
     undecided = ~rule.isin("keyword_reject", "keyword_accept")
     score = lambda cap: F.least(t / F.lit(10.0), F.lit(cap))
     return df.withColumns({
-        topic: F.when(rule.isin("keyword_accept", "keyword_fallback"), by_words).when(rule == "model", F.col("_model.topic")),
+        topic: F.when(rule == "model", F.col("_model.topic")).otherwise(F.col("_words_topic")),
         "method": F.when(rule == "model", F.col("_model.method")).otherwise(rule),
         "ai_used": undecided if scores else F.lit(False),
         "confidence": F.when(rule == "keyword_reject", F.lit(0.0)).when(rule == "keyword_accept", score(0.95))
@@ -176,7 +176,7 @@ def classify(df: DataFrame, vocab: Vocabulary | None = None, title: str = "title
                    .when(rule == "keyword_accept", F.concat(F.lit("Strong tech keywords: "), t.cast("string")))
                    .when(rule == "keyword_fallback", F.concat(F.lit("Tech dominates: "), t.cast("string"), F.lit(" vs "), r.cast("string")))
                    .when(rule == "model", F.col("_model.reason")).otherwise(F.lit("Insufficient tech evidence")),
-    }).drop("_rule", "_model")
+    }).drop("_rule", "_model", "_words_topic")
 
 
 def undecided(df: DataFrame) -> DataFrame:

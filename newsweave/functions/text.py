@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's \s sees it, spelled out so every regex engine agrees.
@@ -18,6 +18,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns so that each is evaluated once per row. A plain projection is copied into
+    every filter and projection above that names it; the output of a generator is not."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from newsweave import clock
 from newsweave.functions import classify as C
-from newsweave.functions.text import excerpt, strip_markup, strip_quotes
+from newsweave.functions.text import computed_once, excerpt, strip_markup, strip_quotes
 from newsweave.functions.vocabulary import Vocabulary
 from newsweave.operators import articles as A
 from newsweave.operators.maintenance import job_result, retention_days, within_lengths
 from newsweave.operators.ranking import first_per_group, position_in_group, top_k_per_group
+from newsweave.session import cut_lineage
 from newsweave.sources.tables import Tables
 
 FEED_CAP = 10
@@ -75,8 +76,8 @@ def round_robin(eligible: DataFrame, stored: DataFrame, url: str = "link") -> Da
 
 def prepared(entries: DataFrame, vocab: Vocabulary | None = None, scores: str | None = None) -> DataFrame:
     """Entries with clean excerpt as ``summary`` and the classifier's verdict on (title, excerpt)."""
-    cut = entries.withColumn("summary", excerpt(strip_markup("summary")))
-    return C.classify(cut, vocab, scores=scores)
+    cut = computed_once(entries, _cut=excerpt(strip_markup("summary")))
+    return C.classify(cut.withColumn("summary", F.col("_cut")).drop("_cut"), vocab, scores=scores)
 
 
 def insert_new_articles(content: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -116,7 +117,8 @@ def ingest(t: Tables, feed_items: DataFrame, url_status: DataFrame, as_of, vocab
     entries = prepared(entry_defaults(feed_cap(feed_items, cap), as_of), vocab, scores)
     fits = within_lengths({"title": "title", "link": "article_url"})
     eligible = reachable(entries.where(A.has_topic() & fits), url_status)
-    winners = not_stored(first_wins_by_url(eligible), kept.select("article_url"))
+    # used four times below, and at most cap rows per feed: classified and chosen once
+    winners = cut_lineage(not_stored(first_wins_by_url(eligible), kept.select("article_url")))
     stop = last_round(winners).scalar()
     chosen = winners.where(F.col("pos") < stop)
     added = insert_new_articles(t.content, chosen)

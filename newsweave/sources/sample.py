@@ -96,8 +96,8 @@ def user_topics(spark, sf_dir) -> DataFrame:
             .select("user_id", F.explode(F.array_distinct(F.array(topic_of(u % 8), topic_of((u * 3 + 1) % 8)))).alias("topic")))
 
 
-def tables(spark, sf_dir) -> Tables:
-    return Tables(sources(spark, sf_dir), content(spark, sf_dir), interactions(spark, sf_dir),
+def tables(spark, sf_dir, spread: bool = False) -> Tables:
+    return Tables(sources(spark, sf_dir), content(spark, sf_dir, spread), interactions(spark, sf_dir),
                   user_topics(spark, sf_dir), users(spark, sf_dir))
 
 
