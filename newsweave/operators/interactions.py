@@ -16,12 +16,13 @@ def fold_interactions(state: DataFrame | None, log: DataFrame) -> DataFrame:
     Commands are ordered by (time, event_id); the old state comes before all of them. One
     aggregate by key with map-side combine, so a busy reader or article is not a hot task.
     """
-    commands = (log.select(*LOG).where(F.col("is_read").isNotNull() | F.col("is_liked").isNotNull())
-                .withColumn("_phase", F.lit(1)))
+    commands = log.select(*LOG).where(F.col("is_read").isNotNull() | F.col("is_liked").isNotNull())
+    order = ["interaction_at", "event_id"]
     if state is not None:
         before = state.select(*STATE, F.lit(0).cast("long").alias("event_id"), F.lit(0).alias("_phase"))
-        commands = before.unionByName(commands)
-    turn = F.struct("_phase", "interaction_at", "event_id")
+        commands = before.unionByName(commands.withColumn("_phase", F.lit(1)))
+        order = ["_phase", *order]
+    turn = F.struct(*order)
 
     def last_set(flag):
         seen = F.max_by(flag, F.when(F.col(flag).isNotNull(), turn))
@@ -29,7 +30,7 @@ def fold_interactions(state: DataFrame | None, log: DataFrame) -> DataFrame:
 
     return commands.groupBy("user_id", "content_id").agg(
         last_set("is_read"), last_set("is_liked"),
-        F.max_by("interaction_at", turn).alias("interaction_at"))
+        F.max("interaction_at").alias("interaction_at"))
 
 
 def mark_read(log: DataFrame, is_read: bool = True) -> DataFrame:

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from newsweave import clock
 from newsweave.operators import articles as A
 from newsweave.operators.ranking import HEAD_LIMIT, page, position_in_group, ranked_head, top_k_per_group
-from newsweave.sources.tables import Tables, distinct_users, one_user, topic_dimension
+from newsweave.session import cut_lineage
+from newsweave.sources.tables import TOPICS, Tables, distinct_users, one_user, topic_dimension
 from newsweave.operators.trends import briefing_sentence
 
 TURN = "_turn"
+#: Narrow rows (ids, positions, a list key) that may be broadcast when their number is bounded.
+BROADCAST_ROWS = 200_000
 
 
 # -- building blocks -------------------------------------------------------------------
@@ -43,9 +46,21 @@ def _most_reads(reads: DataFrame) -> int:
 
 
 def _head(articles: DataFrame, group: list[str], k: int) -> DataFrame:
+    """Newest ``k`` keys per group. Every feed uses its head several times, so it is ranked once and
+    written to the shared folder (at most groups x k narrow rows)."""
+    return cut_lineage(_ranked(articles, group, k))
+
+
+def _ranked(articles: DataFrame, group: list[str], k: int) -> DataFrame:
     return ranked_head(articles.select("id", *group, "published_at"), group, A.newest_first(), k, TURN, F.col("id"))
 
 
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a broadcast side when at most ``rows`` narrow rows are few enough; else as it is, for
+    a shuffle join whose skew AQE splits."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def unread_positions(members: DataFrame, reads: DataFrame, key: list[str], k: int, most_reads: int) -> DataFrame:
     """First ``k`` unread positions of every member: (key.., _turn, ordinal).
 
@@ -89,14 +104,15 @@ def general_digest(t: Tables, limit: int = 20, offset: int = 0) -> DataFrame:
     return _details(t, best).select(*A.SIMPLE).orderBy(*A.newest_first())
 
 
-def _unread_general(t: Tables, members: DataFrame, k: int, user_id=None) -> tuple[DataFrame, DataFrame]:
+def _unread_general(t: Tables, members: DataFrame, k: int, user_id=None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((user_id, id, ordinal) of the first ``k`` unread articles per member, ids they come from)."""
     reads = _reads(t, user_id)
-    most = _most_reads(reads)
+    most = _most_reads(reads) if most is None else most
     head = _head(_known(t), [], k + most)
-    seen = reads.join(head.select("id", TURN), "id").select("user_id", TURN).join(members, "user_id", "left_semi")
+    placed = _bounded(head.select("id", TURN), k + most)
+    seen = reads.join(placed, "id").select("user_id", TURN).join(members, "user_id", "left_semi")
     at = unread_positions(members, seen, ["user_id"], k, most)
-    chosen = at.join(head.select("id", TURN), TURN).select("user_id", "id", "ordinal")
+    chosen = at.join(placed, TURN).select("user_id", "id", "ordinal")
     return chosen, head
 
 
@@ -108,7 +124,7 @@ def personalized_digest(t: Tables, user_id: int | None = None, limit: int = 20,
     if include_read:
         head = _head(_known(t), [], k)
         slots = members.select("user_id", F.explode(F.sequence(F.lit(offset + 1), F.lit(k))).alias(TURN))
-        chosen = slots.join(head.select("id", TURN), TURN).select("user_id", "id", F.col(TURN).alias("ordinal"))
+        chosen = slots.join(_bounded(head.select("id", TURN), k), TURN).select("user_id", "id", F.col(TURN).alias("ordinal"))
     else:
         chosen, head = _unread_general(t, members, k, user_id)
     chosen = chosen.where(F.col("ordinal") > offset).withColumn("position", F.col("ordinal") - offset)
@@ -138,10 +154,12 @@ def fast_view(t: Tables, as_of, user_id: int | None = None) -> DataFrame:
     interests - newest 30 of seven days, read ones then dropped; fallback - nothing was left there:
     newest 10 unread of all topics; general - no interests: newest 30 unread.
     """
-    feed = topic_feed(t, as_of, 168, user_id, limit=30).where(A.unread())
-    feed = feed.withColumn("slot", F.lit("interests"))
+    candidates, recent = _interest_candidates(t, _known(t).where(A.since_hours(as_of, 168)), 30, user_id)
+    newest = top_k_per_group(candidates, ["user_id"], A.newest_first(), 30, "position")
+    unread = newest.join(_reads(t, user_id), ["user_id", "id"], "left_anti").select("user_id", "id", "position")
+    feed = _shown(t, unread, recent, "position").withColumn("slot", F.lit("interests"))
     interested = _interests(t, user_id).select("user_id").distinct()
-    served = _unread_interest_members(t, as_of, user_id)
+    served = unread.select("user_id").distinct()
     others = (one_user(distinct_users(t), user_id).join(served, "user_id", "left_anti")
               .join(interested.withColumn("_wants", F.lit(True)), "user_id", "left")
               .select("user_id", F.coalesce("_wants", F.lit(False)).alias("_wants")))
@@ -153,13 +171,6 @@ def fast_view(t: Tables, as_of, user_id: int | None = None) -> DataFrame:
     return feed.unionByName(_shown(t, chosen, head, "position", "slot"))
 
 
-def _unread_interest_members(t: Tables, as_of, user_id=None) -> DataFrame:
-    """Readers with an unread article among their newest 30 of seven days; keys only."""
-    candidates, _ = _interest_candidates(t, _known(t).where(A.since_hours(as_of, 168)), 30, user_id)
-    ranked = top_k_per_group(candidates, ["user_id"], A.newest_first(), 30, TURN)
-    return ranked.join(_reads(t, user_id), ["user_id", "id"], "left_anti").select("user_id").distinct()
-
-
 def fast_batch(t: Tables, as_of, user_id: int | None = None, offset: int = 0, limit: int = 20, cap: int = 10_000) -> DataFrame:
     """One page of unread articles per reader and how many there are (``total_unread``).
 
@@ -173,10 +184,11 @@ def fast_batch(t: Tables, as_of, user_id: int | None = None, offset: int = 0, li
             .groupBy("user_id").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
             .withColumn("list_key", F.array_join("topics", "\n")))
     # lists per set of interests
-    head = _head(_known(t).where(A.since_hours(as_of, 168) & A.has_topic()), ["topic"], cap)
+    head = _ranked(_known(t).where(A.since_hours(as_of, 168) & A.has_topic()), ["topic"], cap)
     wanted = sets.select("list_key", "topics").distinct().select("list_key", F.explode("topics").alias("topic"))
     lists = top_k_per_group(head.drop(TURN).join(wanted, "topic").select("list_key", "id", "published_at"),
                             ["list_key"], A.newest_first(), cap, TURN, spread_by=F.col("id"))
+    lists = cut_lineage(lists)
     sizes = lists.groupBy("list_key").agg(F.count("*").alias("_size"))
     reads = _reads(t, user_id)
     most = _most_reads(reads)
@@ -185,13 +197,14 @@ def fast_batch(t: Tables, as_of, user_id: int | None = None, offset: int = 0, li
             .select("user_id", TURN))
     seen_n = seen.groupBy("user_id").agg(F.count("*").alias("_seen"))
     at = unread_positions(members.select("user_id"), seen, ["user_id"], k, most).where(F.col("ordinal") > offset)
-    by_interest = (at.join(members, "user_id").join(lists.select("list_key", "id", TURN), ["list_key", TURN])
-                   .select("user_id", "id", "ordinal"))
+    # a page lies within the first k + most places of its list; there are at most 2^topics lists
+    near = _bounded(lists.where(F.col(TURN) <= k + most).select("list_key", "id", TURN), 2 ** len(TOPICS) * (k + most))
+    by_interest = at.join(members, "user_id").join(near, ["list_key", TURN]).select("user_id", "id", "ordinal")
     totals = (members.join(sizes, "list_key").join(seen_n, "user_id", "left")
               .select("user_id", (F.col("_size") - F.coalesce("_seen", F.lit(0))).alias("total_unread")))
     # readers without interests
     rest = everyone.join(_interests(t, user_id).select("user_id").distinct(), "user_id", "left_anti")
-    general, top = _unread_general(t, rest, k, user_id)
+    general, top = _unread_general(t, rest, k, user_id, most)
     known = _known(t).select("id")
     stored = known.agg(F.count("*").alias("n")).scalar()
     read_n = reads.join(rest, "user_id", "left_semi").join(known, "id", "left_semi").groupBy("user_id").agg(F.count("*").alias("_seen"))
@@ -200,8 +213,7 @@ def fast_batch(t: Tables, as_of, user_id: int | None = None, offset: int = 0, li
     chosen = (by_interest.unionByName(general.where(F.col("ordinal") > offset))
               .join(totals.unionByName(general_totals), "user_id")
               .withColumn("position", F.col("ordinal") - offset))
-    ids = chosen.select("id").distinct()
-    return _shown(t, chosen, ids, "position", "total_unread")
+    return _shown(t, chosen, lists.select("id").unionByName(top.select("id")), "position", "total_unread")
 
 
 # -- home ------------------------------------------------------------------------------
