@@ -1,9 +1,9 @@
 """Ranking without a hot task.
 
 ``row_number() <= k`` is planned by Spark with a group limit below the shuffle, so a
-group that holds a third of all rows sends at most k rows per map task. Past
-``GROUP_LIMIT`` that rule no longer applies, and exact positions of every row would
-put a whole group in one task; both cases are handled here.
+group that holds a third of all rows sends at most k rows per map task. For larger k those
+rows meet in slices first; and exact positions of *every* row, which would put a whole group
+in one task, come from a distributed sort.
 """
 
 from __future__ import annotations
@@ -11,25 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsweave.session import cut_lineage
+from newsweave.session import HEAD_LIMIT, cut_lineage
 
-#: Largest k Spark pushes below the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+#: Up to here the rows of all map tasks may meet in one task.
 GROUP_LIMIT = 1000
-#: Largest k kept on the window path; beyond it positions come from a distributed sort.
-HEAD_LIMIT = 10_000
 
 
-def top_k_per_group(df: DataFrame, group: list, order: list[Column], k: int, rank: str = "rank",
-                    spread_by: Column | None = None, spread: int = 64) -> DataFrame:
-    """First ``k`` rows of every group with their 1-based ``rank``.
+def top_k_per_group(df: DataFrame, group: list, order: list[Column], k: int, rank: str = "rank", spread: int = 64) -> DataFrame:
+    """First ``k`` rows of every group with their 1-based ``rank``; ``order`` must end in a unique key.
 
-    ``order`` must end in a unique key. For k above ``GROUP_LIMIT`` give ``spread_by`` (any
-    evenly spread column): each group is cut to k per slice first, then to k overall.
+    Every map task sends at most k rows per group. For k above ``GROUP_LIMIT`` the tasks are
+    gathered in ``spread`` slices that are cut to k each before the last cut.
     """
-    if k > GROUP_LIMIT and spread_by is not None:
-        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(spread_by), F.lit(spread)))
+    if k > GROUP_LIMIT:
         first = Window.partitionBy(*group, "_slice").orderBy(*order)
-        df = (sliced.withColumn("_cut", F.row_number().over(first))
+        df = (df.withColumn("_slice", F.spark_partition_id() % spread).withColumn("_cut", F.row_number().over(first))
               .where(F.col("_cut") <= k).drop("_cut", "_slice"))
     final = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
@@ -61,11 +57,10 @@ def position_in_group(df: DataFrame, group: list[str], order: list[Column], rank
             .select(*df.columns, (F.col("_at") - F.col("_from") + F.col("_before") + 1).cast("int").alias(rank)))
 
 
-def ranked_head(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank",
-                spread_by: Column | None = None) -> DataFrame:
-    """First ``k`` per group for any k: window path for small k, distributed sort beyond."""
+def ranked_head(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
+    """First ``k`` per group for any k: window path up to ``HEAD_LIMIT``, distributed sort beyond."""
     if k <= HEAD_LIMIT:
-        return top_k_per_group(df, group, order, k, rank, spread_by)
+        return top_k_per_group(df, group, order, k, rank)
     return position_in_group(df, group, order, rank).where(F.col(rank) <= k)
 
 

@@ -52,7 +52,7 @@ def _head(articles: DataFrame, group: list[str], k: int) -> DataFrame:
 
 
 def _ranked(articles: DataFrame, group: list[str], k: int) -> DataFrame:
-    return ranked_head(articles.select("id", *group, "published_at"), group, A.newest_first(), k, TURN, F.col("id"))
+    return ranked_head(articles.select("id", *group, "published_at"), group, A.newest_first(), k, TURN)
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -187,7 +187,7 @@ def fast_batch(t: Tables, as_of, user_id: int | None = None, offset: int = 0, li
     head = _ranked(_known(t).where(A.since_hours(as_of, 168) & A.has_topic()), ["topic"], cap)
     wanted = sets.select("list_key", "topics").distinct().select("list_key", F.explode("topics").alias("topic"))
     lists = top_k_per_group(head.drop(TURN).join(wanted, "topic").select("list_key", "id", "published_at"),
-                            ["list_key"], A.newest_first(), cap, TURN, spread_by=F.col("id"))
+                            ["list_key"], A.newest_first(), cap, TURN)
     lists = cut_lineage(lists)
     sizes = lists.groupBy("list_key").agg(F.count("*").alias("_size"))
     reads = _reads(t, user_id)

@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Largest k of a top-k per group that Spark cuts below the shuffle; larger ones use a distributed sort.
+HEAD_LIMIT = 10_000
+
 #: Settings the operators rely on. Only run-time (not static) options, so they can be
 #: applied to a session somebody else created.
 RUNTIME_CONF = {
@@ -19,6 +22,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(HEAD_LIMIT),
 }
 
 
