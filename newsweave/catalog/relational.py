@@ -224,7 +224,7 @@ def latest_page(spark, d):
     return R.page(S.content(spark, d).select("id", "topic", "published_at"), A.newest_first(), 50, 30)
 
 
-@query(None)
+@query(sql("content", f"select {KEYS} from content order by {NEWEST} limit 50"))
 def shuffle_page(spark, d):
     first = R.page(S.content(spark, d).select("id", "topic", "published_at"), A.newest_first(), 50)
     return R.shuffle_page(first, F.col("id"), 7)

@@ -433,16 +433,36 @@ def html_to_text(spark, d):
     return S.read_spread(spark, d, "pages").select("page_id", H.html_to_text("html").alias("text"))
 
 
-@query()
+# What is left of a page: its text, escaped, and its allowed tags. The script body of the pages holds a
+# quoted end tag, which is text there.
+LEFT = r"""regexp_replace(regexp_replace(replace(html, '"</p>"', '"&lt;/p&gt;"'), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')"""
+
+
+def left_of(html):
+    count = lambda pattern: F.size(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).cast("long")
+    return [F.regexp_replace(html, "<[^>]+>", "").alias("text"), count("<a href=\"").alias("links"), count("<p>").alias("paragraphs"),
+            count("(?i)<(?:script|style|nav|article|html)|onclick=").alias("refused")]
+
+
+@query(f"""select page_id, {LEFT} as text, len(regexp_extract_all(html, '<a href="')) as links,
+ len(regexp_extract_all(html, '<p>')) as paragraphs, 0 as refused from pages""")
 def sanitize_html(spark, d):
-    return S.read_spread(spark, d, "pages").select("page_id", H.sanitize_html("html").alias("html"))
+    return (S.read_spread(spark, d, "pages").select("page_id", H.sanitize_html("html").alias("html"))
+            .select("page_id", *left_of(F.col("html"))))
 
 
-@query()
+@query(f"""select page_id, {LEFT} as text, 0 as links, len(regexp_extract_all(html, '<p>')) as paragraphs, 0 as refused from pages""")
 def sanitize_user_html(spark, d):
-    return S.read_spread(spark, d, "pages").select("page_id", H.sanitize_user_html("html").alias("html"))
+    return (S.read_spread(spark, d, "pages").select("page_id", H.sanitize_user_html("html").alias("html"))
+            .select("page_id", *left_of(F.col("html"))))
+
+
+KEPT = "(?i)</?(" + "|".join(H.ARTICLE_TAGS) + ")(\\s[^>]*)?/?>"
+MARKED = f"""regexp_replace(regexp_replace(regexp_replace(replace(html, '"</p>"', '"&lt;/p&gt;"'), '(?s)<!--.*?-->', '', 'g'), '{KEPT}', chr(1), 'g'), '<[^>]+>', '', 'g')"""
+SHOWN = "replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
 
 
-@query()
+@query(f"""select page_id, case when length(s) > 200 then left(s, 200) || '...' else s end as summary from (select page_id, array_to_string(list_filter(
+ list_transform(string_split({MARKED}, chr(1)), lambda x: regexp_replace({SHOWN}, '\\A{WSP}+|{WSP}+\\z', '', 'g')), lambda x: x <> ''), ' ') as s from pages)""")
 def html_summary(spark, d):
     return S.read_spread(spark, d, "pages").select("page_id", H.html_summary("html").alias("summary"))

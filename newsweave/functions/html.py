@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html import escape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -73,7 +74,7 @@ class _Allowed(HTMLParser):
     """Markup with only the allowed tags and attributes; text of other tags stays, escaped."""
 
     def __init__(self, tags, attributes):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.tags, self.attributes, self.out, self.open = tags, attributes, [], []
 
     def handle_starttag(self, tag, attrs):
@@ -99,6 +100,13 @@ class _Allowed(HTMLParser):
     def handle_data(self, data):
         self.out.append(escape(data, quote=False))
 
+    def handle_entityref(self, name):
+        """A known entity stays as written; a bare ampersand is escaped."""
+        self.out.append(f"&{name};" if f"{name};" in html5 else f"&amp;{name}")
+
+    def handle_charref(self, name):
+        self.out.append(f"&#{name};")
+
     @classmethod
     def of(cls, html, tags, attributes):
         if not html:

@@ -239,6 +239,12 @@ def job_result(added: DataFrame, as_of) -> DataFrame:
         clock.instant(as_of).alias("run_at"))
 
 
+def failed_run(spark, error: str, as_of) -> DataFrame:
+    """Run-log row of a run that raised ``error``."""
+    return spark.range(1).select(F.lit(False).alias("success"), F.lit(None).cast("long").alias("articles_added"),
+                                 F.lit(error).alias("error"), clock.instant(as_of).alias("run_at"))
+
+
 def high_water_mark(run_log: DataFrame) -> DataFrame:
     """Time of the last successful run; one row, NULL before the first."""
     return run_log.where("success").agg(F.max("run_at").alias("last_ingested_at"))

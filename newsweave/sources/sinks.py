@@ -22,10 +22,10 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Replace exactly the partitions ``df`` holds. Rows are spread by partition and a hash, so a
-    large day is written by many tasks and a small one does not become many files."""
-    spread = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(8))) if partition_by else df
-    (spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
+    """Replace exactly the partitions ``df`` holds. The rebalance step gathers each partition into few
+    files and splits a partition that is too large for one task, whatever its share of the rows."""
+    (df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))
 
 
 def append(df: DataFrame, path: str) -> None:

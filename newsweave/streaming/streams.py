@@ -102,6 +102,12 @@ def fold_stream(log: DataFrame, out: str) -> DataFrame:
     return fold_interactions(None, log.sparkSession.read.parquet(table))
 
 
+def compact_commands(spark: SparkSession, table: str, out: str) -> None:
+    """Write the reduced commands of all batches of ``table`` to the new table ``out``: at most two rows
+    per (user, article), so the state view stays as large as the state."""
+    last_commands(spark.read.parquet(table)).write.mode("errorifexists").parquet(out)
+
+
 # -- windows ---------------------------------------------------------------------------
 
 def daily_topic_counts(stream: DataFrame, time: str, late: str = "1 day") -> DataFrame:
