@@ -62,6 +62,10 @@ REJECT = [
     "real estate", "property", "mortgage", "insurance", "loan", "debt", "credit card", "bank account", "savings",
     "retirement", "pension", "broker", "realtor", "apartment", "house", "rent", "lease", "investment advice",
     "stock tips", "forex trading", "commodity trading",
+    # promotional or spam-like wording
+    "tl;dr", "tldr", "elevate your", "get access to", "exclusive access", "limited offer", "act now",
+    "dont miss out", "don't miss out", "while supplies last", "hurry up", "last chance", "final days",
+    "expires soon", "time sensitive", "urgent", "important notice",
 ]
 
 # Topic keywords (whole words), in the order the topics are tried.

@@ -30,6 +30,40 @@ def test_decision_table(spark):
         assert not row.ai_used
 
 
+# Texts with their known scores and verdict.
+GOLDEN = [
+    ("New Python AI Features for Machine Learning and Cloud Computing",
+     "Python 3.12 introduces groundbreaking features for artificial intelligence, machine learning, kubernetes deployment, and docker containerization.",
+     10, 1, "keyword_fallback", 0.7, "Cloud Computing & DevOps"),
+    ("Get Lifetime Netflix Subscription for $99",
+     "Limited time offer! Lifetime subscription to Netflix and Hulu for only $99 (reg. $299). Don't miss out on this exclusive deal!",
+     0, 6, "keyword_reject", 0.0, None),
+    ("New Developer Hiring Policy Announced",
+     "Companies are adopting new policies for hiring software developers remotely. The policy focuses on skills rather than location.",
+     3, 2, "keyword_reject", 0.0, None),
+    ("Python Code Review Best Practices",
+     "Learn how to conduct effective code reviews in your team. This guide covers communication, feedback, and collaboration strategies.",
+     3, 0, "keyword_accept", 0.3, "Software Development & Web Technologies"),
+    ("Housing Policy Review by Minister",
+     "The National Development Minister announced a review of public housing policies, including income ceilings and eligibility criteria.",
+     1, 9, "keyword_reject", 0.0, None),
+    ("Tech Worker Salaries in Real Estate Market",
+     "How software engineer salaries are affecting the real estate and housing market. Property prices rise as tech companies expand.",
+     3, 5, "keyword_reject", 0.0, None),
+    ("Advanced Machine Learning Algorithms", "Deep learning and neural networks in artificial intelligence", 7, 0, "keyword_accept", 0.7, "AI & ML"),
+    ("New Ransomware Attack Methods", "Security researchers discover new encryption vulnerabilities", 2, 0, "keyword_accept", 0.2, "Cybersecurity & Privacy"),
+    ("Docker Container Orchestration", "Kubernetes deployment strategies for microservices architecture", 4, 0, "keyword_accept", 0.4, "Cloud Computing & DevOps"),
+    ("Best Wedding Photography Tips", "Learn how to capture beautiful wedding moments", 1, 1, "keyword_fallback_reject", 0.2, None),
+    ("Get lifetime access to documentaries for $200", "Limited time offer for premium streaming service", 1, 3, "keyword_reject", 0.0, None),
+    ("BTO income ceilings eligibility age for singles under review", "Minister announces housing policy changes", 0, 5, "keyword_reject", 0.0, None),
+]
+
+
+def test_golden_results(spark):
+    got = [(r.tech_score, r.reject_score, r.method, r.confidence, r.topic) for r in classified(spark, GOLDEN)]
+    assert got == [g[2:] for g in GOLDEN]
+
+
 def test_repeated_entries_count_twice(spark):
     row = classified(spark, [("senator", "")])[0]
     assert (row.reject_score, row.method) == (2, "keyword_reject")
