@@ -428,14 +428,15 @@ TEXT_SQL = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.
 
 
 @query(f"""select page_id, array_to_string(list_filter(list_transform(string_split({TEXT_SQL}, chr(1)), lambda x: regexp_replace(html_unescape_few(x), '\\A{WSP}+|{WSP}+\\z', '', 'g')), lambda x: x <> ''), ' ') as text
- from pages""".replace("html_unescape_few(x)", "replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"))
+ from pages""".replace("html_unescape_few(x)", "regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '&amp$', '&')"))
 def html_to_text(spark, d):
     return S.read_spread(spark, d, "pages").select("page_id", H.html_to_text("html").alias("text"))
 
 
 # What is left of a page: its text, escaped, and its allowed tags. The script body of the pages holds a
 # quoted end tag, which is text there.
-LEFT = r"""regexp_replace(regexp_replace(replace(html, '"</p>"', '"&lt;/p&gt;"'), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')"""
+COMPLETE = r"""replace(replace(regexp_replace(html, '&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)', chr(2) || '\1', 'g'), '&', '&amp;'), chr(2), '&')"""
+LEFT = r"""regexp_replace(regexp_replace(replace(COMPLETE, '"</p>"', '"&lt;/p&gt;"'), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')""".replace("COMPLETE", COMPLETE)
 
 
 def left_of(html):
@@ -458,7 +459,7 @@ def sanitize_user_html(spark, d):
 
 
 KEPT = "(?i)</?(" + "|".join(H.ARTICLE_TAGS) + ")(\\s[^>]*)?/?>"
-MARKED = f"""regexp_replace(regexp_replace(regexp_replace(replace(html, '"</p>"', '"&lt;/p&gt;"'), '(?s)<!--.*?-->', '', 'g'), '{KEPT}', chr(1), 'g'), '<[^>]+>', '', 'g')"""
+MARKED = f"""regexp_replace(regexp_replace(regexp_replace(replace({COMPLETE}, '"</p>"', '"&lt;/p&gt;"'), '(?s)<!--.*?-->', '', 'g'), '{KEPT}', chr(1), 'g'), '<[^>]+>', '', 'g')"""
 SHOWN = "replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
 
 

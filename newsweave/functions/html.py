@@ -70,6 +70,11 @@ class _Text(HTMLParser):
         return " ".join(page.nodes)
 
 
+#: An ampersand that starts no complete entity, and what stands for it while the markup is read.
+_BARE = re.compile("&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)")
+_HELD = "\ufdd0"
+
+
 class _Allowed(HTMLParser):
     """Markup with only the allowed tags and attributes; text of other tags stays, escaped."""
 
@@ -82,7 +87,7 @@ class _Allowed(HTMLParser):
             return
         kept = []
         for name, value in attrs:
-            value = value or ""
+            value = (value or "").replace(_HELD, "&")
             target = re.sub(r"[\x00-\x20]", "", value)
             unsafe = name in _LINKS and _ANY_SCHEME.match(target) and not _SAFE_SCHEME.match(target)
             if name in self.attributes.get(tag, ()) and not unsafe:
@@ -98,11 +103,11 @@ class _Allowed(HTMLParser):
             self.out.append(f"</{self.open.pop()}>")
 
     def handle_data(self, data):
-        self.out.append(escape(data, quote=False))
+        self.out.append(escape(data.replace(_HELD, "&"), quote=False))
 
     def handle_entityref(self, name):
-        """A known entity stays as written; a bare ampersand is escaped."""
-        self.out.append(f"&{name};" if f"{name};" in html5 else f"&amp;{name}")
+        """A known entity stays as written; the ampersand of an unknown one is escaped."""
+        self.out.append(f"&{name};" if f"{name};" in html5 else f"&amp;{name};")
 
     def handle_charref(self, name):
         self.out.append(f"&#{name};")
@@ -112,7 +117,7 @@ class _Allowed(HTMLParser):
         if not html:
             return ""
         page = cls(tags, attributes)
-        page.feed(re.sub(r"<!\[CDATA\[(.*?)\]\]>", r"\1", html, flags=re.S))
+        page.feed(_BARE.sub(_HELD, re.sub(r"<!\[CDATA\[(.*?)\]\]>", r"\1", html, flags=re.S)))
         page.close()
         page.out.extend(f"</{tag}>" for tag in reversed(page.open))
         return "".join(page.out)

@@ -89,7 +89,8 @@ def test_html(one):
     dirty = '<p onclick="x">a<script>evil()</script><a href="javascript:x" title="t">l</a><b>bold<br>'
     assert one(H.sanitize_html(c("h")), h=[dirty, "<![CDATA[<i>k</i>]]>"]) == [
         '<p>aevil()<a title="t">l</a><b>bold<br></b></p>', "<i>k</i>"]
-    assert one(H.sanitize_user_html(c("h")), h=['<p class="x">a<a href="h">b</a> &lt; c &copy; AT&T</p>']) == ["<p>ab &lt; c &copy; AT&amp;T</p>"]
+    assert one(H.sanitize_user_html(c("h")), h=['<p class="x">a<a href="h">b</a> &lt; c &copy; AT&T &amp</p>', "<b>x&nope;<script>a && b</script>"]) == [
+        "<p>ab &lt; c &copy; AT&amp;T &amp;amp</p>", "<b>x&amp;nope;a &amp;&amp; b</b>"]
 
 
 def test_company_word_match(one):
