@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsweave.catalog.registry import query
 from newsweave.catalog.text import classified_sql
 from newsweave.catalog.views import AS_OF as NOW
-from newsweave.catalog.views import VIEWS, sql
+from newsweave.catalog.views import sql
 from newsweave.operators import articles as A
 from newsweave.operators import maintenance as M
 from newsweave.plans import ingest as G
@@ -20,7 +20,8 @@ from newsweave.sources.sample import AS_OF
 
 @query(sql("feed_items", "select source_id, doc_id, pos, link from feed_items where pos < 10"))
 def feed_cap(spark, d):
-    return S.feed_items(spark, d, 10).select("source_id", "doc_id", F.col("pos").cast("long").alias("pos"), "link")
+    entries = S.feed_links(spark, d).select("source_id", "doc_id", "link")
+    return G.feed_cap_unplaced(entries, [F.col("doc_id").desc()]).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(sql("feed_items content", "select f.doc_id, f.link, c.id as existing_id, c.image_url as existing_image from feed_items f left join stored_rows c on c.article_url = f.link",
@@ -95,8 +96,7 @@ def _ingest_sql(body: str) -> str:
 
     titled = f"select * exclude (title, topic), [{', '.join(repr(w) for w in TITLES)}][cast(doc_id % 6 as int) + 1] || title as title from feed_items"
     cut = f"select * exclude (s, summary), {EXCERPT} as summary from (select *, {STRIP.replace('{c}', 'summary')} as s from titled where pos < 10)"
-    verdict = classified_sql().replace("from content)", "from cut)").replace("select id, title, summary", "select doc_id as id, title, summary", 1)
-    verdict = verdict.replace("(select id, title, summary, lower(title", "(select doc_id as id, title, summary, lower(title").replace("select doc_id as id, title, summary, len", "select id, title, summary, len")
+    verdict = classified_sql(source="cut", key="doc_id")
     winners = """select * from (select f.*, v.topic, v.method, v.confidence, row_number() over (partition by link order by pos, source_name) as rn
      from cut f join verdict v on v.id = f.doc_id join url_status u on u.url = f.link
      where u.status = 200 and v.topic is not null and length(f.title) <= 255 and length(f.link) <= 255) where rn = 1"""

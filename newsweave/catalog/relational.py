@@ -14,7 +14,6 @@ from newsweave.operators import ranking as R
 from newsweave.plans import feeds as P
 from newsweave.sources import sample as S
 from newsweave.sources.sample import AS_OF
-from newsweave.sources.tables import TOPICS
 
 NEWEST = "published_at desc nulls first, id"
 SIMPLE = ", ".join(A.SIMPLE)

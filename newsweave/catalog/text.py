@@ -222,8 +222,12 @@ def topic_sql(text: str) -> str:
     return f"(select case{chain} else {quoted(VOCAB.otherwise)} end from (select {wrapped} as m))"
 
 
-SCORED = f"""select id, title, summary, {score_sql(VOCAB.tech)} as tech_score, {score_sql(VOCAB.reject)} as reject_score from
- (select id, title, summary, lower(title || ' ' || summary) as t from content)"""
+def scored_sql(source: str = "content", key: str = "id") -> str:
+    return f"""select id, title, summary, {score_sql(VOCAB.tech)} as tech_score, {score_sql(VOCAB.reject)} as reject_score from
+ (select {key} as id, title, summary, lower(title || ' ' || summary) as t from {source})"""
+
+
+SCORED = scored_sql()
 WORDS = "lower(title || ' ' || title || ' ' || summary)"
 
 
@@ -238,7 +242,7 @@ def topic_by_keywords(spark, d):
     return S.content(spark, d, spread=True).select("id", X.let(text, lambda t: C.topic_by_keywords(t, VOCAB)).alias("topic"))
 
 
-def classified_sql(model: str | None = None) -> str:
+def classified_sql(model: str | None = None, source: str = "content", key: str = "id") -> str:
     ai = f"left join {model} m using (id)" if model else ""
     has = "m.method is not null" if model else "false"
     pick = (lambda c, otherwise: f"when rule = 'model' then m_{c} {otherwise}") if model else (lambda c, otherwise: otherwise)
@@ -251,7 +255,7 @@ def classified_sql(model: str | None = None) -> str:
  case when rule = 'keyword_reject' then 'Non-tech signals: reject=' || reject_score when rule = 'keyword_accept' then 'Strong tech keywords: ' || tech_score
   when rule = 'keyword_fallback' then 'Tech dominates: ' || tech_score || ' vs ' || reject_score {pick('reason', '')} else 'Insufficient tech evidence' end as reason
  from (select s.*{extra}, case when reject_score >= 2 then 'keyword_reject' when tech_score >= 2 and reject_score = 0 then 'keyword_accept' when {has} then 'model'
-  when tech_score >= 3 and tech_score > 2 * reject_score then 'keyword_fallback' else 'keyword_fallback_reject' end as rule from ({SCORED}) s {ai})"""
+  when tech_score >= 3 and tech_score > 2 * reject_score then 'keyword_fallback' else 'keyword_fallback_reject' end as rule from ({scored_sql(source, key)}) s {ai})"""
 
 
 CLASSIFIED = ["id", "tech_score", "reject_score", "method", "ai_used", "confidence", "topic", "reason"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from newsweave.catalog.registry import query
 from newsweave.catalog.views import AS_OF as NOW
 from newsweave.catalog.views import sql
-from newsweave.operators import articles as A
 from newsweave.operators import trends as T
 from newsweave.plans import dashboard as D
 from newsweave.sources import sample as S

@@ -39,15 +39,11 @@ def retention_rule(counts: DataFrame, as_of, min_fresh: int = 10, min_total: int
         "cutoff": F.when(enough, clock.hours_before(as_of, 24)).when(some, clock.hours_before(as_of, 48))})
 
 
-def _split_at(t: Tables, cutoff: Column) -> DataFrame:
-    """Content with ``_old``: published before the cutoff (undated articles and a NULL cutoff: no)."""
-    return t.content.withColumn("_old", F.coalesce(F.col("published_at") < cutoff, F.lit(False)))
-
-
 def _drop_old(t: Tables, cutoff: Column) -> DataFrame:
-    """Content without the old articles nobody likes. Only old ids meet the liked ids."""
-    marked = _split_at(t, cutoff)
-    expired = A.without_liked(marked.where("_old").select("id"), t.interactions).withColumnRenamed("id", "_gone")
+    """Content without the articles before ``cutoff`` that nobody likes. Only old ids meet the liked ids;
+    undated articles, and a NULL cutoff, delete nothing."""
+    old = t.content.where(F.col("published_at") < cutoff).select("id")
+    expired = A.without_liked(old, t.interactions).withColumnRenamed("id", "_gone")
     return t.content.join(expired, F.col("id") == F.col("_gone"), "left_anti")
 
 
