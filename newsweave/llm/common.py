@@ -54,3 +54,25 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 def once(build: Callable, *key):
     """``build(*key)``, made once in each Python worker."""
     return build(*key)
+
+
+_HELD: dict = {}
+
+
+def held(key, build: Callable):
+    """``build()`` for a key that names it for the life of the application (as a broadcast's id does), once in each worker."""
+    if key not in _HELD:
+        while len(_HELD) >= 4:
+            _HELD.pop(next(iter(_HELD)))
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def schema_of(df: DataFrame) -> str:
+    """The columns of ``df`` as the start of a schema text."""
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
+
+
+def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch with further columns behind its own."""
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), *columns.values()], [*batch.schema.names, *columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontaminate, pieces, simhash, toxicity
+from newsweave.llm import decontaminate, pieces, quality, simhash, toxicity
 from newsweave.llm.common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and the verdict of rules and perplexity bands for every document."""
+    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+
+
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a document where a benchmark item stands, with its span and number of edits."""

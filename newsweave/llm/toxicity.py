@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.common import cells, map_batches, once
+from newsweave.llm.common import cells, map_batches, once, schema_of, with_columns
 
 #: Most labelled rows of each class that are learnt from, and most characters of them in all
 #: (beyond one text, which is never cut).
@@ -217,7 +217,5 @@ def score(docs: DataFrame, model, text: str = "text", out: str = "score", gain:
         for b in batches:
             gains = [meter.gain(t) for t in cells(b, text)]
             scores = [by_gain[min(g, len(by_gain) - 1)] for g in gains]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(scores, pa.float64()), pa.array(gains, pa.int32())],
-                                             [*b.schema.names, out, gain])
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    return map_batches(kept, run, schema + f"`{out}` double, `{gain}` int")
+            yield with_columns(b, **{out: pa.array(scores, pa.float64()), gain: pa.array(gains, pa.int32())})
+    return map_batches(kept, run, schema_of(kept) + f"`{out}` double, `{gain}` int")
