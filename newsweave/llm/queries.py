@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontaminate, pieces, quality, simhash, toxicity
+from newsweave.llm import decontaminate, lmscore, pieces, quality, simhash, toxicity
 from newsweave.llm.common import crc32_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the backoff automaton, learnt from nine tenths of them, and the base score."""
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text they decode to, as digests."""
