@@ -10,7 +10,9 @@ weights of the arcs taken add up to its log-probability:
   seen c times has about c^b different words after it; b is solved so that the number of bigram types
   comes out right. D is the share of bigram types seen once among those seen once and twice.
 * ``P(w) = max(c(w) - d, 0) / N + d V / N * S(w)``, S the spelling: a modified Kneser-Ney model over
-  the bytes of the word types, at most 2^24 entries from any input.
+  the bytes of the word types, at most 2^24 entries from any input. Of S, one share in V + 1 (that of
+  one word type) goes to an arc that any unknown word may take, however it is spelt; the base score
+  counts all unknown words as one in this way, too.
 
 The model is never held as a whole. Documents are taken in blocks. A block asks for the counts of just
 the words and bigrams it has, telling its own training counts: sorted 64-bit hashes, dealt over buckets
@@ -185,7 +187,8 @@ def automaton_weights(block: Block, sums: np.ndarray, spell: np.ndarray, stats:
     c, cc = by_entry[:len(block.hashes)], by_entry[len(block.hashes):]
     n, types, once, twice, pairs, pairs_once, pairs_twice = stats[:7]
     d = np.clip(once / (once + 2 * twice), 0.05, 0.95) if once + twice else 0.5
-    word = np.maximum(c - d, 0) / n + d * types / n * spell if n else spell
+    spell = spell * types / (types + 1)
+    word = np.maximum(c - d, 0) / n + d * types / n * np.where(c > 0, spell, spell + 1 / (types + 1)) if n else spell + 1
     if pairs:
         log_sums = np.log(np.maximum(stats[7:], 1e-300))
         b = float(np.interp(np.log(pairs), log_sums, EXPONENTS))
