@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import decontaminate, lmscore, pieces, quality, simhash, toxicity
+from newsweave.llm import archives, decontaminate, lmscore, pieces, quality, simhash, toxicity
 from newsweave.llm.common import crc32_mod, table
+from newsweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +20,27 @@ def query(fn):
     return fn
 
 
+@query
+def op1_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an ARC archive, converted to WARC archives, which are read back."""
+    def page(uri: str):
+        return archives.key_of(F.col(uri)).cast("long")
+    records = archives.arc_table(archives.to_arc(table(spark, sf_dir, "pages"), "url", "html", key="page_id"))
+    path = scratch_path(spark, "warc")
+    archives.write_warc(archives.with_revisits(records, page("target_uri")), path)
+    return archives.warc_table(archives.read_archives(spark, path)).select(
+        page("target_uri").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to_uri").alias("refers_to"))
+
+
+ORACLE["op1_archives"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+     f as (select body, max(page_id) as first_id from p group by body)
+select page_id, strlen(body) as payload_bytes, sha1(body) as payload_digest,
+       case when strlen(body) >= 1000 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+       case when strlen(body) >= 1000 and page_id <> first_id then first_id end as refers_to
+from p join f using (body)"""
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
