@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import archives, decontaminate, lmscore, pieces, quality, simhash, toxicity
+from newsweave.llm import archives, attribution, decontaminate, lmscore, pieces, quality, simhash, toxicity, urlrules
 from newsweave.llm.common import crc32_mod, table
 from newsweave.session import scratch_path
 
@@ -47,6 +47,28 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the query: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op3_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+ORACLE["op3_urlrules"] = """
+with r(rhost, rpath, rverdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                          ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+     u as (select page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+     m as (select page_id, host, path, rhost || rpath as rule, rverdict,
+                  row_number() over (partition by page_id, host, path order by length(rhost || rpath) desc nulls last, length(rhost) desc) as n
+           from u left join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
+select page_id, host, path, rule, coalesce(rverdict, 'allow') as verdict from m where n = 1"""
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labelled ones outside the held-out fifth."""
@@ -63,6 +85,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+@query
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, the whole text encoded once; a token over a line's end goes to the line with most of it."""
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), attribution.default_encoder())
+
+
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a document where a benchmark item stands, with its span and number of edits."""
