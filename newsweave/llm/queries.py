@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import archives, attribution, decontaminate, lmscore, pieces, quality, simhash, toxicity, urlrules
+from newsweave.llm import archives, attribution, decontaminate, lmscore, pagetext, pieces, quality, simhash, toxicity, urlrules
 from newsweave.llm.common import crc32_mod, table
 from newsweave.session import scratch_path
 
@@ -91,6 +91,12 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(table(spark, sf_dir, "documents"), attribution.default_encoder())
 
 
+@query
+def op7_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pagetext.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), pagetext.train()).drop("html")
+
+
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a document where a benchmark item stands, with its span and number of edits."""
