@@ -62,7 +62,7 @@ _HELD: dict = {}
 def held(key, build: Callable):
     """``build()`` for a key that names it for the life of the application (as a broadcast's id does), once in each worker."""
     if key not in _HELD:
-        while len(_HELD) >= 4:
+        while len(_HELD) >= 2:
             _HELD.pop(next(iter(_HELD)))
         _HELD[key] = build()
     return _HELD[key]

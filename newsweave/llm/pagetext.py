@@ -34,7 +34,7 @@ from newsweave.llm.labelled_pages import LABELLED
 
 #: Least probability of a node whose text is given; added to every pair's count; steps and rate of the training, penalty by kind of look.
 CONTENT, ADDED, STEPS, RATE = 0.5, 0.5, 3000, 0.02
-PENALTY = {"word": 0.03, "tag": 0.05, "size": 0.5, "links": 0.3, "flow": 4.0}
+PENALTY = {"word": 0.03, "tag": 0.05, "size": 0.5, "links": 0.3, "loose": 0.05, "flow": 4.0}
 
 # Fixed by HTML: elements that start a block, that have no content, whose text is not shown, and what a new element ends.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -64,6 +64,8 @@ class Node:
     parent: int
     words: tuple[str, ...] = ()
     main: bool = False
+    #: Directly in the body of the page.
+    loose: bool = False
     #: Characters of text and of linked text directly in it, and below it as well.
     own: int = 0
     size: int = 0
@@ -157,7 +159,7 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                         break
             if tag == "hr":
                 continue
-            node = Node(tag, stack[-1][1])
+            node = Node(tag, stack[-1][1], loose=nodes[stack[-1][1]].tag in ("html", "body"))
             if NAMED.search(m[3]):
                 node.words, attributes = named_words(m[3])
                 node.main = "data-main" in attributes or (nodes[node.parent].main and "data-off" not in attributes)
@@ -186,6 +188,8 @@ def looks(n: Node) -> list[str]:
     out = [f"tag={n.tag}"]
     if n.size and n.tag not in FLOW:
         out += [f"size={min(4, int(math.log2(n.size + 1) / 2.5))}", f"links={min(3, 4 * n.linked // n.size)}"]
+    elif n.loose and n.size:
+        out.append("loose=flow")
     return out + [f"word={w}" for w in n.words] + [f"word={w[:5]}.." for w in n.words if len(w) > 5]
 
 
