@@ -260,3 +260,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     group = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = stored(named.join(group, "root").select("fp", "component_id"), "print-groups")
     return prints.join(of_print, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, words: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` with one row of each group: that with the smallest key. Rows with the same key are judged as one: the key
+    stays if it is the smallest of the group of any of them, and then the least of its rows stays."""
+    found = near_duplicates(docs, key, text, distance, words).groupBy(F.col(key).alias("_key")).agg(
+        F.max(F.col(key).eqNullSafe(F.col("component_id"))).alias("_stays"), F.count("*").alias("_rows"))
+    # only what is not a single row that stays
+    found = stored(found.where("not _stays or _rows > 1").select("_key", "_stays"), "verdicts")
+    judged = docs.join(found, docs[key].eqNullSafe(found["_key"]), "left")
+    single = judged.where("_stays is null").select(*docs.columns)
+    if found.where("_stays").isEmpty():
+        return single
+    return single.unionByName(judged.where("_stays").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.common import cells, map_batches, once, schema_of, with_columns
+from newsweave.llm.common import cells, map_batches, once, schema_of, stored, with_columns
 
 #: Most labelled rows of each class that are learnt from, and most characters of them in all
 #: (beyond one text, which is never cut).
@@ -190,21 +190,26 @@ def fit(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, tuple[floa
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None):
     """Fit on a bounded sample of the labelled rows: per class those with the smallest hash of their text, repeated texts once."""
     marked = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_toxic"))
-    rows = docs.where(learn) if learn is not None else docs
-    rows = rows.join(marked, rows[key] == marked["_key"]).where(F.length(text) > 0)
-    rows = rows.select(F.col(text).cast("string").alias("_text"), "_toxic", F.xxhash64(text).alias("_hash"))
-    picked = {}
+    rows = (docs.where(learn) if learn is not None else docs).select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"),
+                                                                     F.xxhash64(text).alias("_hash")).where("length(_text) > 0")
+    # ids, hashes and lengths tell which texts are within the bounds; only these texts are moved
+    narrow = stored(rows.select("_id", "_hash", F.length("_text").alias("_n")).join(marked, F.col("_id") == F.col("_key")).select("_id", "_hash", "_n", "_toxic"), "labelled")
+    chosen = []
     for y in (1, 0):
-        own = rows.where(F.col("_toxic") == y)
-        # first only hashes and lengths, to see how far the bounds reach; then the texts up to there
-        last, chars = None, 0
-        for r in own.groupBy("_hash").agg(F.max(F.length("_text")).alias("n")).orderBy("_hash").limit(TRAIN_ROWS).collect():
-            if last is not None and chars + r["n"] > TRAIN_CHARS:
+        chars = 0
+        for r in narrow.where(F.col("_toxic") == y).groupBy("_hash").agg(F.min("_id").alias("_id"), F.max("_n").alias("_n")).orderBy("_hash").limit(TRAIN_ROWS).collect():
+            if chars and chars + r["_n"] > TRAIN_CHARS:
                 break
-            last, chars = r["_hash"], chars + r["n"]
-        texts = own.where(F.col("_hash") <= last).groupBy("_hash").agg(F.first("_text").alias("_text")).collect() if last is not None else []
-        picked[y] = [r["_text"] for r in sorted(texts, key=lambda r: r["_hash"])]
-    return fit(picked[1], picked[0])
+            chosen.append((r["_id"], r["_hash"], y))
+            chars += r["_n"]
+    picked: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
+    if chosen:
+        # at most TRAIN_ROWS rows of each class
+        wanted = docs.sparkSession.createDataFrame(chosen, f"_want {docs.schema[key].dataType.simpleString()}, _wanted long, _y int")
+        found = rows.join(F.broadcast(wanted), (F.col("_id") == F.col("_want")) & (F.col("_hash") == F.col("_wanted"))).groupBy("_y", "_hash").agg(F.first("_text").alias("_text"))
+        for r in found.collect():
+            picked[r["_y"]].append((r["_hash"], r["_text"]))
+    return fit(*([t for _, t in sorted(picked[y])] for y in (1, 0)))
 
 
 def score(docs: DataFrame, model, text: str = "text", out: str = "score", gain: str = "gain") -> DataFrame:
