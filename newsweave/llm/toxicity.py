@@ -13,8 +13,8 @@ before, word, word after), so that copies of one document count once.
 
 Scoring reads whole texts: every window of ``WIDE`` words is compressed fast; where it gains,
 its words are compressed one by one (anchored behind a common string) with a fast and with a
-thorough search. The gain of a document is the best word's sum of both. Calibration: the share of
-toxic documents by gain on the labelled training rows, smoothed and made monotone, gives the score.
+thorough search. The gain of a document is the best word's sum of both. Calibration: the
+share of toxic documents at each gain, among the labelled training rows, gives the score.
 
 Only the label decides what is learnt; labels, ids, languages and sources are no part of a score.
 A bounded sample is learnt from: at most ``TRAIN_ROWS`` labelled rows of each class, those with the
@@ -43,6 +43,8 @@ from newsweave.llm.common import cells, map_batches, once, schema_of, stored, wi
 TRAIN_ROWS, TRAIN_CHARS = 4000, 8_000_000
 #: Words of a wide window; characters of a sequence; least likelihood ratio, contexts and factor that set it apart.
 WIDE, RUN, RATIO, CONTEXTS, FACTOR = 8, 5, 30.0, 3, 10.0
+#: Rows that the logistic curve counts for at each gain.
+PRIOR = 4.0
 #: Bytes of the dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
 #: Bytes that no UTF-8 text has, in a row that repeats nowhere: what every anchored word starts from.
@@ -144,18 +146,22 @@ class Meter:
 
 
 def calibrated(gains: list[int], labels: list[int], most: int = 40) -> list[float]:
-    """Share of toxic documents for each gain from 0 to ``most``, not falling: neighbours that fall are pooled."""
-    toxic, all_ = np.zeros(most + 1), np.zeros(most + 1)
-    for g, y in zip(gains, labels):
-        toxic[min(g, most)] += y
-        all_[min(g, most)] += 1
-    share = sum(labels) / max(1, len(labels))
+    """Probability of a toxic document for each gain from 0 to ``most``: the share of toxic rows at each gain, held to a logistic curve
+    in the gain (as ``PRIOR`` rows more) where rows are few, and not falling: neighbours that fall are pooled."""
+    x = np.column_stack([np.ones(len(gains)), np.minimum(gains, most) / 10])
+    y, w, penalty = np.array(labels, float), np.zeros(2), np.array([1e-3, 1e-2])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        w += np.clip(step, -2, 2)
+    curve = 1 / (1 + np.exp(-np.clip(w[0] + max(w[1], 0.0) * np.arange(most + 1) / 10, -30, 30)))
+    at = np.minimum(gains, most)
     pools: list[list[float]] = []
-    for t, n in zip(toxic, all_):
-        pools.append([t + 0.5 * share, n + 0.5, 1])
+    for t, n in zip(np.bincount(at, y, most + 1) + PRIOR * curve, np.bincount(at, minlength=most + 1) + PRIOR):
+        pools.append([float(t), float(n), 1])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             last = pools.pop()
-            pools[-1] = [x + y for x, y in zip(pools[-1], last)]
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
     return [t / n for t, n, times in pools for _ in range(int(times))]
 
 
