@@ -133,7 +133,7 @@ def converted(header: dict[str, str], payload: bytes) -> dict:
     digest = hashlib.sha1(payload)
     name = "\n".join([url, header.get("Archive-date", "-"), digest.hexdigest()])
     scheme = url.split(":", 1)[0].lower()
-    record_type = "response" if scheme in ("http", "https") or not url else "resource"
+    record_type = "response" if scheme in ("http", "https") or "://" not in url and scheme != "dns" else "resource"
     return {"record_id": f"<{uuid.uuid5(uuid.NAMESPACE_URL, name).urn}>", "record_type": record_type, "target_uri": url, "ip": header.get("IP-address", "-"),
             "date": iso_date(header.get("Archive-date", "")), "content_type": kind, "payload_bytes": len(payload), "payload_digest": digest.hexdigest()}
 
@@ -231,7 +231,7 @@ ARC_SCHEMA = pa.schema([*RECORD_FIELDS, ("payload", pa.binary())])
 def revisits(records: DataFrame, rank: Column, least: int = REVISIT_BYTES) -> DataFrame:
     """(record_id, first) of the records that repeat a payload of at least ``least`` bytes: of equal ones that with the largest
     ``rank`` (then the largest id) keeps it. Only ids and digests are moved; the maximum is combined in the tasks first."""
-    large = records.where((F.col("payload_bytes") >= least) & (F.col("record_type") == "response")).select(
+    large = records.where(F.col("payload_bytes") >= least).select(
         "record_id", "payload_digest", F.struct(rank.alias("rank"), F.col("record_id").alias("id"), F.col("target_uri").alias("uri")).alias("place"))
     first = large.groupBy("payload_digest").agg(F.max("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
     return large.join(first, "payload_digest").where("record_id <> first.id").groupBy("record_id").agg(F.max("first").alias("first"))

@@ -29,7 +29,8 @@ def op1_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     archives.write_warc(archives.with_revisits(records, page("target_uri")), path)
     return archives.warc_table(archives.read_archives(spark, path)).select(
-        page("target_uri").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to_uri").alias("refers_to"))
+        page("target_uri").alias("page_id"), "payload_bytes", "payload_digest",
+        F.when(F.col("record_type") == "revisit", "revisit").otherwise("response").alias("record_type"), page("refers_to_uri").alias("refers_to"))
 
 
 ORACLE["op1_archives"] = """
