@@ -24,7 +24,7 @@ def query(fn):
 def op1_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of an ARC archive, converted to WARC archives, which are read back."""
     def page(uri: str):
-        return archives.key_of(F.col(uri)).cast("long")
+        return archives.key_of(F.col(uri)).try_cast("long")
     records = archives.arc_table(archives.to_arc(table(spark, sf_dir, "pages"), "url", "html", key="page_id"))
     path = scratch_path(spark, "warc")
     archives.write_warc(archives.with_revisits(records, page("target_uri")), path)
