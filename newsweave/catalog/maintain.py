@@ -37,13 +37,14 @@ def reachability_filter(spark, d):
 
 
 WINNERS = """select * from (select f.*, row_number() over (partition by link order by pos, source_name) as rn from feed_items f join url_status u on u.url = f.link
- where f.pos < 10 and u.status = 200 and f.topic is not null) where rn = 1"""
+ where u.status = 200 and f.topic is not null) where rn = 1"""
 INSERTS = "select w.* from winners w where link not in (select article_url from stored)"
-ROUNDS = "select * from inserts where pos < (select coalesce(min(r.r), 11) from (select unnest(range(0, 11)) as r) r where r.r not in (select pos from inserts))"
+ROUNDS = """select * from inserts where pos < (select min(p.pos + 1) from (select -1 as pos union all select distinct pos from inserts) p
+ where p.pos + 1 not in (select pos from inserts))"""
 
 
 def eligible(spark, d):
-    return G.reachable(S.feed_items(spark, d, 10).where(A.has_topic()), S.url_status(spark, d))
+    return G.reachable(S.feed_items(spark, d).where(A.has_topic()), S.url_status(spark, d))
 
 
 @query(sql("feed_items url_status", "select link, doc_id, pos from winners", winners=WINNERS))
@@ -84,18 +85,18 @@ def raw_entries(spark, d):
     k = F.col("doc_id")
     words = F.get(F.array(*[F.lit(w) for w in TITLES]), (k % 6).cast("int"))
     picture = F.when(k % 2 == 0, F.concat(F.lit("https://img.example.com/"), k.cast("string"), F.lit(".jpg")))
-    return S.feed_items(spark, d, 10).drop("topic").withColumns({"title": F.concat(words, "title"), "published_at": F.lit(None).cast("timestamp"), "image_url": picture})
+    return S.feed_items(spark, d).drop("topic").withColumns({"title": F.concat(words, "title"), "published_at": F.lit(None).cast("timestamp"), "image_url": picture})
 
 
-def run_ingest(spark, d):
-    return G.ingest(S.tables(spark, d), raw_entries(spark, d), S.url_status(spark, d), AS_OF)
+def run_ingest(spark, d, cap: int | None = G.FEED_CAP):
+    return G.ingest(S.tables(spark, d), raw_entries(spark, d), S.url_status(spark, d), AS_OF, cap=cap)
 
 
-def _ingest_sql(body: str) -> str:
+def _ingest_sql(body: str, cap: int | None = G.FEED_CAP) -> str:
     from newsweave.catalog.text import EXCERPT, STRIP
 
     titled = f"select * exclude (title, topic), [{', '.join(repr(w) for w in TITLES)}][cast(doc_id % 6 as int) + 1] || title as title from feed_items"
-    cut = f"select * exclude (s, summary), {EXCERPT} as summary from (select *, {STRIP.replace('{c}', 'summary')} as s from titled where pos < 10)"
+    cut = f"select * exclude (s, summary), {EXCERPT} as summary from (select *, {STRIP.replace('{c}', 'summary')} as s from titled{f' where pos < {cap}' if cap else ''})"
     verdict = classified_sql(source="cut", key="doc_id")
     winners = """select * from (select f.*, v.topic, v.method, v.confidence, row_number() over (partition by link order by pos, source_name) as rn
      from cut f join verdict v on v.id = f.doc_id join url_status u on u.url = f.link
@@ -105,9 +106,18 @@ def _ingest_sql(body: str) -> str:
     return sql("feed_items url_status content likes", body, titled=titled, cut=cut, verdict=verdict, winners=winners, kept=kept, inserts=inserts, rounds=ROUNDS)
 
 
-@query(_ingest_sql("""select (select max(id) from content) + row_number() over (order by pos, source_name) as id, source_id, title,
+ADDED = """select (select max(id) from content) + row_number() over (order by pos, source_name) as id, source_id, title,
  replace(replace(summary, '"', ''), '''', '') as summary, link as article_url, topic, method as classification_method,
- cast(confidence as decimal(4,3)) as ai_confidence_score from rounds"""))
+ cast(confidence as decimal(4,3)) as ai_confidence_score from rounds"""
+
+
+@query(_ingest_sql(ADDED, None))
+def ingest_all_entries(spark, d):
+    """The ingest without a cap on the entries of a feed."""
+    return run_ingest(spark, d, None).added.select("id", "source_id", "title", "summary", "article_url", "topic", "classification_method", "ai_confidence_score")
+
+
+@query(_ingest_sql(ADDED))
 def ingest_batch(spark, d):
     return run_ingest(spark, d).added.select("id", "source_id", "title", "summary", "article_url", "topic", "classification_method", "ai_confidence_score")
 
@@ -139,13 +149,7 @@ def retention_counts(spark, d):
     return M.retention_counts(S.tables(spark, d), AS_OF)
 
 
-def few_likes(spark, d):
-    """Tables with likes of every 7th user only, so that retention has something to delete."""
-    t = S.tables(spark, d)
-    return t.with_(interactions=t.interactions.where("user_id % 7 = 0"))
-
-
-FEW = "select distinct content_id from interactions where is_liked and user_id % 7 = 0"
+FEW = "select distinct content_id from interactions where is_liked"
 RULE = f"""select *, case when fresh_today >= 10 then {NOW} - interval 24 hour when fresh_today > 0 and total_available > 20 then {NOW} - interval 48 hour end as cutoff from
  (select count(*) filter (where cast(published_at as date) = cast({NOW} as date)) as fresh_today,
  count(*) filter (where cast(published_at as date) = cast({NOW} as date) - 1) as yesterday_count, count(*) as total_available
@@ -154,7 +158,7 @@ RULE = f"""select *, case when fresh_today >= 10 then {NOW} - interval 24 hour w
 
 @query(sql("content interactions", "select id, published_at from content where not (coalesce(published_at < (select cutoff from rule), false) and id not in (select content_id from few))", few=FEW, rule=RULE))
 def retention_smart(spark, d):
-    return M.retention_smart(few_likes(spark, d), AS_OF).select("id", "published_at")
+    return M.retention_smart(S.tables(spark, d), AS_OF).select("id", "published_at")
 
 
 @query(sql("content interactions", """select fresh_today, yesterday_count, total_available, (select count(*) from content where published_at < (select cutoff from rule) and id not in (select content_id from few)) as deleted_count,
@@ -162,12 +166,12 @@ def retention_smart(spark, d):
  case when fresh_today >= 10 then 'Fresh content available (' || fresh_today || ' new articles)' when cutoff is not null then 'Limited fresh content (' || fresh_today || ' new), extended retention to 48h'
  else 'Insufficient fresh content (' || fresh_today || ' new articles). Preserving existing content to prevent empty site.' end as reason from rule""", few=FEW, rule=RULE))
 def retention_report(spark, d):
-    return M.retention_report(few_likes(spark, d), AS_OF)
+    return M.retention_report(S.tables(spark, d), AS_OF)
 
 
 @query(sql("content interactions", f"select id, published_at from content where not (coalesce(published_at < {NOW} - interval 240 hour, false) and id not in (select content_id from few))", few=FEW))
 def retention_days(spark, d):
-    return M.retention_days(few_likes(spark, d), AS_OF, 10).select("id", "published_at")
+    return M.retention_days(S.tables(spark, d), AS_OF, 10).select("id", "published_at")
 
 
 @query(sql("content sources interactions user_topics", """select 'sources' as name, count(*) as n from sources where id % 3 <> 0
@@ -207,10 +211,14 @@ def key_set_difference(spark, d):
     return M.key_set_difference(S.sources(spark, d), target(spark, d).withColumnRenamed("url", "feed_url"), "feed_url")
 
 
-@query(sql("sources", """select id, source_name, feed_url from sources where feed_url in (select url from target)
- union all select (select max(id) from sources) + row_number() over (order by url), name, url from target where url not in (select feed_url from sources)""", target=TARGET))
+@query(sql("sources", f"""select id, source_name, feed_url, timestamp '2024-01-01 00:00:00' + interval 1 hour * id as last_fetched_at,
+ timestamp '2023-01-01 00:00:00' as created_at, timestamp '2024-01-01 00:00:00' as updated_at from sources where feed_url in (select url from target)
+ union all select (select max(id) from sources) + row_number() over (order by url), name, url, null, {NOW}, {NOW} from target where url not in (select feed_url from sources)""", target=TARGET))
 def sync_sources(spark, d):
-    return M.sync_sources(S.sources(spark, d), target(spark, d))
+    old = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    present = S.sources(spark, d).withColumns({"last_fetched_at": old + F.make_interval(hours=F.col("id")),
+                                               "created_at": F.lit("2023-01-01 00:00:00").cast("timestamp"), "updated_at": old})
+    return M.sync_sources(present, target(spark, d), AS_OF)
 
 
 @query(sql("sources", f"""select id, case when id % 4 = 1 then 'new ' || id else source_name end as source_name,
@@ -260,9 +268,10 @@ def preference_defaults(spark, d):
 
 
 @query(sql("users", f"""select user_id, case when user_id % 5 = 0 then 'tldr' else summary_type end as summary_type,
- case when user_id % 5 = 0 then 'medium' else summary_length end as summary_length, case when user_id % 5 = 0 then {NOW} else updated_at end as updated_at from prefs""", prefs=PREFS))
+ case when user_id % 5 = 0 then 'medium' else summary_length end as summary_length, case when user_id % 5 = 0 then {NOW} else updated_at end as updated_at
+ from users left join prefs using (user_id) where user_id % 2 = 0 or user_id % 5 = 0""", prefs=PREFS))
 def set_preferences(spark, d):
-    """Valid patches for every 5th user; patches with an unknown length for every 7th are refused."""
+    """Valid patches for every 5th user, half of whom have no row yet; patches with an unknown length for every 7th are refused."""
     u = S.users(spark, d)
     good = u.where("user_id % 5 = 0").select("user_id", F.lit("tldr").alias("summary_type"), F.lit("medium").alias("summary_length"))
     bad = u.where("user_id % 7 = 0").select("user_id", F.lit("tldr").alias("summary_type"), F.lit("huge").alias("summary_length"))

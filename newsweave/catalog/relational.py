@@ -302,8 +302,8 @@ def fast_view(spark, d):
 @query(sql("user_topics users articles interactions", """
  select user_id, position, total_unread, id, published_at from (
   select user_id, id, published_at, row_number() over (partition by user_id order by rn) as position, count(*) over (partition by user_id) as total_unread
-  from feed where rn <= 10000 and not is_read
-  union all select user_id, id, published_at, rn, least(count(*) over (partition by user_id), 10000)
+  from feed where not is_read
+  union all select user_id, id, published_at, rn, count(*) over (partition by user_id)
   from unread where user_id not in (select user_id from user_topics)) where position <= 20""",
            feed=TOPICAL.format(now=NOW, hours=168), unread=UNREAD))
 def fast_batch(spark, d):

@@ -167,9 +167,11 @@ def topk_groups(spark, d):
     return T.content_top_topics(S.tables(spark, d))
 
 
-@query(sql("content", f"{STATS}, true as success, {NOW} as timestamp, 'Job status retrieved successfully' as message from content"))
+@query(sql("content", f"""{STATS}, (select list(concat_ws(':', topic, n) order by n desc, topic nulls first) from
+ (select topic, count(*) as n from content group by topic order by n desc, topic nulls first limit 5)) as top_topics,
+ true as success, {NOW} as timestamp, 'Job status retrieved successfully' as message from content"""))
 def job_status(spark, d):
-    return D.job_status(S.tables(spark, d), AS_OF)
+    return D.job_status(S.tables(spark, d), AS_OF).withColumn("top_topics", F.transform("top_topics", lambda r: F.concat_ws(":", r["topic"], r["count"].cast("string"))))
 
 
 @query(sql("content sources", f"""select s.id, s.source_name, count(c.id) as total_articles,

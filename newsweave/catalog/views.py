@@ -31,7 +31,7 @@ VIEWS = {
     "feed_items": (("topic_dim",), """select cast(substr(d.source,4) as int) as source_id, d.source as source_name,
  row_number() over (partition by d.source order by d.doc_id desc) - 1 as pos,
  concat('https://news.example.com/a/', cast(case when d.doc_id % 5 = 0 then d.doc_id + 1 else d.doc_id end as varchar(20))) as link,
- substr(split_part(d.text,'.',1),1,255) as title, d.text as summary, t.topic as topic, d.doc_id as doc_id
+ split_part(d.text,'.',1) as title, d.text as summary, t.topic as topic, d.doc_id as doc_id
  from documents d left join topic_dim t on t.k = d.doc_id % 9"""),
     "stored": (("feed_items",), "select distinct link as article_url from feed_items where doc_id % 4 = 0"),
     "url_status": (("feed_items",), "select link as url, max(case when doc_id % 11 = 0 then 404 else 200 end) as status from feed_items group by link"),

@@ -135,11 +135,14 @@ def url_sanitize(url: Column) -> Column:
 
 
 def blocked_hosts(df, blocklist, url: str = "url"):
-    """Rows whose host, or a parent domain of it, is in ``blocklist`` (column ``host``). Each host
-    is expanded to its few parent domains, then one equi semi join."""
-    labels = F.split(F.lower(url_domain(F.col(url))), r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                          lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = df.select(url).distinct().select(url, F.explode(parents).alias("_host"))
-    hit = keyed.join(blocklist.select(F.lower("host").alias("_host")), "_host", "left_semi").select(url).distinct()
-    return df.join(hit, url, "left_semi")
+    """Rows whose host, or a parent domain of it, is in ``blocklist`` (column ``host``). Only distinct hosts are expanded to
+    their few parent domains; a last label, which all hosts of a country share, only if the list has such an entry."""
+    host = F.lower(url_domain(F.col(url)))
+    listed = blocklist.select(F.lower("host").alias("_parent")).distinct()
+    short = listed.where(~F.contains("_parent", F.lit("."))).agg(F.count("*").alias("n")).scalar()
+    hosts = df.select(host.alias("_host")).distinct()
+    labels = F.split("_host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    keyed = hosts.select("_host", F.explode(parents).alias("_parent")).where(F.contains("_parent", F.lit(".")) | (short > 0))
+    hit = keyed.join(listed, "_parent", "left_semi").select("_host").distinct()
+    return df.withColumn("_host", host).join(hit, "_host", "left_semi").drop("_host")

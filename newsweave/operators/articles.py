@@ -56,8 +56,10 @@ def articles_with_interactions(t: Tables) -> DataFrame:
 
 
 def with_touches(articles: DataFrame, interactions: DataFrame) -> DataFrame:
-    """Articles with ``interaction_count`` and ``view_count`` (0 when nobody touched them)."""
-    joined = articles.join(per_article(interactions), F.col("id") == F.col("_cid"), "left").drop("_cid")
+    """Articles with ``interaction_count`` and ``view_count`` (0 when nobody touched them). The state is cut to these
+    articles before it is counted."""
+    own = interactions.join(articles.select(F.col("id").alias("content_id")).distinct(), "content_id", "left_semi")
+    joined = articles.join(per_article(own), F.col("id") == F.col("_cid"), "left").drop("_cid")
     return (joined.withColumn("interaction_count", F.coalesce("_touches", F.lit(0)))
             .withColumn("view_count", F.coalesce("_reads", F.lit(0))).drop("_touches", "_reads"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsweave import clock
 from newsweave.operators import articles as A
-from newsweave.operators.ranking import first_per_group
+from newsweave.operators.ranking import first_per_group, position_in_group
 from newsweave.schemas import MAX_LENGTHS
 from newsweave.sources.tables import Tables
 
@@ -103,19 +103,17 @@ def key_set_difference(current: DataFrame, target: DataFrame, key: str) -> DataF
             .unionByName(b.join(a, key, "left_anti").withColumn("change", F.lit("add"))))
 
 
-def sync_sources(current: DataFrame, target: DataFrame) -> DataFrame:
+def sync_sources(current: DataFrame, target: DataFrame, as_of=None) -> DataFrame:
     """Source table after a sync: sources whose feed is not in ``target`` (name, url) are gone, new
-    feeds are appended with the next ids in url order, known ones stay as they are."""
-    wanted = target.select(F.col("url").alias("feed_url"), "name").dropDuplicates(["feed_url"])
-    kept = current.join(wanted.select("feed_url"), "feed_url", "left_semi").select("id", "source_name", "feed_url")
-    new = wanted.join(current.select("feed_url"), "feed_url", "left_anti")
+    feeds are appended with the next ids in url order, known ones stay as they are, with all columns. New rows are
+    created and updated at ``as_of``; their other columns are NULL."""
+    wanted = target.groupBy(F.col("url").alias("feed_url")).agg(F.min("name").alias("source_name"))
+    kept = current.join(wanted.select("feed_url"), "feed_url", "left_semi").select(*current.columns)
     top = current.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    from pyspark.sql import Window
-
-    # the registry of feeds is a small dimension: its new rows may be numbered in one task
-    numbered = new.select((top + F.row_number().over(Window.partitionBy().orderBy("feed_url"))).cast("long").alias("id"),
-                          F.col("name").alias("source_name"), "feed_url")
-    return kept.select(F.col("id").cast("long").alias("id"), "source_name", "feed_url").unionByName(numbered)
+    new = position_in_group(wanted.join(current.select("feed_url"), "feed_url", "left_anti"), [], [F.col("feed_url")], "_n")
+    times = {c: clock.instant(as_of) for c in ("created_at", "updated_at") if c in current.columns and as_of is not None}
+    new = new.withColumn("id", (top + F.col("_n")).cast(current.schema["id"].dataType)).drop("_n").withColumns(times)
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def update_source_partial(sources: DataFrame, patch: DataFrame, as_of) -> DataFrame:
@@ -170,10 +168,10 @@ def valid_preferences() -> Column:
 
 
 def set_preferences(prefs: DataFrame, patch: DataFrame, as_of) -> DataFrame:
-    """Preferences with valid patches applied; a patch with any unknown value is refused whole."""
+    """Preferences with valid patches applied; a patch with any unknown value is refused whole. A reader without a row gets one."""
     good = patch.where(valid_preferences()).select(
         "user_id", F.col("summary_type").alias("_t"), F.col("summary_length").alias("_l"))
-    return prefs.join(good, "user_id", "left").select(
+    return prefs.join(good, "user_id", "full").select(
         "user_id", F.coalesce("_t", "summary_type").alias("summary_type"),
         F.coalesce("_l", "summary_length").alias("summary_length"),
         touch_updated_at(F.col("updated_at"), F.col("_t").isNotNull(), as_of).alias("updated_at"))

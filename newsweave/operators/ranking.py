@@ -54,7 +54,7 @@ def position_in_group(df: DataFrame, group: list[str], order: list[Column], rank
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     return (ordered.withColumn("_p", part).join(starts, same)
-            .select(*df.columns, (F.col("_at") - F.col("_from") + F.col("_before") + 1).cast("int").alias(rank)))
+            .select(*df.columns, (F.col("_at") - F.col("_from") + F.col("_before") + 1).cast("long").alias(rank)))
 
 
 def ranked_head(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

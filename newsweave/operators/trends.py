@@ -149,11 +149,9 @@ def trending_companies(t: Tables, as_of, aliases=None, hours: int = 24, limit: i
 
 
 def share_of_total(counts: DataFrame, count: str = "article_count") -> DataFrame:
-    """Adds ``percentage`` of the total. One row per group is all that meets in the total."""
-    from pyspark.sql import Window
-
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.withColumn("_total", F.sum(count).over(everything)).withColumn(
+    """Adds ``percentage`` of the total, which is one number: the groups themselves never meet in one task."""
+    total = counts.agg(F.sum(count).alias("_total")).scalar()
+    return counts.withColumn("_total", total).withColumn(
         "percentage", F.expr(f"((2000 * {count} + _total) div (2 * _total)) / 10.0D")).drop("_total")
 
 

@@ -36,6 +36,10 @@ def dashboard_rows(t: Tables, as_of) -> DataFrame:
 
 
 def job_status(t: Tables, as_of) -> DataFrame:
-    """Content statistics with the answer fields of a status request."""
+    """Content statistics with the answer fields of a status request; ``top_topics`` lists the largest topics as
+    (topic, count)."""
+    largest = T.content_top_topics(t).agg(F.sort_array(F.collect_list(F.struct((-F.col("article_count")).alias("n"), "topic"))).alias("l"))
+    listed = largest.select(F.transform("l", lambda r: F.struct(r["topic"].alias("topic"), (-r["n"]).alias("count")))).scalar()
     return T.content_stats(t, as_of).withColumns({
+        "top_topics": listed,
         "success": F.lit(True), "timestamp": clock.instant(as_of), "message": F.lit("Job status retrieved successfully")})

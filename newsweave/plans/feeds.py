@@ -15,7 +15,7 @@ from newsweave import clock
 from newsweave.operators import articles as A
 from newsweave.operators.ranking import HEAD_LIMIT, page, position_in_group, ranked_head, top_k_per_group
 from newsweave.session import cut_lineage
-from newsweave.sources.tables import TOPICS, Tables, distinct_users, one_user, topic_dimension
+from newsweave.sources.tables import Tables, distinct_users, one_user, topic_dimension
 from newsweave.operators.trends import briefing_sentence
 
 TURN = "_turn"
@@ -68,7 +68,7 @@ def unread_positions(members: DataFrame, reads: DataFrame, key: list[str], k: in
     virtual read, so every gap starts after a read: the i-th read at position p has p - i unread
     ones before it, and the gap after it gives positions until the next read or until k is full.
     """
-    marks = members.select(*key, F.lit(0).alias(TURN)).unionByName(reads.select(*key, F.col(TURN).cast("int").alias(TURN)))
+    marks = members.select(*key, F.lit(0).cast("long").alias(TURN)).unionByName(reads.select(*key, F.col(TURN).cast("long").alias(TURN)))
     if most_reads <= HEAD_LIMIT:
         along = Window.partitionBy(*key).orderBy(TURN)
         marks = marks.select(*key, TURN, (F.row_number().over(along) - 1).alias("_i"), F.lead(TURN).over(along).alias("_next"))
@@ -171,45 +171,56 @@ def fast_view(t: Tables, as_of, user_id: int | None = None) -> DataFrame:
     return feed.unionByName(_shown(t, chosen, head, "position", "slot"))
 
 
-def fast_batch(t: Tables, as_of, user_id: int | None = None, offset: int = 0, limit: int = 20, cap: int = 10_000) -> DataFrame:
+def fast_batch(t: Tables, as_of, user_id: int | None = None, offset: int = 0, limit: int = 20, cap: int | None = None) -> DataFrame:
     """One page of unread articles per reader and how many there are (``total_unread``).
 
-    Readers with interests read the newest ``cap`` articles of seven days; those lists are built once
-    per distinct *set* of interests (at most 2^topics), not per reader. Others read all articles,
-    newest ``cap`` unread ones.
+    Readers with interests read the articles of seven days in these, whatever the topics are; lists are built once
+    per distinct *set* of interests, not per reader, and only as deep as a page can lie (``offset + limit`` and the
+    reads of the busiest reader). Totals are counts: those of the topics of the set (an article has one topic),
+    without what the reader has seen of them. Others read all articles. With ``cap`` each list ends after so many
+    articles, and no total exceeds it.
     """
-    k = min(offset + limit, cap)
+    k = offset + limit if cap is None else min(offset + limit, cap)
     everyone = one_user(distinct_users(t), user_id)
-    sets = (_interests(t, user_id).join(topic_dimension(t.spark).select("topic"), "topic", "left_semi")
-            .groupBy("user_id").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
+    interests = _interests(t, user_id).where(A.has_topic())
+    sets = (interests.groupBy("user_id").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
             .withColumn("list_key", F.array_join("topics", "\n")))
+    reads = _reads(t, user_id)
+    most = _most_reads(reads)
     # lists per set of interests
-    head = _ranked(_known(t).where(A.since_hours(as_of, 168) & A.has_topic()), ["topic"], cap)
+    recent = _known(t).where(A.since_hours(as_of, 168) & A.has_topic())
+    depth = k + most if cap is None else cap
+    head = _ranked(recent, ["topic"], depth)
     wanted = sets.select("list_key", "topics").distinct().select("list_key", F.explode("topics").alias("topic"))
     lists = top_k_per_group(head.drop(TURN).join(wanted, "topic").select("list_key", "id", "published_at"),
-                            ["list_key"], A.newest_first(), cap, TURN)
+                            ["list_key"], A.newest_first(), depth, TURN)
     lists = cut_lineage(lists)
-    sizes = lists.groupBy("list_key").agg(F.count("*").alias("_size"))
-    reads = _reads(t, user_id)
-    most = _most_reads(reads)
     members = sets.select("user_id", "list_key")
     seen = (reads.join(members, "user_id").join(lists.select("list_key", "id", TURN), ["list_key", "id"])
             .select("user_id", TURN))
-    seen_n = seen.groupBy("user_id").agg(F.count("*").alias("_seen"))
+    if cap is None:
+        per_topic = recent.groupBy("topic").agg(F.count("*").alias("_n"))
+        sizes = wanted.join(per_topic, "topic").groupBy("list_key").agg(F.sum("_n").alias("_size"))
+        seen_rows = reads.join(recent.select("id", "topic"), "id").join(interests, ["user_id", "topic"], "left_semi")
+    else:
+        sizes = lists.groupBy("list_key").agg(F.count("*").alias("_size"))
+        seen_rows = seen
+    seen_n = seen_rows.groupBy("user_id").agg(F.count("*").alias("_seen"))
     at = unread_positions(members.select("user_id"), seen, ["user_id"], k, most).where(F.col("ordinal") > offset)
-    # a page lies within the first k + most places of its list; there are at most 2^topics lists
-    near = _bounded(lists.where(F.col(TURN) <= k + most).select("list_key", "id", TURN), 2 ** len(TOPICS) * (k + most))
+    # a page lies within the first k + most places of its list
+    near = lists.where(F.col(TURN) <= k + most).select("list_key", "id", TURN)
     by_interest = at.join(members, "user_id").join(near, ["list_key", TURN]).select("user_id", "id", "ordinal")
     totals = (members.join(sizes, "list_key").join(seen_n, "user_id", "left")
               .select("user_id", (F.col("_size") - F.coalesce("_seen", F.lit(0))).alias("total_unread")))
     # readers without interests
-    rest = everyone.join(_interests(t, user_id).select("user_id").distinct(), "user_id", "left_anti")
+    rest = everyone.join(interests.select("user_id").distinct(), "user_id", "left_anti")
     general, top = _unread_general(t, rest, k, user_id, most)
     known = _known(t).select("id")
     stored = known.agg(F.count("*").alias("n")).scalar()
     read_n = reads.join(rest, "user_id", "left_semi").join(known, "id", "left_semi").groupBy("user_id").agg(F.count("*").alias("_seen"))
+    unread = stored - F.coalesce("_seen", F.lit(0))
     general_totals = rest.join(read_n, "user_id", "left").select(
-        "user_id", F.least(stored - F.coalesce("_seen", F.lit(0)), F.lit(cap)).alias("total_unread"))
+        "user_id", (unread if cap is None else F.least(unread, F.lit(cap))).alias("total_unread"))
     chosen = (by_interest.unionByName(general.where(F.col("ordinal") > offset))
               .join(totals.unionByName(general_totals), "user_id")
               .withColumn("position", F.col("ordinal") - offset))

@@ -33,9 +33,9 @@ def entry_defaults(entries: DataFrame, as_of, published: str = "published_at") -
         published: F.coalesce(published, clock.instant(as_of))})
 
 
-def feed_cap(entries: DataFrame, cap: int = FEED_CAP) -> DataFrame:
-    """First ``cap`` entries of each feed; ``pos`` is the 0-based place in the document."""
-    return entries.where(F.col("pos") < cap)
+def feed_cap(entries: DataFrame, cap: int | None = FEED_CAP) -> DataFrame:
+    """First ``cap`` entries of each feed, all with None; ``pos`` is the 0-based place in the document."""
+    return entries if cap is None else entries.where(F.col("pos") < cap)
 
 
 def feed_cap_unplaced(entries: DataFrame, order: list[Column], cap: int = FEED_CAP) -> DataFrame:
@@ -60,12 +60,10 @@ def not_stored(entries: DataFrame, stored: DataFrame, url: str = "link") -> Data
 
 
 def last_round(winners: DataFrame) -> DataFrame:
-    """One row, ``stop``: the first round that inserts nothing. The set of rounds is at most as long as
-    the longest feed."""
-    rounds = F.sort_array(F.collect_set(F.col("pos").cast("int")))
-    # rounds 0..n-1 are unbroken exactly while the value equals its index
-    unbroken = F.size(F.filter(F.transform("_r", lambda r, i: r == i), lambda same: same))
-    return winners.agg(rounds.alias("_r")).select(unbroken.alias("stop"))
+    """One row, ``stop``: the first round that inserts nothing, found among the places behind a round that does."""
+    rounds = winners.select(F.col("pos").cast("long").alias("pos")).distinct()
+    after = rounds.select((F.col("pos") + 1).alias("pos")).unionByName(winners.sparkSession.range(1).select(F.col("id").alias("pos")))
+    return after.join(rounds, "pos", "left_anti").agg(F.min("pos").alias("stop"))
 
 
 def round_robin(eligible: DataFrame, stored: DataFrame, url: str = "link") -> DataFrame:
@@ -110,14 +108,14 @@ class IngestResult:
 
 
 def ingest(t: Tables, feed_items: DataFrame, url_status: DataFrame, as_of, vocab: Vocabulary | None = None,
-           cap: int = FEED_CAP, scores: str | None = None) -> IngestResult:
+           cap: int | None = FEED_CAP, scores: str | None = None) -> IngestResult:
     """One run over ``feed_items`` (source_id, source_name, pos, link, title, summary, published_at,
     image_url): old articles go, new ones come in round robin, missing pictures are filled."""
     kept = retention_days(t, as_of)
     entries = prepared(entry_defaults(feed_cap(feed_items, cap), as_of), vocab, scores)
     fits = within_lengths({"title": "title", "link": "article_url"})
     eligible = reachable(entries.where(A.has_topic() & fits), url_status)
-    # used four times below, and at most cap rows per feed: classified and chosen once
+    # used four times below: classified and chosen once
     winners = cut_lineage(not_stored(first_wins_by_url(eligible), kept.select("article_url")))
     stop = last_round(winners).scalar()
     chosen = winners.where(F.col("pos") < stop)
@@ -128,6 +126,7 @@ def ingest(t: Tables, feed_items: DataFrame, url_status: DataFrame, as_of, vocab
     turn = F.struct(*ROUND)
     started = chosen.select("link", turn.alias("_turn"))
     late = seen.join(started, "link", "left").where(F.col("_turn").isNull() | (turn >= F.col("_turn"))).drop("_turn")
-    columns = [c for c in added.columns if c in kept.columns]
-    content = backfill_image(kept.select(*columns).unionByName(added.select(*columns)), late)
+    if "published_on" in kept.columns:
+        added = added.withColumn("published_on", F.to_date("published_at"))
+    content = backfill_image(kept.unionByName(added, allowMissingColumns=True), late)
     return IngestResult(content, added, job_result(added, as_of))

@@ -110,7 +110,7 @@ def feed_links(spark, sf_dir) -> DataFrame:
     """Entries without their place in the feed; links are shared across feeds."""
     return read(spark, sf_dir, "documents").select(
         source_number(F.col("source")).alias("source_id"), F.col("source").alias("source_name"), _link().alias("link"),
-        title_of(F.col("text")).alias("title"), F.col("text").alias("summary"), topic_of(F.col("doc_id") % 9).alias("topic"), "doc_id")
+        F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.col("text").alias("summary"), topic_of(F.col("doc_id") % 9).alias("topic"), "doc_id")
 
 
 def feed_items(spark, sf_dir, cap: int | None = None) -> DataFrame:
