@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from newsweave.session import scratch_path
 
 #: Most rows and bytes that Spark hands to Python at once; long texts then come in small batches.
-BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,24 +49,28 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-@functools.lru_cache(maxsize=8)
-def once(build: Callable, *key):
-    """``build(*key)``, made once in each Python worker."""
-    return build(*key)
-
-
 _HELD: dict = {}
 
 
 def held(key, build: Callable):
-    """``build()`` for a key that names it for the life of the application (as a broadcast's id does), once in each worker."""
+    """``build()`` for a key that names it for the life of the application, once in each worker. Only the last one is held, so that
+    a worker that goes on to another operator does not keep what the one before needed."""
     if key not in _HELD:
-        while len(_HELD) >= 2:
-            _HELD.pop(next(iter(_HELD)))
+        _HELD.clear()
         _HELD[key] = build()
     return _HELD[key]
 
 
+def once(build: Callable, *key):
+    """``held`` for what is made from its key alone."""
+    return held((build, key), lambda: build(*key))
+
+
+def forget() -> None:
+    """Drop what the worker holds."""
+    _HELD.clear()
+
+
 def schema_of(df: DataFrame) -> str:
     """The columns of ``df`` as the start of a schema text."""
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)

@@ -38,8 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.common import cells, map_batches
-from newsweave.llm.quality import codes, parts, shared_model, spread_counts
+from newsweave.llm.common import cells, forget, map_batches
+from newsweave.llm.quality import codes, counted, parts, shared_model, spread_counts
 
 #: Characters of a block (one document at least), and added to every count by the base score.
 BLOCK_CHARS, ADDED = 12_000_000, 0.1
@@ -139,21 +139,21 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
 def spelling_counts(docs: DataFrame, key: str, text: str, folds: int) -> DataFrame:
     """(gram, n): byte trigrams of the word types of training documents, types of one part of the input counted once there."""
     def run(batches):
-        total, seen = np.zeros(1 << 24, np.int64), set()
+        forget()
+        total, seen = np.zeros(1 << 24, np.uint32), set()
 
         def add():
             for part in parts(list(seen)):
-                total[:] += np.bincount(codes(part)[0], minlength=1 << 24)
+                np.add.at(total, codes(part)[0].astype(np.intp), np.uint32(1))
             seen.clear()
         for b in batches:
             for k, t in zip(cells(b, key), cells(b, text)):
                 if not in_fold(k, folds):
                     seen.update(words_of(t))
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 add()
         add()
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["gram", "n"])
+        yield counted(total)
     return map_batches(docs, run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
