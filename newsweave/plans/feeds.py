@@ -45,14 +45,14 @@ def _most_reads(reads: DataFrame) -> int:
     return int(row[0] or 0)
 
 
-def _head(articles: DataFrame, group: list[str], k: int) -> DataFrame:
-    """Newest ``k`` keys per group. Every feed uses its head several times, so it is ranked once and
+def _head(articles: DataFrame, group: list[str], k: int, *carry: str) -> DataFrame:
+    """Newest ``k`` keys per group, with the narrow columns ``carry``. Every feed uses its head several times, so it is ranked once and
     written to the shared folder (at most groups x k narrow rows)."""
-    return cut_lineage(_ranked(articles, group, k))
+    return cut_lineage(_ranked(articles, group, k, *carry))
 
 
-def _ranked(articles: DataFrame, group: list[str], k: int) -> DataFrame:
-    return ranked_head(articles.select("id", *group, "published_at"), group, A.newest_first(), k, TURN)
+def _ranked(articles: DataFrame, group: list[str], k: int, *carry: str) -> DataFrame:
+    return ranked_head(articles.select("id", *group, *carry, "published_at"), group, A.newest_first(), k, TURN)
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -90,10 +90,11 @@ def _details(t: Tables, ids: DataFrame) -> DataFrame:
 
 
 def _shown(t: Tables, chosen: DataFrame, ids: DataFrame, *extra: str) -> DataFrame:
-    """(user_id, id, extra..) rows in the 13-column shape. State is cut to the chosen ids first."""
+    """(user_id, id, extra..) rows in the 13-column shape. State is cut to the chosen ids first and joined to the narrow
+    rows; the articles with their texts come last, by id alone, so no text is moved with a reader."""
     state = t.interactions.join(ids.select(F.col("id").alias("content_id")).distinct(), "content_id", "left_semi")
-    full = chosen.select("user_id", "id", *extra).join(_details(t, ids), "id")
-    return A.with_state(full, state).select("user_id", *extra, *A.WITH_STATE)
+    flagged = A.with_state(chosen.select("user_id", "id", *extra), state)
+    return flagged.join(_details(t, ids), "id").select("user_id", *extra, *A.WITH_STATE)
 
 
 # -- general ---------------------------------------------------------------------------
@@ -229,21 +230,25 @@ def fast_batch(t: Tables, as_of, user_id: int | None = None, offset: int = 0, li
 
 # -- home ------------------------------------------------------------------------------
 
-def topn_per_topic(t: Tables, pool: int = 80, per_topic: int = 10) -> DataFrame:
+def newest_pool(t: Tables, pool: int = 80) -> DataFrame:
+    """Keys and topics of the newest ``pool`` articles."""
+    return _head(_known(t), [], pool, "topic")
+
+
+def topn_per_topic(t: Tables, pool: int = 80, per_topic: int = 10, head: DataFrame | None = None) -> DataFrame:
     """Topic sections out of the newest ``pool`` articles. The pool is cut **before** topics are
     looked at; a topic without articles keeps one row with NULL article columns."""
-    head = _head(_known(t), [], pool)
+    head = newest_pool(t, pool) if head is None else head
     articles = _details(t, head).select(*A.SIMPLE)
     ranked = top_k_per_group(articles.where(A.has_topic()), ["topic"], A.newest_first(), per_topic, "position")
     topics = topic_dimension(t.spark).select(F.col("k").alias("section_order"), F.col("topic").alias("section"))
     return topics.join(ranked, F.col("section") == F.col("topic"), "left")
 
 
-def recommended_section(t: Tables, user_id: int | None = None, pool: int = 80, per_topic: int = 10) -> DataFrame:
+def recommended_section(t: Tables, user_id: int | None = None, pool: int = 80, per_topic: int = 10, head: DataFrame | None = None) -> DataFrame:
     """Per reader: the newest articles of the pool in their interests."""
-    head = _head(_known(t).select("id", "published_at", "topic"), [], pool)
-    topical = _known(t).select("id", "topic").where(A.has_topic())
-    candidates = head.join(topical, "id").join(_interests(t, user_id), "topic").select("user_id", "id", "published_at")
+    head = newest_pool(t, pool) if head is None else head
+    candidates = head.where(A.has_topic()).join(_interests(t, user_id), "topic").select("user_id", "id", "published_at")
     ranked = top_k_per_group(candidates, ["user_id"], A.newest_first(), per_topic, "position")
     return _shown(t, ranked, head, "position")
 
@@ -251,9 +256,10 @@ def recommended_section(t: Tables, user_id: int | None = None, pool: int = 80, p
 def home_sections(t: Tables, user_id: int | None = None, pool: int = 80, per_topic: int = 10) -> DataFrame:
     """Home page: (section, user_id, position, article..). Topic sections are the same for every
     reader, so they appear once with a NULL user_id; the recommended section has rows per reader."""
-    shared = topn_per_topic(t, pool, per_topic).select(
+    head = newest_pool(t, pool)
+    shared = topn_per_topic(t, pool, per_topic, head).select(
         "section", F.lit(None).cast("long").alias("user_id"), F.col("position"), "id", "title", "published_at", "source_name")
-    own = recommended_section(t, user_id, pool, per_topic).select(
+    own = recommended_section(t, user_id, pool, per_topic, head).select(
         F.lit("Recommended For You").alias("section"), "user_id", "position", "id", "title", "published_at", "source_name")
     return shared.unionByName(own)
 
