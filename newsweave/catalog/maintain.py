@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsweave.catalog.registry import query
-from newsweave.catalog.text import classified_sql
+from newsweave.catalog.text import EXCERPT, STRIP, classified_sql
 from newsweave.catalog.views import AS_OF as NOW
 from newsweave.catalog.views import sql
 from newsweave.operators import articles as A
@@ -93,8 +93,6 @@ def run_ingest(spark, d, cap: int | None = G.FEED_CAP):
 
 
 def _ingest_sql(body: str, cap: int | None = G.FEED_CAP) -> str:
-    from newsweave.catalog.text import EXCERPT, STRIP
-
     titled = f"select * exclude (title, topic), [{', '.join(repr(w) for w in TITLES)}][cast(doc_id % 6 as int) + 1] || title as title from feed_items"
     cut = f"select * exclude (s, summary), {EXCERPT} as summary from (select *, {STRIP.replace('{c}', 'summary')} as s from titled{f' where pos < {cap}' if cap else ''})"
     verdict = classified_sql(source="cut", key="doc_id")
@@ -122,6 +120,39 @@ def ingest_batch(spark, d):
     return run_ingest(spark, d).added.select("id", "source_id", "title", "summary", "article_url", "topic", "classification_method", "ai_confidence_score")
 
 
+def feeds_of_documents(spark, d):
+    """Feed documents of at most 200 entries, each a feed of its own, and the crawl status of their links."""
+    from newsweave.catalog.pages import feed_documents
+
+    feeds = feed_documents(spark, d).select((F.col("source_id") * 100000 + F.col("part")).alias("source_id"),
+                                            F.concat_ws("/", F.lpad(F.col("source_id").cast("string"), 4, "0"), F.lpad(F.col("part").cast("string"), 9, "0")).alias("source_name"), "xml")
+    k = F.col("doc_id")
+    status = S.read(spark, d, "documents").select(F.concat(F.lit("https://news.example.com/a/"), k.cast("string")).alias("url"),
+                                                  F.when(k % 11 == 0, 404).otherwise(200).alias("status"))
+    return feeds, status
+
+
+@query(sql("content likes", """select link as article_url, title, summary, topic, method as classification_method, image from rounds
+ union all select article_url, title, left(summary, 0), topic, null, image_url from kept""",
+           entries="""select cast(substr(source, 4) as int) * 100000 + doc_id // 200 as source_id, lpad(substr(source, 4), 4, '0') || '/' || lpad(cast(doc_id // 200 as varchar), 9, '0') as source_name,
+ row_number() over (partition by source, doc_id // 200 order by doc_id) - 1 as pos, 'https://news.example.com/a/' || doc_id as link, 'Title ' || doc_id as title, doc_id,
+ regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f-\x9f]', '', 'g') as raw,
+ case when cast(substr(source, 4) as int) % 2 = 0 then 'https://cdn.example.com/' || doc_id || '.jpg' end as image from documents""",
+           cut=f"""select * exclude (s), case when raw = '' then title else {EXCERPT} end as summary from (select *, {STRIP.replace('{c}', 'raw')} as s from entries where pos < 10)""",
+           verdict=classified_sql(source="cut", key="doc_id"),
+           kept=f"select * from content where not (coalesce(published_at < {NOW} - interval 720 hour, false) and id not in (select content_id from likes))",
+           inserts="""select f.* replace (replace(replace(f.summary, '"', ''), '\'\'', '') as summary), v.topic, v.method from cut f join verdict v on v.id = f.doc_id
+ where f.doc_id % 11 <> 0 and v.topic is not null""".replace("'\'\''", "chr(39)"),
+           rounds=ROUNDS))
+def ingest_pipeline(spark, d):
+    """From feed documents to the new content table: the kept rows (without their long texts) and the added ones."""
+    feeds, status = feeds_of_documents(spark, d)
+    run = G.ingest_feeds(S.tables(spark, d), feeds, status, AS_OF)
+    new = F.col("article_url").startswith("https://news.example.com/")
+    return run.content.select("article_url", "title", F.when(new, F.col("summary")).otherwise(F.substring("summary", 1, 0)).alias("summary"), "topic",
+                              "classification_method", F.col("image_url").alias("image"))
+
+
 @query(_ingest_sql(f"select true as success, count(*) as articles_added, cast(null as varchar) as error, {NOW} as run_at from rounds"))
 def job_result(spark, d):
     return run_ingest(spark, d).run

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from newsweave import clock
 from newsweave.functions import classify as C
+from newsweave.functions.html import html_to_text
+from newsweave.functions.images import entry_image
 from newsweave.functions.text import computed_once, excerpt, strip_markup, strip_quotes
 from newsweave.functions.vocabulary import Vocabulary
 from newsweave.operators import articles as A
-from newsweave.operators.maintenance import job_result, retention_days, within_lengths
+from newsweave.operators.maintenance import failed_run, job_result, retention_days, within_lengths
 from newsweave.operators.ranking import first_per_group, position_in_group, top_k_per_group
 from newsweave.session import cut_lineage
+from newsweave.sources.feeds import parse_feed_xml
 from newsweave.sources.tables import Tables
 
 FEED_CAP = 10
@@ -78,6 +81,33 @@ def prepared(entries: DataFrame, vocab: Vocabulary | None = None, scores: str |
     return C.classify(cut.withColumn("summary", F.col("_cut")).drop("_cut"), vocab, scores=scores)
 
 
+def feed_entries(parsed: DataFrame) -> DataFrame:
+    """Parsed feed entries with plain text and picture: ``summary`` holds the text nodes, joined by one space, of the first
+    content, else of the summary, else the title; ``image_url`` is the first valid picture by precedence."""
+    full = F.get(F.filter(F.transform("content", lambda c: c["value"]), lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
+    none = F.lit(None).cast("struct<href:string>")
+    image = F.col("image") if "image" in parsed.columns else none
+    text = F.coalesce(F.nullif(html_to_text(full), F.lit("")), F.nullif(html_to_text("summary"), F.lit("")), F.col("title"))
+    picture = entry_image(F.col("media_content"), F.col("media_thumbnail"), F.col("enclosures"), image, F.col("content"), F.col("summary"))
+    made = computed_once(parsed, _text=text, _picture=picture)
+    return made.withColumns({"summary": F.col("_text"), "image_url": F.col("_picture")}).drop(
+        "_text", "_picture", "content", "media_content", "media_thumbnail", "enclosures", "image")
+
+
+def ingest_feeds(t: Tables, documents: DataFrame, url_status: DataFrame, as_of, **options) -> "IngestResult":
+    """A whole run from feed documents (source_id, source_name, xml) to the new content table."""
+    entries = feed_entries(parse_feed_xml(documents, keep=("source_id", "source_name")))
+    return ingest(t, entries, url_status, as_of, **options)
+
+
+def logged_run(spark, job, as_of) -> DataFrame:
+    """Run-log row of ``job()``, an ``IngestResult``: of a success, or with the error of a failure. Runs the job."""
+    try:
+        return cut_lineage(job().run)
+    except Exception as error:  # noqa: BLE001 - whatever ends a run is logged
+        return failed_run(spark, f"{type(error).__name__}: {str(error).splitlines()[0][:500]}", as_of)
+
+
 def insert_new_articles(content: DataFrame, chosen: DataFrame) -> DataFrame:
     """``chosen`` entries as content rows with the next ids in insertion order."""
     keys = chosen.select("link", *ROUND)

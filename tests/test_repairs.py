@@ -92,3 +92,31 @@ def test_ingest_keeps_columns_of_the_table(spark):
     assert len(rows) == 5 and rows["https://x.example.com/new"]["published_on"] == dt.date(2024, 1, 15)
     assert rows["https://x.example.com/1"]["note"] == "kept" and rows["https://x.example.com/new"]["note"] is None
     assert rows["https://x.example.com/new"]["classification_method"]
+
+
+def test_feed_entries_choose_text_and_picture(spark):
+    rows = [("a", "Title A", "<p>short</p>", [("",), ("<p>Alpha</p><p>Beta AT&amp;T</p>",)], [("https://i.example.com/m.jpg",)]),
+            ("b", "Title B", '<b>Only</b> summary<img src="https://i.example.com/h.jpg">', None, None), ("c", "Title C", None, None, None), ("d", "Title D", "", [], [])]
+    kinds = "link string, title string, summary string, content array<struct<value:string>>, media_content array<struct<url:string>>"
+    parsed = spark.createDataFrame(rows, kinds).withColumns({"media_thumbnail": F.col("media_content"), "enclosures": F.lit(None).cast("array<struct<href:string>>")})
+    got = {r["link"]: (r["summary"], r["image_url"]) for r in G.feed_entries(parsed).collect()}
+    assert got == {"a": ("Alpha Beta AT&T", "https://i.example.com/m.jpg"), "b": ("Only summary", "https://i.example.com/h.jpg"),
+                   "c": ("Title C", None), "d": ("Title D", None)}
+
+
+def test_a_failed_run_is_logged(spark):
+    t = small_tables(spark, 3)
+
+    def broken():
+        raise ValueError("feed store is away\nmore")
+    assert tuple(G.logged_run(spark, broken, NOW).first())[:3] == (False, None, "ValueError: feed store is away")
+    entries = spark.createDataFrame([], "source_id int, source_name string, pos int, link string, title string, summary string, published_at timestamp, image_url string")
+    up = spark.createDataFrame([], "url string, status int")
+    assert tuple(G.logged_run(spark, lambda: G.ingest(t, entries, up, NOW), NOW).first())[:3] == (True, 0, None)
+
+
+def test_text_of_odd_markup(one):
+    from newsweave.functions import html as H
+
+    pages = ["a<script>x</script >b<style>c", "<p title='a > b'>t</p>", "1 < 2 && 3 > 2", "x<!-- a > b -->y<!doctype html><?xml?>z", "&lt;b&gt; &copy; &#65;&#x42;", "<p>  n </p>", "<SCRIPT>a</SCRIPT>q"]
+    assert one(H.html_to_text(F.col("h")), h=pages) == ["a b", "t", "1 < 2 && 3 > 2", "x y z", "<b> © AB", "n", "q"]
