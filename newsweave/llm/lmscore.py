@@ -23,7 +23,8 @@ no bucket is hot, and what is moved grows with the documents.
 
 Null text counts as empty: one token, the end. Null ids count as the empty text where the fold is
 chosen. Repeated rows are scored alike (and learnt from as often as they stand there); an empty table
-gives an empty result; no other column is looked at.
+gives an empty result; no other column is looked at. The rows are read twice and must come in the same
+order both times, as they do from files; blocks carry a mark, so that another order is an error.
 """
 
 from __future__ import annotations
@@ -93,6 +94,10 @@ class Block:
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
 
+    def mark(self) -> int:
+        """What tells this block from one with other words or in another order."""
+        return xxhash.xxh64_intdigest(self.keys.tobytes()) >> 1
+
     def asked(self, train: np.ndarray) -> np.ndarray:
         """Training counts of the block by key. ``train``: for each document."""
         mask = np.repeat(train, self.lengths)
@@ -176,7 +181,7 @@ def answer(rows: pa.Table) -> pa.Table:
     stats = totals(keys, sums).tobytes()
     ends = np.cumsum([len(a) for a in asked])
     found = [sums[where[e - len(a):e]].astype(np.uint64) for a, e in zip(asked, ends)]
-    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "sums": pa.array([packed(f) for f in found], pa.binary()),
+    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "mark": rows.column("mark"), "sums": pa.array([packed(f) for f in found], pa.binary()),
                      "stats": pa.array([stats] * len(found), pa.binary())})
 
 
@@ -223,7 +228,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(buckets, number)), pa.array(np.arange(buckets, dtype=np.int32)),
                  pa.array([packed(np.diff(block.keys[s], prepend=np.uint64(0))) for s in cut], pa.binary()),
-                 pa.array([packed(told[s]) for s in cut], pa.binary())], ["block", "bucket", "asked", "told"])
+                 pa.array([packed(told[s]) for s in cut], pa.binary()), pa.array(np.full(buckets, block.mark()))], ["block", "bucket", "asked", "told", "mark"])
 
     def tell(batches):
         model = shared_model(spelling)
@@ -240,6 +245,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             raise RuntimeError("the documents were read in other blocks than when they asked")
         hashes, tokens, lengths, logp = (unpacked(x, t) for x, t in zip(own["texts"], (np.uint64, np.uint32, np.int64, np.float32)))
         block = Block(hashes, tokens, lengths)
+        if set(answers.column("mark").to_pylist()) != {block.mark()}:
+            raise RuntimeError("the documents came in another order than when they asked: write them first")
         sums = np.concatenate([unpacked(x, np.uint64) for x in answers.column("sums").to_pylist()])
         stats = np.sum([np.frombuffer(x, np.float64) for x in answers.column("stats").to_pylist()], axis=0)
         w = automaton_weights(block, sums, np.exp(logp.astype(np.float64)), stats)
@@ -251,8 +258,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
             "n_known": pa.array(per_text(w["known"][tokens].astype(np.int64))), "train_tokens": pa.array(np.full(len(lengths), w["n"])),
             "base_score": pa.array(per_text(w["base"][tokens])), "score": pa.array(per_text(w["score"][block.pair_of]))})
 
-    asks = map_batches(docs, ask, "block long, bucket int, asked binary, told binary")
-    answers = asks.groupBy("bucket").applyInArrow(answer, "block long, bucket int, sums binary, stats binary")
+    asks = map_batches(docs, ask, "block long, bucket int, asked binary, told binary, mark long")
+    answers = asks.groupBy("bucket").applyInArrow(answer, "block long, bucket int, mark long, sums binary, stats binary")
     own = map_batches(docs, tell, f"block long, bucket int, texts array<binary>, keys array<{kind}>")
     together = own.unionByName(answers, allowMissingColumns=True)
     return together.groupBy("block").applyInArrow(scored, f"`{key}` {kind}, {RESULT}")
