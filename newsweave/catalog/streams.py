@@ -71,10 +71,14 @@ def stream_trending(spark, d):
     return W.latest(spark.read.parquet(table), ["window_start", "window_end", "topic"])
 
 
-@query("""select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as events from
+@query("""select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as events,
+ max(ts) + interval 30 minute > (select date_trunc('millisecond', max(ts)) - interval 1 hour from events) as still_open from
  (select *, sum(case when gap then 1 else 0 end) over (partition by user_id order by ts, event_id) as n from
   (select *, coalesce(ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minute, true) as gap from events))
- group by user_id, n having max(ts) + interval 30 minute <= (select date_trunc('millisecond', max(ts)) - interval 1 hour from events)""")
+ group by user_id, n""")
 def stream_sessions(spark, d):
+    """Closed sessions from the stream, and those still open at its end."""
     table = W.run_to_table(W.reader_sessions(event_stream(spark, d), "ts"), W.new_output(spark, "sessions"))
-    return spark.read.parquet(table).select("user_id", "session_start", "session_end", "events")
+    closed = spark.read.parquet(table).select("user_id", "session_start", "session_end", "events")
+    still = W.open_sessions(S.read(spark, d, "events"), closed, "ts")
+    return closed.withColumn("still_open", F.lit(False)).unionByName(still.withColumn("still_open", F.lit(True)))

@@ -39,7 +39,7 @@ def read_files(spark: SparkSession, folder: str, schema, name: str | None = None
 def run_to_table(stream: DataFrame, out: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None,
                  trigger: dict | None = None) -> str:
     """Run ``stream`` into ``out``, one ``batch=<id>`` partition per micro-batch; ``each`` may turn a
-    batch into what is stored. Returns the table folder."""
+    batch into what is stored. Returns the table folder. How many rows came behind the watermark is kept beside it (``late_rows``)."""
     use_disk_state(stream.sparkSession)
     table = f"{out}/table"
 
@@ -47,11 +47,20 @@ def run_to_table(stream: DataFrame, out: str, mode: str = "append", each: Callab
         rows = each(batch, batch_id) if each else batch
         rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
-     .trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start().awaitTermination())
+    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
+             .trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start())
+    query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    stream.sparkSession.createDataFrame([(str(query.runId), late)], "run string, rows long").write.mode("append").parquet(f"{out}/late")
     return table
 
 
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """(run, rows): rows that each run into ``out`` left out because they came behind the watermark, as far back as the session keeps
+    the progress of a query (``spark.sql.streaming.numRecentProgressUpdates`` batches)."""
+    return spark.read.schema("run string, rows long").parquet(f"{out}/late")
+
+
 def latest(table: DataFrame, key: list[str]) -> DataFrame:
     """Last update of every key of a table written in update mode."""
     return first_per_group(table, key, [F.col("batch").desc()]).drop("batch")
@@ -131,5 +140,13 @@ def reader_sessions(stream: DataFrame, time: str, idle: str = "30 minutes", late
             .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events"))
 
 
+def open_sessions(events: DataFrame, closed: DataFrame, time: str, idle: str = "30 minutes") -> DataFrame:
+    """Sessions not yet closed, from the events behind each user's last closed session."""
+    last = closed.groupBy(F.col("user_id").alias("_u")).agg(F.max("session_end").alias("_end"))
+    rest = events.join(last, F.col("user_id") == F.col("_u"), "left").where(F.col("_end").isNull() | (F.col(time) >= F.col("_end")))
+    return (rest.groupBy("user_id", F.session_window(time, idle).alias("s")).agg(F.count("*").alias("events"))
+            .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events"))
+
+
 def new_output(spark: SparkSession, label: str) -> str:
     return scratch_path(spark, label)
