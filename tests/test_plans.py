@@ -30,3 +30,21 @@ def test_time_filter_reaches_the_scan(spark, tmp_path, sf):
 
 def test_top_k_is_cut_below_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan(P.topic_feed(S.tables(spark, sf), S.AS_OF, 24))
+
+
+def test_no_text_is_moved_with_a_reader(spark, sf):
+    """Exchanges on a reader's id carry ids, places and flags only; articles are joined by their own id."""
+    import re
+
+    from newsweave.plans import feeds as P
+    from newsweave.sources import sample as S
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = S.tables(spark, sf)
+        for df in (P.personalized_digest(t), P.topic_feed(t, S.AS_OF, 168), P.fast_view(t, S.AS_OF), P.recommended_section(t)):
+            plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            moved = re.findall(r"\) Exchange\n(?:Input[^\n]*: )(\[[^\n]*\])\nArguments: hashpartitioning\(user_id", plan)
+            assert moved and not any("summary" in columns for columns in moved)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
