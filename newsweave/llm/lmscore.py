@@ -43,7 +43,7 @@ from newsweave.llm.common import cells, forget, map_batches
 from newsweave.llm.quality import codes, counted, parts, shared_model, spread_counts
 
 #: Characters of a block (one document at least), and added to every count by the base score.
-BLOCK_CHARS, ADDED = 12_000_000, 0.1
+BLOCK_CHARS, ADDED = 8_000_000, 0.1
 #: Exponents of Heaps' law for which every bucket sums up counts.
 EXPONENTS = np.linspace(0.3, 1.0, 15)
 END, ODD_A, ODD_B = b"", np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
