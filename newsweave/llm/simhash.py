@@ -263,9 +263,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, words: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with one row of each group: that with the smallest key. Rows with the same key are judged as one: the key
-    stays if it is the smallest of the group of any of them, and then the least of its rows stays."""
-    found = near_duplicates(docs, key, text, distance, words).groupBy(F.col(key).alias("_key")).agg(
+    """The rows of ``docs`` with one row of each group: that with the smallest key."""
+    return first_of_each(docs, near_duplicates(docs, key, text, distance, words), key)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` with one row of each of the ``groups`` (key, component_id): that with the smallest key. Rows with the same key
+    are judged as one: the key stays if it is the smallest of the group of any of them, and then the least of its rows stays."""
+    found = groups.groupBy(F.col(key).alias("_key")).agg(
         F.max(F.col(key).eqNullSafe(F.col("component_id"))).alias("_stays"), F.count("*").alias("_rows"))
     # only what is not a single row that stays
     found = stored(found.where("not _stays or _rows > 1").select("_key", "_stays"), "verdicts")
