@@ -4,8 +4,9 @@ A test item of n characters may appear in a document with up to ``k = n // per_e
 Cut into k + 1 pieces, at least one piece must then stand in the document unchanged. One
 automaton finds all pieces of all items in one walk over the whole text; each hit says where
 the item would start, give or take k. Hits of one item whose places overlap form one window,
-and Myers' bit-parallel algorithm finds the least number of edits with which the item ends
-anywhere in that window. Nothing within the budget is missed, nothing beyond it is reported.
+and Myers' bit-parallel algorithm finds the least number of edits with which the item ends at
+each place of that window. Every exact place is reported, and every other within the budget that
+does not overlap a reported one; nothing beyond the budget is.
 
 Texts are compared with A-Z and other letters lower-cased and each run of white space as one
 space; reported spans are places in the original text. A null or empty text has no match. An
@@ -19,6 +20,7 @@ one pass over the documents per block, so no more than one block is ever held an
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -79,19 +81,41 @@ class Items:
                 first = last = s
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item, start, end, edits) in a normalised text: for each window the best place, the first of equals."""
+        """(item, start, end, edits): the places of a normalised text where an item stands. All exact ones, and of the others the best of
+        those that overlap, the first of equals; a place within the budget is left out only where it overlaps one that is given."""
         for item, a, b in self.windows(text):
-            k, t = self.budget[item], self.texts[item]
-            at = text.find(t, a, b)
-            if at >= 0:
+            t, free = self.texts[item], a
+            gaps, at = [], text.find(t, a, b)
+            while at >= 0:
                 yield item, at, at + len(t), 0
+                gaps.append((free, at))
+                free, at = at + len(t), text.find(t, at + 1, b)
+            gaps.append((free, b))
+            while gaps:
+                a, b = gaps.pop()
+                if b - a < len(t) - self.budget[item]:
+                    continue
+                found = self.edited(item, text, a, b)
+                yield from ((item, *place) for place in found)
+                if found:
+                    gaps += zip([a, *(end for _, end, _ in found)], [*(start for start, _, _ in found), b])
+
+    def edited(self, item: int, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of places in text[a:b] that do not overlap, in their order: fewest edits first, then the first end."""
+        k, t = self.budget[item], self.texts[item]
+        n, found = len(t), []
+        back = letter_masks(t[::-1])
+        for edits, end in sorted((d, e) for e, d in ends(self.masks[item], n, text, a, b) if d <= k):
+            at = bisect.bisect_left(found, (end,))
+            # a place has n - k characters at least
+            if at < len(found) and found[at][0] < end or at and found[at - 1][1] > end - max(1, n - k):
                 continue
-            end, edits = best_end(self.masks[item], len(t), text, a, b)
-            if edits <= k:
-                # the start is the best end of the reversed item, read back from the end that was found
-                back = text[max(a, end - len(t) - k):end][::-1]
-                left, _ = best_end(letter_masks(t[::-1]), len(t), back, 0, len(back))
-                yield item, end - left, end, edits
+            # the start is the nearest from which the item reversed, read back from the end, takes as many edits
+            before = text[max(a, end - n - k):end][::-1]
+            start = end - next(e for e, d in ends(back, n, before, 0, len(before), True) if d == edits)
+            if not at or found[at - 1][1] <= start:
+                found.insert(at, (start, end, edits))
+        return found
 
 
 def letter_masks(t: str) -> dict[str, int]:
@@ -122,6 +146,24 @@ def best_end(masks: dict[str, int], n: int, text: str, a: int, b: int) -> tuple[
     return place, best
 
 
+def ends(masks: dict[str, int], n: int, text: str, a: int, b: int, anchored: bool = False) -> Iterator[tuple[int, int]]:
+    """Myers: each end in text[a:b] and the fewest edits with which the pattern ends there, from any start, or from ``a``."""
+    full, high, first = (1 << n) - 1, 1 << (n - 1), int(anchored)
+    up, down, edits, get = full, 0, n, masks.get
+    for i in range(a, b):
+        hit = get(text[i], 0)
+        same = (((hit & up) + up) ^ up) | hit | down
+        plus, minus = down | ~(same | up), up & same
+        if plus & high:
+            edits += 1
+        elif minus & high:
+            edits -= 1
+        yield i + 1, edits
+        plus, minus = plus << 1 | first, minus << 1
+        step = hit | down
+        up, down = (minus | ~(step | plus)) & full, plus & step & full
+
+
 def original_places(text: str) -> list[int]:
     """For each character of ``normal(text)`` its place in ``text``, and at the end the place after the last word."""
     places, end = [], 0

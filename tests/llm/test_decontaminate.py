@@ -74,3 +74,49 @@ def test_spans_blocks_and_odd_rows(spark, docs_of, odd_texts):
     assert dc.find_matches(docs.limit(0), items).collect() == []
     assert dc.find_matches(docs, items.limit(0)).collect() == []
     assert dc.without_leaks(docs, items.limit(0)).count() == len(texts)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row
+
+
+def test_every_place_against_all_spans():
+    rng = random.Random(4)
+    for _ in range(60):
+        item = "".join(rng.choice("abcd") for _ in range(rng.randrange(24, 32)))
+        index = dc.Items(((1, item),), 8)
+        n, k, text = len(item), len(item) // 8, ""
+        for _ in range(rng.randrange(1, 6)):
+            copy = list(item)
+            for _ in range(rng.randrange(k + 2)):
+                at = rng.randrange(len(copy))
+                copy[at:at + 1] = rng.choice([[], ["e"], [copy[at], "b"]])
+            text += "".join(copy) + rng.choice(["", "", " ", "dddd", item[:9], item[-9:]])
+        text = dc.normal(text)
+        got = [m[1:] for m in index.matches(text)]
+        assert len(set(got)) == len(got)
+        exact = {i for i in range(len(text)) if text.startswith(item, i)}
+        assert {a for a, _, d in got if d == 0} == exact
+        for a, b, d in got:
+            assert distance(item, text[a:b])[-1] == d <= k
+            assert d == 0 or not any(x < b and a < y for x, y, _ in got if (x, y) != (a, b))
+        for a in range(len(text)):
+            for size, d in enumerate(distance(item, text[a:a + n + k])):
+                if d <= k:
+                    assert any(x < a + size and a < y for x, y, _ in got), (item, text, a, size, got)
+
+
+def test_repeated_and_adjacent_places(docs_of, spark):
+    item = "Which of the rivers in the north flows into the sea first"
+    near = item.replace("rivers", "rivars")
+    texts = [" ".join([item] * 7), item + " " + near, near + near + " " + item, near + " x " + near]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = dc.find_matches(docs_of(texts), items).collect()
+    edits = {i: [r["edits"] for r in sorted(got, key=lambda r: r["span_start"]) if r["doc_id"] == i] for i in range(4)}
+    assert edits == {0: [0] * 7, 1: [0, 1], 2: [1, 1, 0], 3: [1, 1]}
