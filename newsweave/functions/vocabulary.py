@@ -26,8 +26,7 @@ TECH = [
     "dataset", "inference", "survey", "stackoverflow", "stack overflow", "code", "engineers", "engineering",
 ]
 
-# The core of the rejection vocabulary (plain substrings; an entry listed twice counts twice).
-# A deployment's full list is longer and is passed as a table, see Vocabulary.from_table.
+# The rejection vocabulary, in its order (plain substrings; an entry listed twice counts twice).
 REJECT = [
     # adult
     "vibrator", "sex", "adult", "porn", "explicit", "nsfw", "erotic", "sexual", "nude", "naked", "strip", "escort",
@@ -49,19 +48,85 @@ REJECT = [
     "income ceiling review", "public housing policy", "national development minister", "housing supply and demand",
     "national development", "urban planning", "housing scheme", "property prices", "housing supply",
     "housing demand", "affordable housing", "subsidized housing", "residential property", "property market",
-    "real estate market", "home ownership", "first-time buyers", "housing grants", "housing loan",
-    "mortgage rates", "singles scheme", "flat application", "ballot results", "housing queue",
+    "real estate market", "home ownership", "first-time buyers", "housing grants", "housing loan", "mortgage rates",
+    "singles scheme", "flat application", "ballot results", "housing queue",
+    # sports
+    "sports", "football", "basketball", "baseball", "soccer", "golf", "tennis", "hockey", "rugby", "cricket",
+    "swimming", "racing", "olympics", "fifa", "nfl", "nba", "mlb", "athlete", "stadium", "tournament",
+    "championship",
+    # health
+    "medical", "health", "doctor", "hospital", "patient", "disease", "virus", "vaccine", "medicine", "therapy",
+    "treatment", "surgery", "clinic", "prescription", "pharmaceutical", "symptoms", "diagnosis", "cancer",
+    "diabetes", "heart disease", "mental health", "depression", "anxiety",
     # lifestyle
     "parenting", "autism", "disability", "pregnancy", "baby", "children", "marriage", "wedding", "divorce",
     "relationship", "dating", "romance", "family", "mother", "father", "parent", "kids", "toddler", "infant",
+    # food
+    "recipe", "cooking", "kitchen", "restaurant", "food", "dining", "chef", "nutrition", "diet", "meal", "calories",
+    "ingredients", "baking", "grocery", "supermarket", "fast food", "delivery", "takeout",
+    # fashion and beauty
+    "fashion", "beauty", "makeup", "skincare", "clothing", "style", "outfit", "jewelry", "accessories", "cosmetics",
+    "perfume", "hair", "salon", "designer", "brand", "luxury", "boutique", "shopping",
     # politics
     "politics", "election", "government", "president", "senator", "congress", "parliament", "democracy",
     "republican", "democrat", "vote", "ballot", "campaign", "policy", "legislation", "law", "court", "justice",
     "legal",
+    # religion
+    "religion", "church", "prayer", "spiritual", "bible", "god", "faith", "christian", "muslim", "jewish",
+    "buddhist", "hindu", "mosque", "temple", "worship", "holy", "sacred", "divine", "prophet", "priest", "pastor",
+    # travel
+    "travel", "vacation", "tourism", "hotel", "flight", "airline", "airport", "destination", "cruise", "resort",
+    "trip", "journey", "adventure", "passport", "visa", "booking", "accommodation", "sightseeing",
     # property and personal finance
     "real estate", "property", "mortgage", "insurance", "loan", "debt", "credit card", "bank account", "savings",
     "retirement", "pension", "broker", "realtor", "apartment", "house", "rent", "lease", "investment advice",
     "stock tips", "forex trading", "commodity trading",
+    # entertainment
+    "celebrity", "entertainment", "movie", "film", "music", "concert", "album", "actor", "actress", "singer",
+    "musician", "band", "tv show", "series", "drama", "comedy", "horror", "romance", "documentary", "theater",
+    "streaming content", "video content", "television", "cable tv",
+    # school
+    "school", "teacher", "student", "university", "college", "classroom", "homework", "exam", "grade", "diploma",
+    "degree", "tuition", "campus", "dormitory", "scholarship", "academic", "curriculum", "syllabus",
+    # weather and environment
+    "weather", "rain", "snow", "storm", "hurricane", "tornado", "flood", "drought", "temperature", "climate change",
+    "global warming", "pollution", "earthquake", "tsunami", "volcano", "wildfire", "natural disaster",
+    "air quality", "outdoor air", "environmental monitoring", "atmosphere", "air pollution", "smog",
+    "particulate matter", "pm2.5", "ozone",
+    # cars
+    "car accident", "traffic jam", "speeding", "parking", "gas station", "oil change", "tire", "engine repair",
+    "mechanic", "insurance claim",
+    # farming
+    "farming", "agriculture", "crop", "harvest", "livestock", "cattle", "chicken", "pig", "farm", "farmer",
+    "tractor", "fertilizer", "pesticide",
+    # arts and crafts
+    "painting", "drawing", "sculpture", "pottery", "knitting", "sewing", "craft", "art gallery", "museum",
+    "exhibition", "artist", "canvas",
+    # making by hand
+    "welding", "aluminum welding", "metalworking", "woodworking", "carpentry", "construction", "building materials",
+    "diy project", "handmade", "crafting", "workshop", "tools", "hammer", "drill", "saw", "materials",
+    # puzzles
+    "wordle", "crossword", "puzzle", "game hints", "game answers", "strands", "connections", "nyt games",
+    "word games", "brain games", "sudoku",
+    # internet providers
+    "internet provider", "internet service", "broadband", "cable", "fiber internet", "isp", "home internet",
+    "wifi plan", "internet speed", "internet deals",
+    # consumer advice
+    "shopping addiction", "fake store", "consumer advice", "buying guide", "product review", "best deals",
+    "shopping tips", "retail therapy",
+    # news and crime
+    "breaking news", "latest news", "current events", "local news", "world news", "crime news", "police report",
+    "court case", "lawsuit", "legal battle", "scandal", "controversy", "investigation", "arrest", "charges filed",
+    # social issues
+    "social issues", "community problems", "social welfare", "poverty", "homelessness", "unemployment",
+    "social services", "charity", "donation", "volunteer work", "social activism", "protest", "demonstration",
+    # family and social services
+    "child abuse", "child welfare", "child protection", "family services", "domestic violence", "elder abuse",
+    "social work", "caseworker", "child safety", "family support", "parenting", "childcare", "adoption",
+    "foster care", "custody", "guardianship",
+    # general news
+    "minister said", "government said", "ministry report", "msf report", "ministry of social",
+    "social and family development", "high-risk cases", "abuse cases", "incident reports",
     # promotional or spam-like wording
     "tl;dr", "tldr", "elevate your", "get access to", "exclusive access", "limited offer", "act now",
     "dont miss out", "don't miss out", "while supplies last", "hurry up", "last chance", "final days",

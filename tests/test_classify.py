@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from newsweave.functions import classify as C
 from newsweave.functions.vocabulary import Vocabulary
+from newsweave.sources import sample as S
 
 V = Vocabulary.default()
 
@@ -122,3 +123,18 @@ def test_normalize_model_output(one):
     raw = ['[{"label": "a", "score": 0.5}]', '{"labels": ["a", "b"], "scores": [0.5, 0.1]}', '{"error": "x"}', "oops", None]
     got = one(F.to_json(C.normalize_model_output(F.col("raw"))), raw=raw)
     assert got == ['[{"label":"a","score":0.5}]', '[{"label":"a","score":0.5},{"label":"b","score":0.1}]', None, None, None]
+
+
+def test_whole_lists():
+    assert [len(V.tech), len(V.reject), len(set(V.reject))] == [109, 504, 499]
+
+
+def test_method_mix_of_fixtures(spark):
+    # The counts of FIXTURES.md on documents at sf0.01 (title = first sentence, summary = text).
+    docs = S.content(spark, "/root/testdata/sf0.01").select("id", "title", "summary")
+    got = {tuple(r) for r in C.classify(docs, V).groupBy("method", "topic").count().collect()}
+    mix = {}
+    for method, _, n in got:
+        mix[method] = mix.get(method, 0) + n
+    assert mix == {"keyword_accept": 323, "keyword_fallback": 119, "keyword_fallback_reject": 395, "keyword_reject": 163}
+    assert {("keyword_accept", "AI & ML", 69), ("keyword_fallback", "Open Source", 7)} <= {(m, t and t.replace(" & Linux", ""), n) for m, t, n in got}
