@@ -6,7 +6,7 @@ but for near duplicates, of which the row with the smallest id (and of equal ids
 
 1. quality: rows that the rules or the perplexity bands reject go.
 2. toxicity: rows with a score of 0.5 or more go; learnt from the labelled rows among those that are left.
-3. near duplicates: of each group of rows linked by a five-word similarity of 0.8 or more one row stays.
+3. near duplicates: of each group of rows whose SimHash fingerprints (three-word shingles) are linked at two or fewer differing bits one row stays.
 4. decontamination: rows in which a benchmark item stands go.
 5. pieces: what is left, encoded: doc_id, n_tokens, ids_sha256, decoded_sha256.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweave.llm import decontaminate, pieces, quality, similar, simhash, toxicity
+from newsweave.llm import decontaminate, pieces, quality, simhash, toxicity
 from newsweave.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,7 +31,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs, similar.groups(docs))
+    return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
