@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL where SQL can say it."""
+"""The registered queries of the operators, each over its whole table, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import archives, attribution, decontaminate, lmscore, pagetext, pieces, quality, simhash, toxicity, urlrules
+from newsweave.llm import archives, attribution, decontaminate, lmscore, pagetext, pieces, quality, ranked, simhash, toxicity, urlrules
 from newsweave.llm.common import crc32_mod, table
 from newsweave.session import scratch_path
 
@@ -114,3 +114,29 @@ def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text they decode to, as digests."""
     return pieces.digests(table(spark, sf_dir, "documents"), pieces.default_model())
+
+
+@query
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item, by integer term weights."""
+    return ranked.ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_ranked"] = r"""
+with words as (select n, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+               from (select row_number() over () as n, doc_id, text from documents)),
+     counted as (select n, doc_id, term, count(*) as tf from words group by n, doc_id, term),
+     sizes as (select n, sum(tf)::bigint as size from counted group by n),
+     whole as (select count(*) as docs, sum(size)::bigint as total from sizes),
+     weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w
+                 from (select term, count(*) as df from counted group by term), whole),
+     asked as (select distinct i, item_id, term from (
+                 select i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+                 from (select row_number() over () as i, item_id, text from benchmark))),
+     scores as (select i, item_id, n, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * size * docs) // total))))::bigint as score
+                from asked join weights using (term) join counted using (term) join sizes using (n), whole group by i, item_id, n, doc_id)
+select item_id, rank, doc_id, score
+from (select item_id, doc_id, score, row_number() over (partition by i order by score desc, doc_id)::int as rank from scores where score > 0)
+where rank <= 50"""
