@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import archives, attribution, decontaminate, lmscore, pagetext, pieces, quality, ranked, simhash, toxicity, urlrules
+from newsweave.llm import align, archives, attribution, decontaminate, lmscore, pagetext, pieces, quality, ranked, simhash, toxicity, urlrules
 from newsweave.llm.common import crc32_mod, table
 from newsweave.session import scratch_path
 
@@ -140,3 +140,9 @@ with words as (select n, doc_id, unnest(regexp_extract_all(translate(text, 'ABCD
 select item_id, rank, doc_id, score
 from (select item_id, doc_id, score, row_number() over (partition by i order by score desc, doc_id)::int as rank from scores where score > 0)
 where rank <= 50"""
+
+
+@query
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' encodings of every whole text, with the documents that hold a linked pair."""
+    return align.aligned(table(spark, sf_dir, "documents"), align.default_tokenizers())
