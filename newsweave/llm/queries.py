@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import align, archives, attribution, decontaminate, lmscore, pagetext, pieces, quality, ranked, simhash, toxicity, urlrules
+from newsweave.llm import align, archives, attribution, classifier, decontaminate, lmscore, pagetext, pieces, quality, ranked, simhash, toxicity, urlrules
 from newsweave.llm.common import crc32_mod, table
 from newsweave.session import scratch_path
 
@@ -116,6 +116,15 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), pieces.default_model())
 
 
+@query
+def op11_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labelled ones outside the held-out third."""
+    def held_out(key: str):
+        return crc32_mod(F.col(key), 3) == 1
+    found = classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out("_key"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty best documents of every benchmark item, by integer term weights."""

@@ -342,7 +342,8 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_cells:
 
 
 def unzipped(words: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(words).split(b" ") if words else []
+    raw = zstandard.ZstdDecompressor().decompress(words)
+    return raw.split(b" ") if raw else []
 
 
 # ---------------------------------------------------------------- searches
