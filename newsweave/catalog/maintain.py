@@ -24,11 +24,19 @@ def feed_cap(spark, d):
     return G.feed_cap_unplaced(entries, [F.col("doc_id").desc()]).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(sql("feed_items content", "select f.doc_id, f.link, c.id as existing_id, c.image_url as existing_image from feed_items f left join stored_rows c on c.article_url = f.link",
-           stored_rows="select * from (select id, image_url, 'https://news.example.com/a/' || id as article_url from content) where id % 4 = 0"))
+KNOWN = "select * replace (case when id % 4 = 0 then 'https://news.example.com/a/' || id else article_url end as article_url) from content"
+
+
+def known_tables(spark, d):
+    """All stored articles; every fourth has the URL under which a feed names it, so some entries are known."""
+    named = F.concat(F.lit("https://news.example.com/a/"), F.col("id").cast("string"))
+    t = S.tables(spark, d)
+    return t.with_(content=t.content.withColumn("article_url", F.when(F.col("id") % 4 == 0, named).otherwise(F.col("article_url"))))
+
+
+@query(sql("feed_items content", "select f.doc_id, f.link, c.id as existing_id, c.image_url as existing_image from feed_items f left join known c on c.article_url = f.link", known=KNOWN))
 def lookup_existing_url(spark, d):
-    stored = S.content(spark, d).where("id % 4 = 0").withColumn("article_url", F.concat(F.lit("https://news.example.com/a/"), F.col("id").cast("string")))
-    return A.split_by_stored_url(S.feed_links(spark, d), stored).select("doc_id", "link", "existing_id", "existing_image")
+    return A.split_by_stored_url(S.feed_links(spark, d), known_tables(spark, d).content).select("doc_id", "link", "existing_id", "existing_image")
 
 
 @query(sql("feed_items url_status", "select f.doc_id, f.link from feed_items f join url_status u on u.url = f.link where u.status = 200"))
@@ -92,7 +100,7 @@ def run_ingest(spark, d, cap: int | None = G.FEED_CAP):
     return G.ingest(S.tables(spark, d), raw_entries(spark, d), S.url_status(spark, d), AS_OF, cap=cap)
 
 
-def _ingest_sql(body: str, cap: int | None = G.FEED_CAP) -> str:
+def ingest_sql(body: str, cap: int | None = G.FEED_CAP, table: str = "content", **views: str) -> str:
     titled = f"select * exclude (title, topic), [{', '.join(repr(w) for w in TITLES)}][cast(doc_id % 6 as int) + 1] || title as title from feed_items"
     cut = f"select * exclude (s, summary), {EXCERPT} as summary from (select *, {STRIP.replace('{c}', 'summary')} as s from titled{f' where pos < {cap}' if cap else ''})"
     verdict = classified_sql(source="cut", key="doc_id")
@@ -100,8 +108,9 @@ def _ingest_sql(body: str, cap: int | None = G.FEED_CAP) -> str:
      from cut f join verdict v on v.id = f.doc_id join url_status u on u.url = f.link
      where u.status = 200 and v.topic is not null and length(f.title) <= 255 and length(f.link) <= 255) where rn = 1"""
     inserts = "select w.* from winners w where link not in (select article_url from kept)"
-    kept = f"select * from content where not (coalesce(published_at < {NOW} - interval 720 hour, false) and id not in (select content_id from likes))"
-    return sql("feed_items url_status content likes", body, titled=titled, cut=cut, verdict=verdict, winners=winners, kept=kept, inserts=inserts, rounds=ROUNDS)
+    kept = f"select * from {table} where not (coalesce(published_at < {NOW} - interval 720 hour, false) and id not in (select content_id from likes))"
+    own = {"known": KNOWN} if table == "known" else {}
+    return sql("feed_items url_status content likes", body, **own, titled=titled, cut=cut, verdict=verdict, winners=winners, kept=kept, inserts=inserts, rounds=ROUNDS, **views)
 
 
 ADDED = """select (select max(id) from content) + row_number() over (order by pos, source_name) as id, source_id, title,
@@ -109,13 +118,13 @@ ADDED = """select (select max(id) from content) + row_number() over (order by po
  cast(confidence as decimal(4,3)) as ai_confidence_score from rounds"""
 
 
-@query(_ingest_sql(ADDED, None))
+@query(ingest_sql(ADDED, None))
 def ingest_all_entries(spark, d):
     """The ingest without a cap on the entries of a feed."""
     return run_ingest(spark, d, None).added.select("id", "source_id", "title", "summary", "article_url", "topic", "classification_method", "ai_confidence_score")
 
 
-@query(_ingest_sql(ADDED))
+@query(ingest_sql(ADDED))
 def ingest_batch(spark, d):
     return run_ingest(spark, d).added.select("id", "source_id", "title", "summary", "article_url", "topic", "classification_method", "ai_confidence_score")
 
@@ -133,7 +142,7 @@ def feeds_of_documents(spark, d):
 
 
 @query(sql("content likes", """select link as article_url, title, summary, topic, method as classification_method, image from rounds
- union all select article_url, title, left(summary, 0), topic, null, image_url from kept""",
+ union all select article_url, title, summary, topic, null, image_url from kept""",
            entries="""select cast(substr(source, 4) as int) * 100000 + doc_id // 200 as source_id, lpad(substr(source, 4), 4, '0') || '/' || lpad(cast(doc_id // 200 as varchar), 9, '0') as source_name,
  row_number() over (partition by source, doc_id // 200 order by doc_id) - 1 as pos, 'https://news.example.com/a/' || doc_id as link, 'Title ' || doc_id as title, doc_id,
  regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f-\x9f]', '', 'g') as raw,
@@ -145,15 +154,13 @@ def feeds_of_documents(spark, d):
  where f.doc_id % 11 <> 0 and v.topic is not null""".replace("'\'\''", "chr(39)"),
            rounds=ROUNDS))
 def ingest_pipeline(spark, d):
-    """From feed documents to the new content table: the kept rows (without their long texts) and the added ones."""
+    """From feed documents to the new content table: the kept rows and the added ones, whole."""
     feeds, status = feeds_of_documents(spark, d)
     run = G.ingest_feeds(S.tables(spark, d), feeds, status, AS_OF)
-    new = F.col("article_url").startswith("https://news.example.com/")
-    return run.content.select("article_url", "title", F.when(new, F.col("summary")).otherwise(F.substring("summary", 1, 0)).alias("summary"), "topic",
-                              "classification_method", F.col("image_url").alias("image"))
+    return run.content.select("article_url", "title", "summary", "topic", "classification_method", F.col("image_url").alias("image"))
 
 
-@query(_ingest_sql(f"select true as success, count(*) as articles_added, cast(null as varchar) as error, {NOW} as run_at from rounds"))
+@query(ingest_sql(f"select true as success, count(*) as articles_added, cast(null as varchar) as error, {NOW} as run_at from rounds"))
 def job_result(spark, d):
     return run_ingest(spark, d).run
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsweave.catalog.maintain import ingest_sql, known_tables, raw_entries
 from newsweave.catalog.registry import query
+from newsweave.catalog.views import AS_OF as NOW
 from newsweave.catalog.views import sql
-from newsweave.operators import articles as A
-from newsweave.plans.ingest import reachable
-from newsweave.session import configure
+from newsweave.operators.maintenance import retention_days
+from newsweave.session import configure, cut_lineage
 from newsweave.sources import sample as S
+from newsweave.streaming import ingest as G
 from newsweave.streaming import streams as W
 
 
@@ -36,17 +38,28 @@ def stream_dedup_articles(spark, d):
     return spark.read.parquet(table).select("article_url")
 
 
-@query(sql("feed_items url_status stored", """select distinct f.link from feed_items f join url_status u on u.url = f.link
- where u.status = 200 and f.topic is not null and f.link not in (select article_url from stored)"""))
+WHOLE = "id, source_id, title, summary, article_url, published_at, topic, image_url, classification_method, ai_confidence_score"
+
+
+@query(ingest_sql(f"""select id, source_id, title, summary, article_url, published_at, topic, coalesce(nullif(image_url, ''), first_image) as image_url,
+ cast(null as varchar) as classification_method, cast(null as decimal(4,3)) as ai_confidence_score from kept left join firsts on link = article_url
+ union all select (select max(id) from content) + row_number() over (order by pos, source_name), source_id, title, replace(replace(summary, '"', ''), chr(39), ''),
+ link, {NOW}, topic, image, method, cast(confidence as decimal(4,3)) from inserts left join pictures using (doc_id)""", None, "known",
+                   offered="select link, pos, source_name, 'https://img.example.com/' || doc_id || '.jpg' as image from feed_items where doc_id % 2 = 0",
+                   firsts="select link, arg_min(image, row(pos, source_name)) as first_image from offered group by link",
+                   pictures="""select i.doc_id, arg_min(o.image, row(o.pos, o.source_name)) as image from inserts i
+ join offered o on o.link = i.link and (o.pos > i.pos or o.pos = i.pos and o.source_name >= i.source_name) group by i.doc_id"""))
 def stream_ingest(spark, d):
-    """Entries arrive in four files, one file per micro-batch."""
-    entries = S.feed_links(spark, d).withColumn("pos", F.col("doc_id"))
+    """Raw entries arrive in four files, in round order, one file per micro-batch; the whole table behind them."""
+    content = cut_lineage(retention_days(known_tables(spark, d), S.AS_OF))
+    entries = raw_entries(spark, d).select("source_id", "source_name", "pos", "link", "title", "summary", "published_at", "image_url")
     inbox = W.new_output(spark, "inbox")
-    entries.repartition(4, "doc_id").write.parquet(inbox)
+    rounds = entries.agg(F.max("pos")).first()[0] // 4 + 1
+    for i in range(4):
+        entries.where(F.col("pos").between(i * rounds, i * rounds + rounds - 1)).coalesce(1).write.mode("append").parquet(inbox)
     stream = W.read_files(spark, inbox, entries.schema, files_per_batch=1)
-    status, stored = S.url_status(spark, d), S.stored_urls(spark, d)
-    table = W.ingest_entries(stream, stored, W.new_output(spark, "ingest"), lambda batch: reachable(batch.where(A.has_topic()), status))
-    return spark.read.parquet(table).select("link")
+    out = G.ingest_stream(stream, content, S.url_status(spark, d), S.AS_OF, W.new_output(spark, "ingest"))
+    return G.streamed_content(content, out).select(*WHOLE.split(", "))
 
 
 @query(sql("interactions", "select user_id, content_id, is_read, is_liked, interaction_at from interactions"))

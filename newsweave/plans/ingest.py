@@ -108,11 +108,11 @@ def logged_run(spark, job, as_of) -> DataFrame:
         return failed_run(spark, f"{type(error).__name__}: {str(error).splitlines()[0][:500]}", as_of)
 
 
-def insert_new_articles(content: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``chosen`` entries as content rows with the next ids in insertion order."""
+def insert_new_articles(content: DataFrame, chosen: DataFrame, top: int | None = None) -> DataFrame:
+    """``chosen`` entries as content rows with the next ids in insertion order, behind ``top`` or the largest id of ``content``."""
     keys = chosen.select("link", *ROUND)
     placed = position_in_group(keys, [], [F.col(c) for c in ROUND], "_n").select("link", "_n")
-    top = content.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
+    top = content.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar() if top is None else F.lit(top)
     return chosen.join(placed, "link").select(
         (top + F.col("_n")).cast("long").alias("id"), "source_id", "title", strip_quotes("summary").alias("summary"),
         F.col("link").alias("article_url"), "published_at", "topic", "image_url",
@@ -138,9 +138,10 @@ class IngestResult:
 
 
 def ingest(t: Tables, feed_items: DataFrame, url_status: DataFrame, as_of, vocab: Vocabulary | None = None,
-           cap: int | None = FEED_CAP, scores: str | None = None) -> IngestResult:
+           cap: int | None = FEED_CAP, scores: str | None = None, rounds: bool = True) -> IngestResult:
     """One run over ``feed_items`` (source_id, source_name, pos, link, title, summary, published_at,
-    image_url): old articles go, new ones come in round robin, missing pictures are filled."""
+    image_url): old articles go, new ones come in round robin, missing pictures are filled. Without ``rounds`` the run
+    does not end at the first round that inserts nothing."""
     kept = retention_days(t, as_of)
     entries = prepared(entry_defaults(feed_cap(feed_items, cap), as_of), vocab, scores)
     fits = within_lengths({"title": "title", "link": "article_url"})
@@ -148,11 +149,11 @@ def ingest(t: Tables, feed_items: DataFrame, url_status: DataFrame, as_of, vocab
     # used four times below: classified and chosen once
     winners = cut_lineage(not_stored(first_wins_by_url(eligible), kept.select("article_url")))
     stop = last_round(winners).scalar()
-    chosen = winners.where(F.col("pos") < stop)
+    chosen = winners.where(F.col("pos") < stop) if rounds else winners
     added = insert_new_articles(t.content, chosen)
     # every entry of the rounds that ran may offer a picture; for an article added in this run only
     # the entries after it do
-    seen = entries.where(F.col("pos") <= stop)
+    seen = entries.where(F.col("pos") <= stop) if rounds else entries
     turn = F.struct(*ROUND)
     started = chosen.select("link", turn.alias("_turn"))
     late = seen.join(started, "link", "left").where(F.col("_turn").isNull() | (turn >= F.col("_turn"))).drop("_turn")

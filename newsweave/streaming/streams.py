@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from newsweave.operators.interactions import LOG, fold_interactions
 from newsweave.operators.ranking import first_per_group
-from newsweave.plans.ingest import first_wins_by_url, not_stored
 from newsweave.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -73,21 +72,6 @@ def dedup_articles(stream: DataFrame, time: str, keep: str = "40 days", key: str
     return stream.withWatermark(time, keep).dropDuplicatesWithinWatermark([key])
 
 
-def ingest_entries(stream: DataFrame, stored: DataFrame, out: str, eligible: Callable[[DataFrame], DataFrame], url: str = "link") -> str:
-    """Insert new entries of a stream of (link, pos, source_name, ..): eligible ones, first per URL, not
-    in ``stored`` and not inserted by an earlier batch."""
-    spark = stream.sparkSession
-
-    def each(batch, batch_id):
-        fresh = not_stored(first_wins_by_url(eligible(batch), url), stored, url)
-        if batch_id == 0:
-            return fresh
-        done = spark.read.schema(f"{url} string, batch int").parquet(f"{out}/table").where(F.col("batch") < batch_id)
-        return not_stored(fresh, done.select(F.col(url).alias("article_url")), url)
-
-    return run_to_table(stream, out, each=each)
-
-
 # -- reader state ----------------------------------------------------------------------
 
 def last_commands(log: DataFrame) -> DataFrame:
