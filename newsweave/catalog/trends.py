@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsweave.catalog.registry import query
+from newsweave import clock
+from newsweave.catalog.registry import ORACLE, query
 from newsweave.catalog.views import AS_OF as NOW
 from newsweave.catalog.views import sql
+from newsweave.operators import partials as W
 from newsweave.operators import trends as T
+from newsweave.operators.interactions import fold_interactions
 from newsweave.plans import dashboard as D
+from newsweave.session import cut_lineage, scratch_path
 from newsweave.sources import sample as S
 from newsweave.sources.sample import AS_OF
 
@@ -23,6 +27,24 @@ def topic_trends_daily(spark, d):
     return T.topic_trends_daily(S.tables(spark, d))
 
 
+def hourly_counts(spark, d):
+    """Table of hourly counts from two batches: the articles with the commands of the first days, then the rest of the commands."""
+    t, log = S.tables(spark, d), S.interaction_log(spark, d)
+    path, half = scratch_path(spark, "counts"), F.lit("2024-01-16 00:00:00").cast("timestamp")
+    before = cut_lineage(fold_interactions(None, log.where(F.col("interaction_at") < half)))
+    late = log.where(F.col("interaction_at") >= half)
+    touched = before.join(late.select("user_id", "content_id").distinct(), ["user_id", "content_id"], "left_semi")
+    W.write_batch(W.article_rows(t.content).unionByName(W.state_rows(before, t.content)), path, 0)
+    W.write_batch(W.state_rows(fold_interactions(touched, late), t.content, touched), path, 1)
+    return W.read_counts(spark, path)
+
+
+@query(sql("content interactions", TRENDS_DAILY))
+def topic_trends_partials(spark, d):
+    """The daily trends, added up from the hourly counts of two batches."""
+    return W.daily_trends(hourly_counts(spark, d))
+
+
 @query(sql("content interactions", TRENDS_DAILY.replace("where ", "where cast(c.published_at as date) = date '2024-01-15' and ")))
 def filter_on_date(spark, d):
     return T.topic_trends_daily(S.tables(spark, d), "2024-01-15")
@@ -30,7 +52,8 @@ def filter_on_date(spark, d):
 
 @query(sql("content interactions", f"select * from ({TRENDS_DAILY}) where date >= cast({NOW} as date) - 7"))
 def topic_trends_window(spark, d):
-    return T.topic_trends_window(T.topic_trends_daily(S.tables(spark, d)), AS_OF)
+    """The window cut from the hourly counts before they are added up."""
+    return T.topic_trends_window(W.daily_trends(hourly_counts(spark, d), F.date_sub(clock.day(AS_OF), 7)), AS_OF)
 
 
 @query(sql("content interactions", """select date, topic, article_count,
@@ -199,3 +222,9 @@ def user_stats(spark, d):
            hits=COMPANY_ROWS, top=top_articles_sql(6)))
 def dashboard(spark, d):
     return D.dashboard_rows(S.tables(spark, d), AS_OF)
+
+
+@query(ORACLE["dashboard"])
+def dashboard_partials(spark, d):
+    """The dashboard from the table of hourly counts: the state is not read."""
+    return D.dashboard_rows(S.tables(spark, d), AS_OF, hourly_counts(spark, d))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from newsweave import clock
 from newsweave.functions.text import clean_article_text, let
 from newsweave.operators import articles as A
+from newsweave.operators.partials import by_article
 from newsweave.operators.ranking import page
 from newsweave.sources.tables import Tables
 
@@ -114,9 +115,22 @@ def user_reading_stats(t: Tables, as_of, user_id: int | None = None, days: int =
                     F.coalesce("active_days", F.lit(0)).alias("active_days"), "last_read"))
 
 
-def trending_topics_counts(t: Tables, as_of, hours: int = 24, limit: int = 10) -> DataFrame:
-    recent = t.content.where(A.since_hours(as_of, hours) & A.has_topic()).select("id", "topic")
-    counted = (A.with_touches(recent, t.interactions).groupBy("topic")
+def recent_counts(t: Tables, as_of, hours: int = 24, partials: DataFrame | None = None) -> DataFrame:
+    """(id, topic, title, published_at, interaction_count, view_count) of the articles of the last ``hours``: what all trends of that window
+    are added up from. ``partials`` is a table of hourly counts (``operators.partials``), with which the state is not read."""
+    recent = t.content.where(A.since_hours(as_of, hours)).select("id", "topic", "title", "published_at")
+    if partials is None:
+        return A.with_touches(recent, t.interactions)
+    counted = by_article(partials, clock.hours_before(as_of, hours)).select(F.col("id").alias("_id"), "interaction_count", "view_count")
+    return recent.join(counted, F.col("id") == F.col("_id"), "left").drop("_id").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in ("interaction_count", "view_count")})
+
+
+def trending_topics_counts(t: Tables, as_of, hours: int = 24, limit: int = 10, counts: DataFrame | None = None) -> DataFrame:
+    """``counts``: ``recent_counts`` of the same hours, where they are known already."""
+    if counts is None:
+        counts = A.with_touches(t.content.where(A.since_hours(as_of, hours) & A.has_topic()).select("id", "topic"), t.interactions)
+    counted = (counts.where(A.has_topic()).groupBy("topic")
                .agg(F.count("*").alias("article_count"), F.sum("interaction_count").alias("interaction_count")))
     return page(counted, [F.col("interaction_count").desc(), F.col("article_count").desc(), F.col("topic")], limit)
 
@@ -140,10 +154,15 @@ def company_mentions(title: Column, aliases: dict[str, list[str]] | None = None,
         lambda row: row["company"]))[0]
 
 
-def trending_companies(t: Tables, as_of, aliases=None, hours: int = 24, limit: int = 10, match: str = "substring") -> DataFrame:
-    recent = t.content.where(A.since_hours(as_of, hours)).select("id", "title")
-    named = recent.select("id", company_mentions(F.col("title"), aliases, match).alias("companies")).where(F.size("companies") > 0)
-    scored = A.with_touches(named, t.interactions).select(F.explode("companies").alias("company"), "interaction_count")
+def trending_companies(t: Tables, as_of, aliases=None, hours: int = 24, limit: int = 10, match: str = "substring",
+                       counts: DataFrame | None = None) -> DataFrame:
+    named = company_mentions(F.col("title"), aliases, match).alias("companies")
+    if counts is None:
+        recent = t.content.where(A.since_hours(as_of, hours)).select("id", "title")
+        counted = A.with_touches(recent.select("id", named).where(F.size("companies") > 0), t.interactions)
+    else:
+        counted = counts.select(named, "interaction_count")
+    scored = counted.select(F.explode("companies").alias("company"), "interaction_count")
     totals = scored.groupBy("company").agg(F.count("*").alias("mentions"), F.sum("interaction_count").alias("interaction_score"))
     return page(totals, [F.col("interaction_score").desc(), F.col("mentions").desc(), F.col("company")], limit)
 
@@ -161,12 +180,13 @@ def topic_share(t: Tables, as_of, days: int = 7) -> DataFrame:
     return share_of_total(counts).orderBy(F.col("article_count").desc(), "topic")
 
 
-def trending_articles(t: Tables, as_of, hours: int = 24, limit: int = 5) -> DataFrame:
+def trending_articles(t: Tables, as_of, hours: int = 24, limit: int = 5, counts: DataFrame | None = None) -> DataFrame:
     """Most touched recent articles. Only ids are ranked; the long summary is fetched and
     cleaned for the ``limit`` winners."""
     recent = t.content.where(A.since_hours(as_of, hours) & A.has_topic())
-    ranked = page(A.with_touches(recent.select("id", "published_at"), t.interactions),
-                  [F.col("interaction_count").desc()] + A.newest_first(), limit)
+    if counts is None:
+        counts = A.with_touches(recent.select("id", "topic", "published_at"), t.interactions)
+    ranked = page(counts.where(A.has_topic()), [F.col("interaction_count").desc()] + A.newest_first(), limit)
     best = ranked.select(F.col("id").alias("_id"), F.col("interaction_count").alias("interactions"))
     return (recent.join(best, F.col("id") == F.col("_id"))
             .orderBy(F.col("interactions").desc(), *A.newest_first())

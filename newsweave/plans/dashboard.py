@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from newsweave import clock
 from newsweave.operators import trends as T
+from newsweave.session import cut_lineage
 from newsweave.sources.tables import Tables
 
 
-def dashboard(t: Tables, as_of) -> dict[str, DataFrame]:
-    """The five parts of the dashboard."""
-    trending = T.trending_articles(t, as_of, 24, 6)
+def dashboard(t: Tables, as_of, partials: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The five parts of the dashboard. The articles of the last day are counted once, from the state or from a table of hourly
+    counts; topics, companies, articles and the briefing are added up from these."""
+    counts = cut_lineage(T.recent_counts(t, as_of, 24, partials))
+    trending = cut_lineage(T.trending_articles(t, as_of, 24, 6, counts))
     return {
-        "trending_topics": T.trending_topics_counts(t, as_of),
-        "trending_companies": T.trending_companies(t, as_of),
+        "trending_topics": T.trending_topics_counts(t, as_of, counts=counts),
+        "trending_companies": T.trending_companies(t, as_of, counts=counts),
         "topic_share": T.topic_share(t, as_of),
         "trending_articles": trending,
         "briefing": T.briefing_text(trending),
     }
 
 
-def dashboard_rows(t: Tables, as_of) -> DataFrame:
+def dashboard_rows(t: Tables, as_of, partials: DataFrame | None = None) -> DataFrame:
     """The dashboard as one table (part, label, count, score)."""
-    parts = dashboard(t, as_of)
+    parts = dashboard(t, as_of, partials)
     row = lambda name, label, count, score: parts[name].select(
         F.lit(name).alias("part"), label.alias("label"), count.cast("double").alias("count"), score.cast("double").alias("score"))
     none = F.lit(None)
