@@ -33,11 +33,10 @@ RULES = ("start", "end", "most", "shares")
 class Encoder:
     """A byte-level encoding from a rank file, with the length in bytes of every token."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, file: bytes, pattern: str):
         import base64
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
         self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
@@ -86,10 +85,10 @@ def allotted(start: np.ndarray, end: np.ndarray, sections: list[tuple[int, int]]
     return counts, rest
 
 
-def section_tokens(docs: DataFrame, encoder: tuple[str, str], key: str = "doc_id", text: str = "text", rule: str = "most",
+def section_tokens(docs: DataFrame, encoder: tuple[bytes, str], key: str = "doc_id", text: str = "text", rule: str = "most",
                    sections: Callable[[bytes], list[tuple[int, int]]] = line_sections) -> DataFrame:
     """One row per document and section: key, section (from 0), span_start and span_end (bytes), n_tokens (by the rule), and
-    doc_tokens. ``sections`` gives byte spans of a text, in order; ``encoder`` is the path of a rank file and its pattern."""
+    doc_tokens. ``sections`` gives byte spans of a text, in order; ``encoder`` is a rank file, as bytes, and its pattern."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
@@ -122,8 +121,9 @@ def section_tokens(docs: DataFrame, encoder: tuple[str, str], key: str = "doc_id
                        f"`{key}` {kind}, section long, span_start long, span_end long, n_tokens double, doc_tokens long")
 
 
-def default_encoder() -> tuple[str, str]:
-    """The given rank file and pattern; any other of the kind can be passed instead."""
+def default_encoder() -> tuple[bytes, str]:
+    """The given rank file, whose bytes go to the tasks, and pattern; any other of the kind can be passed instead."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
