@@ -40,7 +40,10 @@ from pyspark.sql.types import DataType
 from newsweave.llm.common import cells, map_batches, stored
 
 #: Cells from which on a block is closed; characters of the items searched for at once; ranges opened at once.
-BLOCK_CELLS, ITEM_CHARS, AT_ONCE = 1_000_000, 2_000_000, 48
+BLOCK_CELLS, ITEM_CHARS, AT_ONCE = 500_000, 2_000_000, 320
+#: Of four quadrant bits: whether a quadrant goes on, and how many before it do.
+GOES_ON = np.array([[bits >> q & 1 for q in range(4)] for bits in range(16)], bool)
+GO_BEFORE = np.array([[bin(bits & ((1 << q) - 1)).count("1") for q in range(4)] for bits in range(16)], np.int32)
 #: Everything below 0x80 but digits and letters parts terms.
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -147,16 +150,16 @@ def build(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, height: int
 
 
 class Treap:
-    """A treap to search in: of each node its impact, its cell, its quadrants and where its children start."""
+    """A treap to search in: of each node its impact, its cell, its quadrants and where its children start. Behind the nodes
+    stands one that is empty, for rows without a node."""
 
     def __init__(self, levels: Levels):
         self.height, sizes = levels.height, levels.sizes.tolist()
-        self.bits = levels.bits
-        count = np.bitwise_count(self.bits).astype(np.int64)
-        base = sizes[0] if sizes else 0
-        self.first = base + np.cumsum(count) - count
-        n = len(self.bits)
-        self.value, prefix = np.zeros(n, np.int32), np.zeros(n, np.uint64)
+        n = self.none = len(levels.bits)
+        self.bits = np.append(levels.bits, np.uint8(0))
+        count = np.bitwise_count(self.bits).astype(np.int32)
+        self.first = (sizes[0] if sizes else 0) + np.cumsum(count, dtype=np.int32) - count
+        self.value, prefix = np.zeros(n + 1, np.int32), np.zeros(n, np.uint64)
         start = 0
         for level, size in enumerate(sizes):
             here = slice(start, start + size)
@@ -164,29 +167,27 @@ class Treap:
                 self.value[here] = -levels.drops[here]
             else:
                 up = slice(start - sizes[level - 1], start)
-                quadrants = np.unpackbits(self.bits[up][:, None], axis=1, bitorder="little")[:, :4]
-                parent, quadrant = np.nonzero(quadrants)
+                parent, quadrant = np.nonzero(GOES_ON[levels.bits[up]])
                 self.value[here] = self.value[up][parent] - levels.drops[here]
                 prefix[here] = (prefix[up][parent] << np.uint64(2)) | quadrant.astype(np.uint64)
             start += size
-        level_of = np.repeat(np.arange(len(sizes)), sizes)
-        code = (prefix << (2 * (self.height - level_of)).astype(np.uint64)) | levels.places
-        self.row, self.column = gathered(code >> np.uint64(1)), gathered(code)
+        place = (2 * (self.height - np.repeat(np.arange(len(sizes)), sizes))).astype(np.uint64)
+        code = (prefix << place) | levels.places
+        self.row = np.append(gathered(code >> np.uint64(1)).astype(np.int32), np.int32(-1))
+        self.column = np.append(gathered(code).astype(np.int32), np.int32(0))
 
     def best(self, rows: np.ndarray, weights: np.ndarray, limit: int, floor: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(columns, scores) of the ``limit`` best columns for weighted rows with a score above 0 and of at least ``floor``, best first, of
         equals the smaller column first."""
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
-        if not len(self.value) or not len(rows):
-            return none
-        k, height = len(rows), self.height
-        popcount = np.array([bin(i).count("1") for i in range(16)], np.int64)
+        columns, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+        if not self.none or not len(rows):
+            return columns, scores
+        k, height, rows = len(rows), self.height, rows.astype(np.int32)
         # open ranges: level, first column, bound, number; their nodes; cells met in them: number of the range, term, column, impact
         level, start, number = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        bound, nodes = np.array([weights.sum() * int(self.value[0])], np.int64), np.zeros((1, k), np.int64)
+        bound, nodes = np.array([weights.sum() * int(self.value[0])], np.int64), np.zeros((1, k), np.int32)
         met = [np.empty(0, np.int64) for _ in range(4)]
         numbers = 1
-        found_columns, found_scores = none
         last, last_column = max(floor, 1), np.iinfo(np.int64).max
         while len(bound):
             if len(bound) > AT_ONCE:
@@ -194,65 +195,54 @@ class Treap:
                 now, later = order[:AT_ONCE], order[AT_ONCE:]
             else:
                 now, later = np.arange(len(bound)), np.empty(0, np.int64)
-            lv, st, nd = level[now], start[now], nodes[now]
+            nd = nodes[now]
+            shift = height - 1 - level[now]
             chosen = np.full(numbers, -1, np.int64)
             chosen[number[now]] = np.arange(len(now))
             mine = chosen[met[0]]
             own = mine >= 0
             # the cells of the nodes themselves, where they lie in the row of their term
-            i, j = np.nonzero((nd >= 0) & (self.row[nd] == rows))
+            i, j = np.nonzero(self.row[nd] == rows)
             cell = nd[i, j]
             of = np.concatenate([mine[own], i])
-            term = np.concatenate([met[1][own], j])
-            column = np.concatenate([met[2][own], self.column[cell]])
-            value = np.concatenate([met[3][own], self.value[cell].astype(np.int64)])
+            term, column, value = (np.concatenate([m[own], x]) for m, x in zip(met[1:], (j, self.column[cell], self.value[cell])))
             met = [x[~own] for x in met]
             # both halves of the columns, the half of the rows in which the term lies
-            shift = height - 1 - lv
-            half = (rows >> np.maximum(shift, 0)[:, None]) & 1
-            flags = np.where(nd >= 0, self.bits[nd], 0).astype(np.int64)
-            children = np.full((len(now), 2, k), -1, np.int64)
+            quadrant = 2 * ((rows >> np.maximum(shift, 0)[:, None]) & 1)
+            flags, first = self.bits[nd], self.first[nd]
+            children = np.empty((len(now), 2, k), np.int32)
             for side in (0, 1):
-                quadrant = 2 * half + side
-                there = (flags >> quadrant) & 1 == 1
-                before = popcount[flags & ((1 << quadrant) - 1)]
-                children[:, side][there] = (self.first[nd] + before)[there]
-            child = 2 * of + ((column >> np.maximum(shift[of], 0)) & 1)
+                children[:, side] = np.where(GOES_ON[flags, quadrant + side], first + GO_BEFORE[flags, quadrant + side], self.none)
             children = children.reshape(-1, k)
-            impact = np.where(children >= 0, self.value[children], 0).astype(np.int64)
+            child = 2 * of + ((column >> np.maximum(shift[of], 0)) & 1)
+            impact = self.value[children].astype(np.int64)
             np.maximum.at(impact, (child, term), value)
             child_bound = impact @ weights
-            child_level = np.repeat(lv + 1, 2)
-            child_start = np.repeat(st, 2)
+            child_start = np.repeat(start[now], 2)
             child_start[1::2] += 1 << np.maximum(shift, 0)
-            done = child_level == height
+            done = np.repeat(shift == 0, 2)
             if done.any():
                 single = np.flatnonzero(done & (child_bound >= last))
-                found_columns = np.concatenate([found_columns, child_start[single]])
-                found_scores = np.concatenate([found_scores, child_bound[single]])
-                if len(found_scores) >= limit:
-                    order = np.lexsort((found_columns, -found_scores))[:limit]
-                    found_columns, found_scores = found_columns[order], found_scores[order]
-                    last, last_column = max(int(found_scores[-1]), last), int(found_columns[-1]) if found_scores[-1] >= last else last_column
-            go = np.flatnonzero(~done)
-            new_number = np.full(len(child_bound), -1, np.int64)
-            new_number[go] = numbers + np.arange(len(go))
-            level, start = np.concatenate([level[later], child_level[go]]), np.concatenate([start[later], child_start[go]])
-            bound, nodes = np.concatenate([bound[later], child_bound[go]]), np.concatenate([nodes[later], children[go]])
-            number = np.concatenate([number[later], new_number[go]])
+                columns, scores = np.concatenate([columns, child_start[single]]), np.concatenate([scores, child_bound[single]])
+                if len(scores) >= limit:
+                    order = np.lexsort((columns, -scores))[:limit]
+                    columns, scores = columns[order], scores[order]
+                    last, last_column = int(scores[-1]), int(columns[-1])
+            go = np.flatnonzero(~done & ((child_bound > last) | ((child_bound == last) & (child_start < last_column))))
+            follows = np.full(len(child_bound), -1, np.int64)
+            follows[go] = numbers + np.arange(len(go))
+            stays = later[(bound[later] > last) | ((bound[later] == last) & (start[later] < last_column))]
+            number = np.concatenate([number[stays], follows[go]])
             numbers += len(go)
-            follows = new_number[child]
-            on = follows >= 0
-            met = [np.concatenate([m, x[on]]) for m, x in zip(met, (follows, term, column, value))]
-            stays = (bound > last) | ((bound == last) & (start < last_column))
-            if not stays.all():
-                level, start, bound, nodes, number = level[stays], start[stays], bound[stays], nodes[stays], number[stays]
-                alive = np.zeros(numbers, bool)
-                alive[number] = True
-                keep = alive[met[0]]
-                met = [m[keep] for m in met]
-        order = np.lexsort((found_columns, -found_scores))[:limit]
-        return found_columns[order], found_scores[order]
+            alive = np.zeros(numbers, bool)
+            alive[number] = True
+            keep, on = alive[met[0]], follows[child] >= 0
+            met = [np.concatenate([m[keep], x[on]]) for m, x in zip(met, (follows[child], term, column, value))]
+            level = np.concatenate([level[stays], np.repeat(level[now] + 1, 2)[go]])
+            start, bound = np.concatenate([start[stays], child_start[go]]), np.concatenate([bound[stays], child_bound[go]])
+            nodes = np.concatenate([nodes[stays], children[go]])
+        order = np.lexsort((columns, -scores))[:limit]
+        return columns[order], scores[order]
 
 
 # ---------------------------------------------------------------- blocks of documents
@@ -267,12 +257,12 @@ class Collector:
 
     def add(self, key, text: str | None) -> None:
         numbers, terms = self.numbers, terms_of(text)
-        code = np.array([numbers.setdefault(t, len(numbers)) for t in terms], np.int64)
+        code = np.array([numbers.setdefault(t, len(numbers)) for t in terms], np.int32)
         term, tf = np.unique(code, return_counts=True)
         self.keys.append(key)
         self.lengths.append(len(terms))
         self.term.append(term)
-        self.tf.append(tf)
+        self.tf.append(tf.astype(np.int32))
         self.sizes.append(len(term))
         self.cells += len(term)
 
@@ -281,7 +271,7 @@ class Collector:
         order = sorted(range(len(self.keys)), key=lambda i: (self.keys[i] is None, self.keys[i] if self.keys[i] is not None else 0))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        term, tf = (np.concatenate(x).astype(np.int64) for x in (self.term, self.tf))
+        term, tf = np.concatenate(self.term), np.concatenate(self.tf).astype(np.int64)
         column = np.repeat(place, self.sizes)
         df = np.bincount(term, minlength=len(self.numbers))
         by_df = np.argsort(-df, kind="stable")
