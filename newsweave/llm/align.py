@@ -22,6 +22,7 @@ result; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from newsweave.llm.common import cells, held, map_batches, stored
 
 #: Characters of a block (one document at least), and of the texts encoded at once; most links of a group that is spread.
-BLOCK_CHARS, CALL_CHARS, SPREAD = 6_000_000, 200_000, 256
+BLOCK_CHARS, CALL_CHARS, SPREAD = 2_500_000, 200_000, 256
 SPACE = "▁"
 RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -47,41 +48,83 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class ByteLevel:
+    """Encoder of a byte-level tokenizer file. Texts of Latin-1 characters, whose classes no version of Unicode changes, go through
+    the ranks that the file's vocabulary gives, which are its merges in order (checked here); all others through the file's own library."""
+
+    #: How byte-level tokenizers cut a text before they merge (a fixed value).
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, file: bytes):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_buffer(file)
+        self.library.encode_special_tokens = True
+        written = byte_characters()
+        known = self.library.get_vocab(with_added_tokens=True)
+        self.bytes = [b""] * (max(known.values()) + 1)
+        for token, i in known.items():
+            self.bytes[i] = bytes(written[c] for c in token) if all(c in written for c in token) else token.encode()
+        told = json.loads(file)
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in told["model"]["merges"]]
+        vocabulary, cut = told["model"]["vocab"], told["pre_tokenizer"] or {}
+        places = [vocabulary[m] for m in merges]
+        plain = told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.lossless = told["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space")
+        self.ranks = None
+        if plain and places == sorted(places) and len(vocabulary) == 256 + len(merges) and not told["model"].get("dropout"):
+            self.ranks = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks={self.bytes[i]: i for i in vocabulary.values()}, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        others = []
+        for i, t in enumerate(texts):
+            if self.ranks is not None and latin(t):
+                out[i] = self.ranks.encode_to_numpy(t, disallowed_special=()).astype(np.int32)
+            else:
+                others.append(i)
+        for i, found in zip(others, self.library.encode_batch_fast([texts[i] for i in others], add_special_tokens=False) if others else []):
+            out[i] = np.array(found.ids, np.int32)
+        return out
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Pair:
     """Both tokenizers, with the bytes of every token and its text form in a list of groups."""
 
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_buffer(a), sentencepiece.SentencePieceProcessor(model_proto=b)
-        self.a.encode_special_tokens = True
-        vocabulary, written = self.a.get_vocab(with_added_tokens=True), byte_characters()
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(written[c] for c in token) if all(c in written for c in token) else token.encode()
-        n = self.b.get_piece_size()
+        self.a, self.b = ByteLevel(a), sentencepiece.SentencePieceProcessor(model_proto=b)
+        self.bytes_a, n = self.a.bytes, self.b.get_piece_size()
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
-        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int32) for t in (self.bytes_a, self.bytes_b))
         # a token of A goes on with , or |, one of B with , or ; or nothing
         self.shown = [f"{i}{end}".encode() for i in range(len(self.bytes_a)) for end in (",", "|")] + [f"{i}{end}".encode() for i in range(n) for end in (",", ";", "")]
         self.shown_b = 2 * len(self.bytes_a)
 
-    def encoded(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+    def encoded(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A and of B for each text; none for texts that they do not write again."""
         there = [t for t in texts if t]
         spaced = [" " + t for t in there]
-        found_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        found_b = self.b.encode(there, num_threads=1) if there else []
-        rows = iter(zip(spaced, found_a, found_b))
+        found = zip(spaced, self.a.encode(spaced), self.b.encode(there, num_threads=1) if there else [])
+        none = np.empty(0, np.int32)
         out_a, out_b = [], []
         for t in texts:
-            a, b = [], []
+            a = b = none
             if t:
-                whole, a, b = next(rows)
-                raw = whole.encode("utf-8", "replace")
-                if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
-                    a, b = [], []
+                whole, a, ids = next(found)
+                raw, table = whole.encode("utf-8", "replace"), self.bytes_b
+                same = b"".join([table[i] for i in ids]) == raw and (self.a.lossless or b"".join([self.bytes_a[i] for i in a.tolist()]) == raw)
+                a, b = (a, np.array(ids, np.int32)) if same else (none, none)
             out_a.append(a)
             out_b.append(b)
         return out_a, out_b
@@ -147,9 +190,9 @@ def doc_pairs(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, doc: n
     of = np.repeat(np.flatnonzero(small), n)
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     i, j = first_a[of] + within // q[of], first_b[of] + within % q[of]
-    codes, counts = [(doc[of] << 32) | (a[i] * base + b[j])], [np.ones(len(of), np.int64)]
+    codes, counts = [(doc[of] << 32) | (a[i].astype(np.int64) * base + b[j])], [np.ones(len(of), np.int64)]
     for g in np.flatnonzero(~small):
-        ids_a, times_a = np.unique(a[first_a[g]:first_a[g] + p[g]], return_counts=True)
+        ids_a, times_a = np.unique(a[first_a[g]:first_a[g] + p[g]].astype(np.int64), return_counts=True)
         ids_b, times_b = np.unique(b[first_b[g]:first_b[g] + q[g]], return_counts=True)
         codes.append(((doc[g] << 32) | (ids_a[:, None] * base + ids_b)).ravel())
         counts.append((times_a[:, None] * times_b).ravel())
@@ -173,26 +216,29 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def aligned_block(pair: Pair, ids_a: list[list[int]], ids_b: list[list[int]]) -> dict:
+def aligned_block(pair: Pair, ids_a: list[np.ndarray], ids_b: list[np.ndarray]) -> dict:
     """What is known of a block of documents before the counts of all documents are."""
     n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-    a, b = (np.concatenate([np.asarray(x, np.int64) for x in ids] or [np.empty(0, np.int64)]) for ids in (ids_a, ids_b))
-    at_a, at_b = common_ends(np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b]), n_a, n_b)
+    a, b = (np.concatenate([*ids, np.empty(0, np.int32)]) for ids in (ids_a, ids_b))
+    at_a, at_b = common_ends(np.cumsum(pair.size_a[a], dtype=np.int64), np.cumsum(pair.size_b[b], dtype=np.int64), n_a, n_b)
     p, q = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
     docs = len(n_a)
     doc = np.repeat(np.arange(docs), n_a)[at_a]
     last_group = np.r_[doc[1:] != doc[:-1], True] if len(doc) else np.empty(0, bool)
     # the tokens in the order in which groups are written, each with what follows it
-    group_a, group_b = np.repeat(np.arange(len(p)), p), np.repeat(np.arange(len(q)), q)
-    sequence = np.empty(len(a) + len(b), np.int64)
-    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    last_a[at_a], last_b[at_b] = 1, 1 + last_group
-    sequence[np.arange(len(a)) + (at_b - q + 1)[group_a]] = 2 * a + last_a
-    sequence[np.arange(len(b)) + (at_a + 1)[group_b]] = pair.shown_b + 3 * b + last_b
+    sequence = np.empty(len(a) + len(b), np.int32)
+    form = 2 * a
+    form[at_a] += 1
+    sequence[np.arange(len(a)) + np.repeat(at_b - q + 1, p)] = form
+    form = pair.shown_b + 3 * b
+    form[at_b] += 1 + last_group.astype(np.int32)
+    sequence[np.arange(len(b)) + np.repeat(at_a + 1, q)] = form
+    del form
     shown, digests, start = pair.shown, [], 0
     for n in (n_a + n_b).tolist():
         digests.append(hashlib.sha256(b"".join([shown[i] for i in sequence[start:start + n].tolist()])).hexdigest() if n else "")
         start += n
+    del sequence
     code, times = doc_pairs(a, b, p, q, doc, len(pair.bytes_b))
     of_doc, of_pair = code >> 32, code & 0xFFFFFFFF
     pairs, which, held_by = np.unique(of_pair, return_inverse=True, return_counts=True)
@@ -246,8 +292,8 @@ def aligned(docs: DataFrame, tokenizers: tuple[bytes, bytes], key: str = "doc_id
             ids_a, ids_b = [], []
             for call in calls_of(texts):
                 a, b = pair.encoded(call)
-                ids_a += [np.array(x, np.int32) for x in a]
-                ids_b += [np.array(x, np.int32) for x in b]
+                ids_a += a
+                ids_b += b
             found = aligned_block(pair, ids_a, ids_b)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([place + number]), pa.array([keys], pa.list_(key_type)), pa.array([found["groups_sha256"]], pa.list_(pa.string())),

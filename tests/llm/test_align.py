@@ -17,8 +17,7 @@ def slow(pair, texts):
     """The contract's definition, occurrence by occurrence."""
     linked, shown, sizes, held = [], [], [], defaultdict(int)
     for t in texts:
-        pair.a.encode_special_tokens = True
-        a = pair.a.encode(" " + t, add_special_tokens=False).ids if t else []
+        a = pair.a.library.encode(" " + t, add_special_tokens=False).ids if t else []
         b = pair.b.encode(t) if t else []
         raw = (" " + t).encode() if t else b""
         if b"".join(pair.bytes_a[i] for i in a) != raw or b"".join(pair.bytes_b[i] for i in b) != raw:
@@ -72,6 +71,15 @@ def test_repeated_and_null_ids(spark, pair):
     assert align.aligned(docs.limit(0), align.default_tokenizers()).collect() == []
 
 
+def test_ranks_are_the_library(pair, read):
+    """The short way for Latin-1 texts gives what the file's library gives."""
+    rng = np.random.default_rng(3)
+    texts = [" " + (r["text"] or "") for r in read("documents").collect()] + [" " + "".join(map(chr, rng.integers(0, 256, 300))) for _ in range(200)]
+    texts += [" it's don't WE'LL 12ab  \n\n x\t\xa0y \x85\x1c z", " ", "  ", " <|endoftext|>", " ªº²³¼µß÷×"]
+    assert pair.a.ranks is not None and sum(map(align.latin, texts)) > 200
+    assert [x.tolist() for x in pair.a.encode(texts)] == [e.ids for e in pair.a.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_galloping():
     rng = np.random.default_rng(1)
     for _ in range(200):
