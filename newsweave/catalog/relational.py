@@ -11,7 +11,9 @@ from newsweave.functions import text as X
 from newsweave.operators import articles as A
 from newsweave.operators import interactions as I
 from newsweave.operators import ranking as R
+from newsweave.operators import state as Z
 from newsweave.plans import feeds as P
+from newsweave.plans import interests as N
 from newsweave.sources import sample as S
 from newsweave.sources.sample import AS_OF
 
@@ -149,14 +151,24 @@ def join_article_source(spark, d):
     return A.join_source(S.content(spark, d).select("id", "source_id"), S.sources(spark, d))
 
 
-@query(sql("content interactions user_topics", f"""select u.user_id, c.id, coalesce(i.is_read, false) as is_read,
+PAGE = f"""select * from (select u.user_id, c.{KEYS.replace(', ', ', c.')}, row_number() over (partition by u.user_id order by {NEWEST.replace('id', 'c.id')}) as position
+ from content c join user_topics u on u.topic = c.topic) where position <= 60"""
+
+
+def pages(spark, d, interests=None):
+    """Three pages of 20 for every reader with interests, over all dates."""
+    return N.page_of_interests(S.content(spark, d), S.user_topics(spark, d) if interests is None else interests, 20, 3)
+
+
+def state_table(spark, d):
+    return Z.read_state(spark, Z.write_state(S.interactions(spark, d)))
+
+
+@query(sql("content interactions user_topics", """select p.user_id, p.id, coalesce(i.is_read, false) as is_read,
  coalesce(i.is_liked, false) as is_liked, coalesce(i.is_liked, false) as is_saved, i.interaction_at
- from content c join user_topics u on u.topic = c.topic left join interactions i on i.content_id = c.id and i.user_id = u.user_id
- where c.published_at >= cast({NOW} as date)"""))
+ from page p left join interactions i on i.content_id = p.id and i.user_id = p.user_id""", page=PAGE))
 def join_article_user_state(spark, d):
-    t = S.tables(spark, d)
-    today = t.content.where(A.since_today(AS_OF)).select("id", "topic")
-    return A.with_state(A.by_interest(today, t.user_topics).select("user_id", "id"), t.interactions)
+    return A.with_state(pages(spark, d).select("user_id", "id"), state_table(spark, d))
 
 
 @query(sql("content touches", "select c.id, coalesce(t.n, 0) as interaction_count, coalesce(t.reads, 0) as view_count from content c left join touches t on t.content_id = c.id"))
@@ -169,11 +181,10 @@ def join_liked_inner(spark, d):
     return A.liked_articles(S.tables(spark, d)).select("user_id", "id", "title", "source_name", "interaction_at")
 
 
-@query(sql("content user_topics", f"select u.user_id, c.{KEYS.replace(', ', ', c.')} from content c join user_topics u on u.topic = c.topic where c.published_at >= cast({NOW} as date)"))
+@query(sql("content user_topics", f"select user_id, {KEYS}, position from page", page=PAGE))
 def join_user_interests(spark, d):
     doubled = S.user_topics(spark, d).unionByName(S.user_topics(spark, d))
-    today = S.content(spark, d).where(A.since_today(AS_OF)).select("id", "topic", "published_at")
-    return A.by_interest(today, doubled).select("user_id", "id", "topic", "published_at")
+    return pages(spark, d, doubled).select("user_id", "id", "topic", "published_at", F.col("position").cast("long").alias("position"))
 
 
 @query(sql("content likes", f"select {KEYS} from content where id not in (select content_id from likes)"))
@@ -181,23 +192,21 @@ def anti_liked(spark, d):
     return A.without_liked(S.content(spark, d).select("id", "topic", "published_at"), S.interactions(spark, d))
 
 
-@query(sql("content interactions user_topics", f"""select u.user_id, c.id from content c join user_topics u on u.topic = c.topic
- where c.published_at >= cast({NOW} as date) and not exists (select 1 from interactions i where i.user_id = u.user_id and i.content_id = c.id and i.is_read)"""))
+@query(sql("content interactions user_topics", """select user_id, id from page p
+ where not exists (select 1 from interactions i where i.user_id = p.user_id and i.content_id = p.id and i.is_read)""", page=PAGE))
 def anti_read_by_user(spark, d):
-    t = S.tables(spark, d)
-    today = t.content.where(A.since_today(AS_OF)).select("id", "topic")
-    return A.without_read(A.by_interest(today, t.user_topics).select("user_id", "id"), t.interactions)
+    return A.without_read(pages(spark, d).select("user_id", "id"), state_table(spark, d))
 
 
 # -- state -----------------------------------------------------------------------------
 
 @query(sql("interactions", "select user_id, content_id, is_read, is_liked, interaction_at from interactions"))
 def fold_interactions(spark, d):
-    """The log folded in two halves: the state after the first half is the input of the second."""
+    """The log folded in two halves: the state after the first half is stored in buckets, the second is merged into them."""
     log = S.interaction_log(spark, d)
     half = F.lit("2024-01-16 00:00:00").cast("timestamp")
-    before = I.fold_interactions(None, log.where(F.col("interaction_at") < half))
-    return I.fold_interactions(before, log.where(F.col("interaction_at") >= half))
+    before = Z.write_state(I.fold_interactions(None, log.where(F.col("interaction_at") < half)))
+    return Z.folded(Z.read_state(spark, before), log.where(F.col("interaction_at") >= half))
 
 
 @query(sql("interaction_log", """select user_id, content_id, false as is_read, arg_max(liked, row(interaction_at, event_id)) as is_liked,

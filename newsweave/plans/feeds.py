@@ -190,13 +190,14 @@ def personalized_digest(t: Tables, user_id: int | None = None, limit: int = 20,
 
 # -- by interest -----------------------------------------------------------------------
 
-def _interest_sets(t: Tables, user_id=None) -> DataFrame:
-    """(user_id, _list, topics): each reader's set of interests, which names a list. There are at most 2^topics lists."""
-    sets = _interests(t, user_id).where(A.has_topic()).groupBy("user_id").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
+def interest_sets(user_topics: DataFrame) -> DataFrame:
+    """(user_id, _list, topics): each reader's set of interests, which names a list; a repeated interest counts once. There are at most
+    2^topics lists."""
+    sets = user_topics.where(A.has_topic()).groupBy("user_id").agg(F.sort_array(F.collect_set("topic")).alias("topics"))
     return sets.select("user_id", F.array_join("topics", "\n").alias(LIST), "topics")
 
 
-def _list_topics(sets: DataFrame) -> DataFrame:
+def list_topics(sets: DataFrame) -> DataFrame:
     """(_list, topic) of the lists that somebody has."""
     return sets.select(LIST, "topics").distinct().select(LIST, F.explode("topics").alias("topic"))
 
@@ -205,20 +206,21 @@ def _interest_lists(recent: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """Newest ``k`` articles of every set of interests: (_list, id, published_at, _turn). A list's newest k are among the newest k of each of its
     topics, so topics are cut before they meet."""
     head = _ranked(recent.where(A.has_topic()), ["topic"], k).drop(TURN)
-    listed = head.join(F.broadcast(_list_topics(sets)), "topic").select(LIST, "id", "published_at")
+    listed = head.join(F.broadcast(list_topics(sets)), "topic").select(LIST, "id", "published_at")
     return cut_lineage(top_k_per_group(listed, [LIST], A.newest_first(), k, TURN))
 
 
-def _served(sets: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """(user_id, id, _turn): each reader's list. The lists are at most 2^topics x k narrow rows."""
-    return sets.select("user_id", LIST).join(_bounded(lists.select(LIST, "id", TURN), 2 ** len(TOPICS) * k), LIST).select("user_id", "id", TURN)
+def served(sets: DataFrame, lists: DataFrame, k: int, *carry: str) -> DataFrame:
+    """(user_id, id, _turn, carry..): each reader's list. The lists are at most 2^topics x k narrow rows."""
+    places = _bounded(lists.select(LIST, "id", TURN, *carry), 2 ** len(TOPICS) * k)
+    return sets.select("user_id", LIST).join(places, LIST).select("user_id", "id", TURN, *carry)
 
 
 def topic_feed(t: Tables, as_of, hours: int = 24, user_id: int | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Newest articles of a reader's interests within ``hours`` (168 for seven days); read ones stay."""
-    sets = _interest_sets(t, user_id)
+    sets = interest_sets(_interests(t, user_id))
     lists = _interest_lists(_known(t).where(A.since_hours(as_of, hours)), sets, limit + offset)
-    chosen = _served(sets, lists, limit + offset).where(F.col(TURN) > offset).withColumn("position", F.col(TURN) - offset).drop(TURN)
+    chosen = served(sets, lists, limit + offset).where(F.col(TURN) > offset).withColumn("position", F.col(TURN) - offset).drop(TURN)
     return _shown(t, chosen, lists.select("id"), "position")
 
 
@@ -228,14 +230,14 @@ def fast_view(t: Tables, as_of, user_id: int | None = None) -> DataFrame:
     interests - newest 30 of seven days, read ones then dropped; fallback - nothing was left there:
     newest 10 unread of all topics; general - no interests: newest 30 unread.
     """
-    sets = _interest_sets(t, user_id)
+    sets = interest_sets(_interests(t, user_id))
     lists = _interest_lists(_known(t).where(A.since_hours(as_of, 168)), sets, 30)
-    newest = _served(sets, lists, 30).withColumnRenamed(TURN, "position")
+    newest = served(sets, lists, 30).withColumnRenamed(TURN, "position")
     unread = newest.join(_reads(t, user_id), ["user_id", "id"], "left_anti").select("user_id", "id", "position")
     feed = _shown(t, unread, lists.select("id"), "position").withColumn("slot", F.lit("interests"))
     interested = _interests(t, user_id).select("user_id").distinct()
-    served = unread.select("user_id").distinct()
-    others = (one_user(distinct_users(t), user_id).join(served, "user_id", "left_anti")
+    reached = unread.select("user_id").distinct()
+    others = (one_user(distinct_users(t), user_id).join(reached, "user_id", "left_anti")
               .join(interested.withColumn("_wants", F.lit(True)), "user_id", "left")
               .select("user_id", F.coalesce("_wants", F.lit(False)).alias("_wants")))
     chosen, head = _unread_general(t, others.select("user_id"), 30, user_id)
@@ -257,11 +259,11 @@ def fast_batch(t: Tables, as_of, user_id: int | None = None, offset: int = 0, li
     k = offset + limit if cap is None else min(offset + limit, cap)
     everyone = one_user(distinct_users(t), user_id)
     interests = _interests(t, user_id).where(A.has_topic())
-    sets = cut_lineage(_interest_sets(t, user_id))
+    sets = cut_lineage(interest_sets(_interests(t, user_id)))
     members = sets.select("user_id", LIST)
     reads = _reads(t, user_id)
     recent = _known(t).where(A.since_hours(as_of, 168) & A.has_topic()).select("id", "topic", "published_at")
-    wanted = _list_topics(sets)
+    wanted = list_topics(sets)
     if cap is None:
         lists = recent.join(F.broadcast(wanted), "topic").select(LIST, "id", "published_at")
         per_topic = recent.groupBy("topic").agg(F.count("*").alias("_n"))
@@ -311,11 +313,11 @@ def topn_per_topic(t: Tables, pool: int = 80, per_topic: int = 10, head: DataFra
 def recommended_section(t: Tables, user_id: int | None = None, pool: int = 80, per_topic: int = 10, head: DataFrame | None = None) -> DataFrame:
     """Per reader: the newest articles of the pool in their interests."""
     head = newest_pool(t, pool) if head is None else head
-    sets = _interest_sets(t, user_id)
+    sets = interest_sets(_interests(t, user_id))
     # at most ``pool`` articles in each of the lists
-    listed = head.where(A.has_topic()).join(F.broadcast(_list_topics(sets)), "topic").select(LIST, "id", "published_at")
+    listed = head.where(A.has_topic()).join(F.broadcast(list_topics(sets)), "topic").select(LIST, "id", "published_at")
     lists = top_k_per_group(listed, [LIST], A.newest_first(), per_topic, TURN)
-    return _shown(t, _served(sets, lists, per_topic).withColumnRenamed(TURN, "position"), head, "position")
+    return _shown(t, served(sets, lists, per_topic).withColumnRenamed(TURN, "position"), head, "position")
 
 
 def home_sections(t: Tables, user_id: int | None = None, pool: int = 80, per_topic: int = 10) -> DataFrame:
@@ -333,8 +335,8 @@ def user_top_articles(t: Tables, as_of, user_id: int | None = None, limit: int =
     """Today's newest unread articles of a reader's interests. Unread positions are taken per (reader,
     topic), then the best ``limit`` of those few."""
     today = _known(t).where(A.since_today(as_of) & A.has_topic())
-    sets = cut_lineage(_interest_sets(t, user_id))
-    lists = today.join(F.broadcast(_list_topics(sets)), "topic").select(LIST, "id", "published_at")
+    sets = cut_lineage(interest_sets(_interests(t, user_id)))
+    lists = today.join(F.broadcast(list_topics(sets)), "topic").select(LIST, "id", "published_at")
     ranked, head = first_unread(lists, sets.select("user_id", LIST), _reads(t, user_id), limit)
     ranked = ranked.withColumnRenamed("ordinal", "position")
     details = t.content.join(head.select("id"), "id", "left_semi").select(
