@@ -10,7 +10,9 @@ from newsweave.catalog.views import AS_OF as NOW
 from newsweave.catalog.views import sql
 from newsweave.operators import articles as A
 from newsweave.operators import maintenance as M
+from newsweave.operators import url_filter as U
 from newsweave.plans import ingest as G
+from newsweave.session import cut_lineage
 from newsweave.sources import sample as S
 from newsweave.sources.feeds import FEEDS
 from newsweave.sources.sample import AS_OF
@@ -36,7 +38,17 @@ def known_tables(spark, d):
 
 @query(sql("feed_items content", "select f.doc_id, f.link, c.id as existing_id, c.image_url as existing_image from feed_items f left join known c on c.article_url = f.link", known=KNOWN))
 def lookup_existing_url(spark, d):
-    return A.split_by_stored_url(S.feed_links(spark, d), known_tables(spark, d).content).select("doc_id", "link", "existing_id", "existing_image")
+    """All stored rows; only entries that the filter over the stored URLs lets through meet them."""
+    content = known_tables(spark, d).content
+    known, blocks = url_filter(content.select("article_url"))
+    return U.with_stored(S.feed_links(spark, d), content, known, blocks).select("doc_id", "link", "existing_id", "existing_image")
+
+
+def url_filter(stored):
+    """Filter over stored URLs, written beside them, made from one half and extended by the other."""
+    blocks = U.blocks_for(stored.count())
+    half = F.pmod(F.xxhash64("article_url"), F.lit(2)) == 0
+    return cut_lineage(U.extended(U.build(stored.where(half), blocks), stored.where(~half), blocks)), blocks
 
 
 @query(sql("feed_items url_status", "select f.doc_id, f.link from feed_items f join url_status u on u.url = f.link where u.status = 200"))
@@ -68,7 +80,10 @@ def round_robin_ingest(spark, d):
 @query(sql("feed_items url_status stored content", """select (select max(id) from content) + row_number() over (order by pos, source_name) as id, source_id, link as article_url, topic,
  replace(replace(summary, '"', ''), '''', '') as summary from rounds""", winners=WINNERS, inserts=INSERTS, rounds=ROUNDS))
 def insert_new_articles(spark, d):
-    chosen = G.round_robin(eligible(spark, d), S.stored_urls(spark, d)).withColumns({
+    stored = S.stored_urls(spark, d)
+    known, blocks = url_filter(stored)
+    new = cut_lineage(U.without_stored(G.first_wins_by_url(eligible(spark, d)), stored, known, blocks))
+    chosen = new.where(F.col("pos") < G.last_round(new).scalar()).withColumns({
         "published_at": F.lit(AS_OF).cast("timestamp"), "image_url": F.lit(None).cast("string"), "method": F.lit("manual"),
         "ai_used": F.lit(False), "confidence": F.lit(None).cast("double"), "reason": F.lit("Pre-assigned topic")})
     return G.insert_new_articles(S.content(spark, d), chosen).select("id", "source_id", "article_url", "topic", "summary")
