@@ -10,6 +10,7 @@ from newsweave.catalog.views import sql
 from newsweave.functions import text as X
 from newsweave.operators import articles as A
 from newsweave.operators import interactions as I
+from newsweave.operators import paging as G
 from newsweave.operators import ranking as R
 from newsweave.operators import state as Z
 from newsweave.plans import feeds as P
@@ -232,6 +233,22 @@ def latest_page(spark, d):
     return R.page(S.content(spark, d).select("id", "topic", "published_at"), A.newest_first(), 50, 30)
 
 
+@query(sql("content", f"select {KEYS} from content order by {NEWEST} limit 45 offset 105"))
+def deep_page(spark, d):
+    """Rows far down: two pages from the partitions in which they lie, and one by the key of the last row before it."""
+    keys = S.content(spark, d).select("id", "topic", "published_at")
+    index = G.page_index(keys, 40)
+    second = index.page(15, 120)
+    last = second.orderBy(*A.newest_first()).tail(1)[0]
+    return index.page(15, 105).unionByName(second).unionByName(G.seek_page(keys, 15, (last["published_at"], last["id"])))
+
+
+@query(sql("articles", f"select {SIMPLE} from articles order by {NEWEST} limit 20 offset 140"))
+def general_digest_deep(spark, d):
+    t = S.tables(spark, d)
+    return P.general_digest(t, 20, 140, P.digest_index(t, 50))
+
+
 @query(sql("content", f"select {KEYS} from content order by {NEWEST} limit 50"))
 def shuffle_page(spark, d):
     first = R.page(S.content(spark, d).select("id", "topic", "published_at"), A.newest_first(), 50)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from newsweave import clock
 from newsweave.operators import articles as A
+from newsweave.operators.paging import PAGE_ROWS, PageIndex, page_index
 from newsweave.operators.ranking import HEAD_LIMIT, page, position_in_group, ranked_head, top_k_per_group
 from newsweave.session import cut_lineage
 from newsweave.sources.tables import TOPICS, Tables, distinct_users, one_user, topic_dimension
@@ -161,9 +162,14 @@ def _shown(t: Tables, chosen: DataFrame, ids: DataFrame, *extra: str) -> DataFra
 
 # -- general ---------------------------------------------------------------------------
 
-def general_digest(t: Tables, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Newest articles for everybody. Keys are ranked; details are fetched for the page only."""
-    best = page(_known(t).select("id", "published_at"), A.newest_first(), limit, offset)
+def digest_index(t: Tables, page_rows: int = PAGE_ROWS) -> PageIndex:
+    """Index over the keys of all articles with a source, for digests at any depth."""
+    return page_index(_known(t).select("id", "published_at"), page_rows)
+
+
+def general_digest(t: Tables, limit: int = 20, offset: int = 0, index: PageIndex | None = None) -> DataFrame:
+    """Newest articles for everybody. Keys are ranked, or looked up in an ``index``; details are fetched for the page only."""
+    best = page(_known(t).select("id", "published_at"), A.newest_first(), limit, offset) if index is None else index.page(limit, offset)
     return _details(t, best).select(*A.SIMPLE).orderBy(*A.newest_first())
 
 
