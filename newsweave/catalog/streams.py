@@ -31,9 +31,11 @@ def command_stream(spark, d):
         F.col("ts").alias("interaction_at"))
 
 
-@query("select distinct 'https://news.example.com/a/' || (event_id % 997) as article_url from events")
+@query("select distinct 'https://news.example.com/' || event_type || '/' || user_id || '?' || coalesce(props, '') as article_url from events")
 def stream_dedup_articles(spark, d):
-    arrivals = event_stream(spark, d).select("ts", F.concat(F.lit("https://news.example.com/a/"), (F.col("event_id") % 997).cast("string")).alias("article_url"))
+    """Arrivals of an address made from kind, reader and properties of an event."""
+    url = F.concat(F.lit("https://news.example.com/"), "event_type", F.lit("/"), F.col("user_id").cast("string"), F.lit("?"), F.coalesce("props", F.lit("")))
+    arrivals = event_stream(spark, d).select("ts", url.alias("article_url"))
     table = W.run_to_table(W.dedup_articles(arrivals, "ts"), W.new_output(spark, "dedup"))
     return spark.read.parquet(table).select("article_url")
 
@@ -90,8 +92,8 @@ def stream_trending(spark, d):
   (select *, coalesce(ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minute, true) as gap from events))
  group by user_id, n""")
 def stream_sessions(spark, d):
-    """Closed sessions from the stream, and those still open at its end."""
-    table = W.run_to_table(W.reader_sessions(event_stream(spark, d), "ts"), W.new_output(spark, "sessions"))
-    closed = spark.read.parquet(table).select("user_id", "session_start", "session_end", "events")
-    still = W.open_sessions(S.read(spark, d, "events"), closed, "ts")
+    """Closed sessions from the stream, and from its state those still open at its end."""
+    out = W.new_output(spark, "sessions")
+    closed = spark.read.parquet(W.run_to_table(W.reader_sessions(event_stream(spark, d), "ts"), out)).select("user_id", "session_start", "session_end", "events")
+    still = W.open_sessions(spark, out)
     return closed.withColumn("still_open", F.lit(False)).unionByName(still.withColumn("still_open", F.lit(True)))

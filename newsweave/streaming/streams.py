@@ -17,6 +17,7 @@ from newsweave.operators.interactions import LOG, fold_interactions
 from newsweave.operators.ranking import first_per_group
 from newsweave.session import scratch_path
 
+LATE = "run string, batch long, rows long"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,22 +43,35 @@ def run_to_table(stream: DataFrame, out: str, mode: str = "append", each: Callab
     use_disk_state(stream.sparkSession)
     table = f"{out}/table"
 
+    seen: dict[int, int] = {}
+    running: list = []
+
+    def note() -> None:
+        """Keep what the query reports of its batches. It forgets old ones, so this runs with every batch."""
+        for p in running[0].recentProgress if running else []:
+            seen[p["batchId"]] = max(seen.get(p["batchId"], 0), sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]))
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        note()
         rows = each(batch, batch_id) if each else batch
         rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
              .trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start())
-    query.awaitTermination()
-    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-    stream.sparkSession.createDataFrame([(str(query.runId), late)], "run string, rows long").write.mode("append").parquet(f"{out}/late")
+    running.append(query)
+    try:
+        query.awaitTermination()
+    finally:
+        note()
+        counted = [(str(query.runId), n, late) for n, late in sorted(seen.items())]
+        stream.sparkSession.createDataFrame(counted, LATE).coalesce(1).write.mode("append").parquet(f"{out}/late")
     return table
 
 
 def late_rows(spark: SparkSession, out: str) -> DataFrame:
-    """(run, rows): rows that each run into ``out`` left out because they came behind the watermark, as far back as the session keeps
-    the progress of a query (``spark.sql.streaming.numRecentProgressUpdates`` batches)."""
-    return spark.read.schema("run string, rows long").parquet(f"{out}/late")
+    """(run, batch, rows): rows that each batch of each run into ``out`` left out because they came behind the watermark. Rows of a window
+    are counted after each task has added up its own, so one may stand for several arrivals; those of a dedup are single arrivals."""
+    return spark.read.schema(LATE).parquet(f"{out}/late")
 
 
 def latest(table: DataFrame, key: list[str]) -> DataFrame:
@@ -124,12 +138,11 @@ def reader_sessions(stream: DataFrame, time: str, idle: str = "30 minutes", late
             .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events"))
 
 
-def open_sessions(events: DataFrame, closed: DataFrame, time: str, idle: str = "30 minutes") -> DataFrame:
-    """Sessions not yet closed, from the events behind each user's last closed session."""
-    last = closed.groupBy(F.col("user_id").alias("_u")).agg(F.max("session_end").alias("_end"))
-    rest = events.join(last, F.col("user_id") == F.col("_u"), "left").where(F.col("_end").isNull() | (F.col(time) >= F.col("_end")))
-    return (rest.groupBy("user_id", F.session_window(time, idle).alias("s")).agg(F.count("*").alias("events"))
-            .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events"))
+def open_sessions(spark: SparkSession, out: str) -> DataFrame:
+    """Sessions not yet closed, as the state of the stream into ``out`` holds them; no event is read again."""
+    held = spark.read.format("statestore").load(f"{out}/checkpoint")
+    return held.select("value.user_id", F.col("value.session_window.start").alias("session_start"), F.col("value.session_window.end").alias("session_end"),
+                       F.col("value.count").alias("events"))
 
 
 def new_output(spark: SparkSession, label: str) -> str:

@@ -120,16 +120,3 @@ def test_text_of_odd_markup(one):
 
     pages = ["a<script>x</script >b<style>c", "<p title='a > b'>t</p>", "1 < 2 && 3 > 2", "x<!-- a > b -->y<!doctype html><?xml?>z", "&lt;b&gt; &copy; &#65;&#x42;", "<p>  n </p>", "<SCRIPT>a</SCRIPT>q"]
     assert one(H.html_to_text(F.col("h")), h=pages) == ["a b", "t", "1 < 2 && 3 > 2", "x y z", "<b> © AB", "n", "q"]
-
-
-def test_late_rows_are_counted(spark):
-    from newsweave.streaming import streams as W
-
-    inbox, out = W.new_output(spark, "inbox"), W.new_output(spark, "late")
-    rows = spark.createDataFrame([(1, TIME), (2, TIME - dt.timedelta(days=9))], "user_id long, ts timestamp")
-    rows.where("user_id = 1").coalesce(1).write.parquet(inbox)
-    rows.where("user_id = 2").coalesce(1).write.mode("append").parquet(inbox)
-    stream = W.read_files(spark, inbox, rows.schema, files_per_batch=1)
-    W.run_to_table(W.reader_sessions(stream, "ts"), out)
-    assert W.late_rows(spark, out).first()["rows"] in (0, 1)  # which of the two files comes first is up to their names
-    assert W.open_sessions(rows, spark.createDataFrame([(2, TIME)], "user_id long, session_end timestamp"), "ts").count() == 1
