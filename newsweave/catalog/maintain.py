@@ -12,10 +12,12 @@ from newsweave.operators import articles as A
 from newsweave.operators import maintenance as M
 from newsweave.operators import url_filter as U
 from newsweave.plans import ingest as G
-from newsweave.session import cut_lineage
+from newsweave.session import cut_lineage, scratch_path
 from newsweave.sources import sample as S
 from newsweave.sources.feeds import FEEDS
+from newsweave.sources.rewrite import delete_rows
 from newsweave.sources.sample import AS_OF
+from newsweave.sources.sinks import replace_partitions
 
 # -- ingest ----------------------------------------------------------------------------
 
@@ -227,16 +229,58 @@ def retention_days(spark, d):
     return M.retention_days(S.tables(spark, d), AS_OF, 10).select("id", "published_at")
 
 
-@query(sql("content sources interactions user_topics", """select 'sources' as name, count(*) as n from sources where id % 3 <> 0
- union all select 'content', count(*) from content where source_id % 3 <> 0
- union all select 'interactions', count(*) from interactions where user_id % 5 <> 0 and content_id in (select id from content where source_id % 3 <> 0)
- union all select 'user_topics', count(*) from user_topics where user_id % 5 <> 0"""))
+WHOLE_ROWS = "id, source_id, title, summary, article_url, published_at, topic, image_url"
+
+
+def content_table(spark, d):
+    """The content table partitioned by day, and the tables with it in place of the view."""
+    path = scratch_path(spark, "content")
+    t = S.tables(spark, d)
+    dated = t.content.withColumn("published_on", F.to_date("published_at"))
+    replace_partitions(dated, path, ["published_on"])
+    return path, dated.schema, t.with_(content=spark.read.schema(dated.schema).parquet(path))
+
+
+@query(sql("content interactions", f"select {WHOLE_ROWS} from content where not (coalesce(published_at < (select cutoff from rule), false) and id not in (select content_id from few))", few=FEW, rule=RULE))
+def retention_rewrite(spark, d):
+    """The adaptive rule on a partitioned table, in place: partitions that lose no article are not written."""
+    path, schema, t = content_table(spark, d)
+    M.retention_in_place(t, path, schema, F.lit(M.retention_rule(M.retention_counts(t, AS_OF), AS_OF).first()["cutoff"]).cast("timestamp"))
+    return spark.read.schema(schema).parquet(path).select(*WHOLE_ROWS.split(", "))
+
+
+LEFT = """select 'sources' as name, id as a, null::bigint as b, source_name || ' ' || feed_url as words, null::timestamp as at, null::boolean as flag from sources where id % 3 <> 0
+ union all select 'content', id, source_id, concat_ws(' ', title, summary, article_url, topic, image_url), published_at, null from content where source_id % 3 <> 0
+ union all select 'interactions', user_id, content_id, null, interaction_at, is_read from interactions where user_id % 5 <> 0 and content_id in (select id from content where source_id % 3 <> 0)
+ union all select 'user_topics', user_id, null, topic, null, null from user_topics where user_id % 5 <> 0"""
+
+
+def left_rows(left):
+    """The rows of all tables in one shape."""
+    none = {"b": "long", "words": "string", "at": "timestamp", "flag": "boolean"}
+    row = lambda df, name, a, **given: df.select(F.lit(name).alias("name"), F.col(a).cast("long").alias("a"), *[
+        given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in none.items()])
+    words = F.concat_ws(" ", "title", "summary", "article_url", "topic", "image_url")
+    return (row(left.sources, "sources", "id", words=F.concat_ws(" ", "source_name", "feed_url"))
+            .unionByName(row(left.content, "content", "id", b=F.col("source_id"), words=words, at=F.col("published_at")))
+            .unionByName(row(left.interactions, "interactions", "user_id", b=F.col("content_id"), at=F.col("interaction_at"), flag=F.col("is_read")))
+            .unionByName(row(left.user_topics, "user_topics", "user_id", words=F.col("topic"))))
+
+
+@query(sql("content sources interactions user_topics", LEFT))
 def cascade_delete(spark, d):
     t = S.tables(spark, d)
-    left = M.cascade_delete(t, source_ids=t.sources.where("id % 3 = 0").select("id"), user_ids=t.users.where("user_id % 5 = 0"))
-    n = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
-    return (n("sources", left.sources).unionByName(n("content", left.content))
-            .unionByName(n("interactions", left.interactions)).unionByName(n("user_topics", left.user_topics)))
+    return left_rows(M.cascade_delete(t, source_ids=t.sources.where("id % 3 = 0").select("id"), user_ids=t.users.where("user_id % 5 = 0")))
+
+
+@query(sql("content sources interactions user_topics", LEFT))
+def cascade_rewrite(spark, d):
+    """The same, with the articles deleted in place from the table partitioned by day."""
+    path, schema, t = content_table(spark, d)
+    sources = t.sources.where("id % 3 = 0").select("id")
+    delete_rows(spark, path, schema, sources.withColumnRenamed("id", "source_id"), ["source_id"], ["published_on"])
+    after = t.with_(content=spark.read.schema(schema).parquet(path))
+    return left_rows(M.cascade_delete(after, source_ids=sources, user_ids=t.users.where("user_id % 5 = 0")))
 
 
 # -- sources ---------------------------------------------------------------------------

@@ -11,6 +11,8 @@ from newsweave import clock
 from newsweave.operators import articles as A
 from newsweave.operators.ranking import first_per_group, position_in_group
 from newsweave.schemas import MAX_LENGTHS
+from newsweave.session import cut_lineage
+from newsweave.sources.rewrite import delete_rows
 from newsweave.sources.tables import Tables
 
 # -- retention -------------------------------------------------------------------------
@@ -39,19 +41,35 @@ def retention_rule(counts: DataFrame, as_of, min_fresh: int = 10, min_total: int
         "cutoff": F.when(enough, clock.hours_before(as_of, 24)).when(some, clock.hours_before(as_of, 48))})
 
 
+def expired(t: Tables, cutoff: Column) -> DataFrame:
+    """Ids of the articles before ``cutoff`` that nobody likes. Only old ids meet the liked ids; undated articles, and a NULL
+    cutoff, expire nothing."""
+    return A.without_liked(t.content.where(F.col("published_at") < cutoff).select("id"), t.interactions)
+
+
 def _drop_old(t: Tables, cutoff: Column) -> DataFrame:
-    """Content without the articles before ``cutoff`` that nobody likes. Only old ids meet the liked ids;
-    undated articles, and a NULL cutoff, delete nothing."""
-    old = t.content.where(F.col("published_at") < cutoff).select("id")
-    expired = A.without_liked(old, t.interactions).withColumnRenamed("id", "_gone")
-    return t.content.join(expired, F.col("id") == F.col("_gone"), "left_anti")
+    """Content without what has expired."""
+    gone = expired(t, cutoff).withColumnRenamed("id", "_gone")
+    return t.content.join(gone, F.col("id") == F.col("_gone"), "left_anti")
+
+
+def smart_cutoff(t: Tables, as_of, min_fresh: int = 10, min_total: int = 20) -> Column:
+    """Cutoff of the adaptive rule, as a scalar subquery."""
+    return retention_rule(retention_counts(t, as_of), as_of, min_fresh, min_total).select("cutoff").scalar()
+
+
+def retention_in_place(t: Tables, path: str, schema, cutoff: Column) -> list[tuple]:
+    """Delete what has expired from the content table at ``path``, partitioned by ``published_on``, of which ``t.content`` is a view.
+    Only partitions up to the day of the cutoff are looked at, and only those that lose an article are written anew; returns these."""
+    day = F.coalesce(F.to_date(cutoff), F.lit("1970-01-01").cast("date"))
+    old = t.with_(content=t.content.where(F.col("published_on") <= day))
+    return delete_rows(t.spark, path, schema, cut_lineage(expired(old, cutoff)), ["id"], ["published_on"])
 
 
 def retention_smart(t: Tables, as_of, min_fresh: int = 10, min_total: int = 20) -> DataFrame:
     """Content after the adaptive rule: 24 hours are kept when there is enough fresh content, 48
     when there is some, everything otherwise. The cutoff is a scalar subquery."""
-    rule = retention_rule(retention_counts(t, as_of), as_of, min_fresh, min_total)
-    return _drop_old(t, rule.select("cutoff").scalar())
+    return _drop_old(t, smart_cutoff(t, as_of, min_fresh, min_total))
 
 
 def retention_report(t: Tables, as_of, min_fresh: int = 10, min_total: int = 20) -> DataFrame:
