@@ -79,7 +79,10 @@ def feed_documents(spark, d):
  'https://news.example.com/a/' || doc_id as link, 'Title ' || doc_id as title, length(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g')) as n_text,
  timestamp '2024-01-15 10:00:00' as published_at, case when cast(substr(source, 4) as int) % 2 = 0 then 'https://cdn.example.com/' || doc_id || '.jpg' end as media from documents""")
 def parse_feed_xml(spark, d):
-    entries = entry_defaults(feeds.parse_feed_xml(feed_documents(spark, d)), S.AS_OF)
+    return parsed_columns(entry_defaults(feeds.parse_feed_xml(feed_documents(spark, d)), S.AS_OF))
+
+
+def parsed_columns(entries):
     return entries.select("source_id", F.col("pos").cast("long").alias("pos"), "link", "title",
                           F.length(F.regexp_replace("summary", r"[ \t\n\r]+", "")).cast("long").alias("n_text"), "published_at",
                           F.get("media_content", F.lit(0))["url"].alias("media"))

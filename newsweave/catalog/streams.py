@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsweave.catalog.maintain import ingest_sql, known_tables, raw_entries
-from newsweave.catalog.registry import query
+from newsweave.catalog.pages import feed_documents, parsed_columns
+from newsweave.catalog.registry import ORACLE, query
 from newsweave.catalog.views import AS_OF as NOW
 from newsweave.catalog.views import sql
 from newsweave.operators.maintenance import retention_days
+from newsweave.plans.ingest import entry_defaults
 from newsweave.session import configure, cut_lineage
+from newsweave.sources import feed_source as X
 from newsweave.sources import sample as S
+from newsweave.sources.feeds import parse_feed_xml
 from newsweave.streaming import ingest as G
 from newsweave.streaming import streams as W
 
@@ -97,3 +101,22 @@ def stream_sessions(spark, d):
     closed = spark.read.parquet(W.run_to_table(W.reader_sessions(event_stream(spark, d), "ts"), out)).select("user_id", "session_start", "session_end", "events")
     still = W.open_sessions(spark, out)
     return closed.withColumn("still_open", F.lit(False)).unionByName(still.withColumn("still_open", F.lit(True)))
+
+
+def written_feeds(spark, d, folder, part):
+    """Half of the feed documents as files, numbered within their feed."""
+    docs = feed_documents(spark, d).where(F.col("part") % 2 == part)
+    docs.select("source_id", (F.col("part") + part * 1_000_000).alias("number"), "xml").repartition("source_id", "number").write.mode("append").partitionBy("source_id", "number").text(folder)
+
+
+@query(ORACLE["parse_feed_xml"])
+def stream_feed_documents(spark, d):
+    """Documents from the feed source, half of them before and half after the stream is stopped, parsed as they come."""
+    folder, out = W.new_output(spark, "feeds"), W.new_output(spark, "entries")
+    for half in (0, 1):
+        # numbers rise: the second half lies behind the first of every feed
+        written_feeds(spark, d, folder, half)
+        documents = X.feed_documents(configure(spark), folder, stream=True, documents_per_task=2)
+        entries = entry_defaults(parse_feed_xml(documents), S.AS_OF)
+        W.run_to_table(entries, out)
+    return parsed_columns(spark.read.schema(entries.schema).parquet(f"{out}/table"))
