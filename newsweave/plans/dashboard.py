@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsweave import clock
+from newsweave.operators import articles as A
 from newsweave.operators import trends as T
 from newsweave.session import cut_lineage
 from newsweave.sources.tables import Tables
@@ -15,13 +16,12 @@ def dashboard(t: Tables, as_of, partials: DataFrame | None = None) -> dict[str,
     """The five parts of the dashboard. The articles of the last day are counted once, from the state or from a table of hourly
     counts; topics, companies, articles and the briefing are added up from these."""
     counts = cut_lineage(T.recent_counts(t, as_of, 24, partials))
-    trending = cut_lineage(T.trending_articles(t, as_of, 24, 6, counts))
     return {
         "trending_topics": T.trending_topics_counts(t, as_of, counts=counts),
         "trending_companies": T.trending_companies(t, as_of, counts=counts),
         "topic_share": T.topic_share(t, as_of),
-        "trending_articles": trending,
-        "briefing": T.briefing_text(trending),
+        "trending_articles": T.trending_articles(t, as_of, 24, 6, counts),
+        "briefing": T.briefing_text(counts.where(A.has_topic()).withColumnRenamed("interaction_count", "interactions")),
     }
 
 

@@ -94,7 +94,7 @@ def first_unread(candidates: DataFrame, members: DataFrame, reads: DataFrame, k:
     places = head.select(LIST, "id", TURN)
     # of all reads only those of articles in a head are moved
     close = reads.join(_bounded(places.select("id").distinct(), head.count()), "id", "left_semi")
-    seen = close.join(members, "user_id").join(places, [LIST, "id"]).select("user_id", LIST, TURN)
+    seen = cut_lineage(close.join(members, "user_id").join(places, [LIST, "id"]).select("user_id", LIST, TURN))
     at = unread_positions(members, seen, ["user_id", LIST], k, k + spare)
     near = at.join(places, [LIST, TURN]).select("user_id", "id", "ordinal")
     # of a list that ends within its head nothing lies deeper

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import NullType
 
 #: Largest k of a top-k per group that Spark cuts below the shuffle; larger ones use a distributed sort.
 HEAD_LIMIT = 10_000
@@ -56,6 +57,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read again. Unlike ``checkpoint()``, which computes a plan once to count and once to write,
+    this computes it once."""
+    if any(isinstance(f.dataType, NullType) for f in df.schema) or len(set(df.columns)) < len(df.columns):
+        shared_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
