@@ -9,13 +9,14 @@ each place of that window. Every exact place is reported, and every other within
 does not overlap a reported one; nothing beyond the budget is.
 
 Texts are compared with A-Z and other letters lower-cased and each run of white space as one
-space; reported spans are places in the original text. A null or empty text has no match. An
-item that is null, or shorter than ``shortest`` characters, can say nothing and is left out.
-Items that are equal after this normalisation are all reported. Repeated rows give repeated
-rows; empty tables give an empty result; further columns of either table are not looked at.
-
-Items travel to the tasks in blocks of at most ``block_chars`` characters (one item at least),
-one pass over the documents per block, so no more than one block is ever held anywhere.
+space; reported spans are places in the original text. A null or empty text has no match, a null or empty
+item none either. An item shorter than ``shortest`` characters has no budget and must stand between word
+ends, as a part of a word says nothing. Items that are equal after this normalisation are all reported. Repeated rows give
+repeated rows; very long texts are searched whole; empty tables give an empty result; further columns of either table are not looked at.
+
+Items are written with a block number, for blocks of about ``block_chars`` characters (one item at least), and each block is read by its
+number for one pass over the documents. More than one block gives results that are written block by block, so neither the
+driver nor a task holds more than one.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.common import cells, map_batches, once
+from newsweave.llm.common import cells, map_batches, once, stored
+from newsweave.session import scratch_path
 
-#: One edit is allowed for so many characters of an item; characters an item needs; characters of items in one pass.
+#: One edit is allowed for so many characters of an item; characters from which on an item has a budget; characters of items in one pass.
 PER_ERROR, SHORTEST, BLOCK_CHARS = 12, 24, 4_000_000
 
 MATCH = "item_id long, span_start int, span_end int, edits int, item_chars int"
@@ -44,12 +46,14 @@ def normal(text: str) -> str:
 class Items:
     """Automaton over the pieces of a block of items: ``((item_id, text), ...)``."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], per_error: int):
+    def __init__(self, items: tuple[tuple[int, str], ...], per_error: int, shortest: int = 0):
         self.ids: dict[str, list[int]] = defaultdict(list)
         for key, text in items:
-            self.ids[normal(text)].append(key)
+            if normal(text):
+                self.ids[normal(text)].append(key)
         self.texts = list(self.ids)
-        self.budget = [len(t) // per_error for t in self.texts]
+        self.short = [len(t) < shortest for t in self.texts]
+        self.budget = [0 if s else len(t) // per_error for t, s in zip(self.texts, self.short)]
         self.masks = [letter_masks(t) for t in self.texts]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, (t, k) in enumerate(zip(self.texts, self.budget)):
@@ -86,6 +90,12 @@ class Items:
         for item, a, b in self.windows(text):
             t, free = self.texts[item], a
             gaps, at = [], text.find(t, a, b)
+            if self.short[item]:
+                while at >= 0:
+                    if not (inside_word(text, at) or inside_word(text, at + len(t))):
+                        yield item, at, at + len(t), 0
+                    at = text.find(t, at + 1, b)
+                continue
             while at >= 0:
                 yield item, at, at + len(t), 0
                 gaps.append((free, at))
@@ -118,6 +128,11 @@ class Items:
         return found
 
 
+def inside_word(text: str, at: int) -> bool:
+    """Whether a place lies between two letters or digits."""
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
 def letter_masks(t: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(t):
@@ -184,31 +199,35 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).where("_text is not null")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, {MATCH}"
-    found = None
-    for block in blocks(items, item_key, item_text, shortest, block_chars):
-        part = map_batches(source, search(block, key, per_error), schema)
-        found = part if found is None else found.unionAll(part)
-    return found if found is not None else map_batches(source.limit(0), search((), key, per_error), schema)
-
-
-def blocks(items: DataFrame, item_key: str, item_text: str, shortest: int, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The items, read partition by partition, in blocks of bounded size."""
-    block, size = [], 0
-    for row in items.select(F.col(item_key).cast("long"), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull()).toLocalIterator():
-        if len(normal(row[1])) < shortest:
-            continue
-        if block and size + len(row[1]) > block_chars:
-            yield tuple(block)
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += len(row[1])
-    if block:
-        yield tuple(block)
+    table, parts = blocks(items, item_key, item_text, block_chars)
+    out = None
+    for part in range(parts):
+        found = map_batches(source, search(block_of(table, part), key, per_error, shortest), schema)
+        if parts == 1:
+            return found
+        out = out or scratch_path(docs.sparkSession, "found")
+        found.write.mode("append").parquet(out)
+    return map_batches(source.limit(0), search((), key, per_error, shortest), schema) if out is None else docs.sparkSession.read.schema(schema).parquet(out)
+
+
+def blocks(items: DataFrame, item_key: str, item_text: str, block_chars: int) -> tuple[DataFrame, int]:
+    """The items that are not null as a written table (_item, _words, _block), and the number of blocks."""
+    rows = items.select(F.col(item_key).cast("long").alias("_item"), F.col(item_text).cast("string").alias("_words")).where("_words is not null")
+    chars = rows.agg(F.sum(F.length("_words"))).first()[0]
+    if chars is None:
+        return rows, 0
+    parts = max(1, -(-chars // block_chars))
+    return stored(rows.withColumn("_block", F.pmod(F.xxhash64("_item", "_words"), F.lit(parts)).cast("int")), "items"), parts
+
+
+def block_of(table: DataFrame, part: int) -> tuple[tuple[int, str], ...]:
+    """One block, read by its number."""
+    return tuple((r["_item"], r["_words"]) for r in table.where(F.col("_block") == part).orderBy("_item", "_words").collect())
 
 
-def search(block: tuple, key: str, per_error: int):
+def search(block: tuple, key: str, per_error: int, shortest: int):
     def run(batches):
-        index = once(Items, block, per_error)
+        index = once(Items, block, per_error, shortest)
         for b in batches:
             rows = []
             for k, t in zip(cells(b, "_key"), cells(b, "_text")):
@@ -230,14 +249,16 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
                   per_error: int = PER_ERROR, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows in whose text no item is found, with all their columns, by one pass per block and without a shuffle."""
     schema = docs.schema
-    for block in blocks(items, item_key, item_text, shortest, block_chars):
-        docs = map_batches(docs, clean_rows(block, text, per_error), schema)
+    table, parts = blocks(items, item_key, item_text, block_chars)
+    for part in range(parts):
+        docs = map_batches(docs, clean_rows(block_of(table, part), text, per_error, shortest), schema)
+        docs = docs if part == parts - 1 else stored(docs, "clean")
     return docs
 
 
-def clean_rows(block: tuple, text: str, per_error: int):
+def clean_rows(block: tuple, text: str, per_error: int, shortest: int):
     def run(batches):
-        index = once(Items, block, per_error)
+        index = once(Items, block, per_error, shortest)
         for b in batches:
             clean = [t is None or next(index.matches(normal(t)), None) is None for t in cells(b, text)]
             yield b.filter(pa.array(clean, pa.bool_()))

@@ -60,7 +60,7 @@ def test_spans_blocks_and_odd_rows(spark, docs_of, odd_texts):
     item = "Which of the rivers in the north flows into the sea first"
     texts = [*odd_texts, f"Before.\n  {item.upper().replace(' ', '   ')} and after", f"x {item[:20]}Q{item[21:]} y", item[:40]]
     docs = docs_of(texts).withColumn("edits", F.lit("clash"))
-    items = spark.createDataFrame([(1, item), (2, None), (3, "short"), (4, "Another test question that nobody asks at all"), (5, item)], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, None), (3, "unheard of"), (4, "Another test question that nobody asks at all"), (5, item)], "item_id long, text string")
     for chars in (10, 10_000):
         found = dc.find_matches(docs, items, block_chars=chars).collect()
         n = len(odd_texts)
@@ -120,3 +120,20 @@ def test_repeated_and_adjacent_places(docs_of, spark):
     got = dc.find_matches(docs_of(texts), items).collect()
     edits = {i: [r["edits"] for r in sorted(got, key=lambda r: r["span_start"]) if r["doc_id"] == i] for i in range(4)}
     assert edits == {0: [0] * 7, 1: [0, 1], 2: [1, 1, 0], 3: [1, 1]}
+
+
+def test_short_items_exactly_and_between_word_ends(docs_of, spark):
+    items = spark.createDataFrame([(1, "Who sank?"), (2, "cat"), (3, ""), (4, " \n"), (5, "a"), (6, None)], "item_id long, text string")
+    texts = ["He asked: WHO  sank? Nobody.", "concatenate", "the cat, a cat", "who sink?", "", None, "x" * 50 + " cat"]
+    got = dc.find_matches(docs_of(texts), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == [(0, 1, 0), (2, 2, 0), (2, 2, 0), (2, 5, 0), (6, 2, 0)]
+    assert sorted(texts[2][r["span_start"]:r["span_end"]] for r in got if r["doc_id"] == 2) == ["a", "cat", "cat"]
+    assert sorted(r["doc_id"] for r in dc.without_leaks(docs_of(texts), items).collect()) == [1, 3, 4, 5]
+
+
+def test_blocks_hold_all_items(spark):
+    items = spark.createDataFrame([(i, f"item number {i} of the test") for i in range(200)] + [(None, "x"), (5, None)], "item_id long, text string")
+    table, parts = dc.blocks(items, "item_id", "text", 500)
+    found = [dc.block_of(table, p) for p in range(parts)]
+    assert parts > 5 and sorted(x[0] for b in found for x in b if x[0] is not None) == list(range(200)) and sum(map(len, found)) == 201
+    assert dc.blocks(items.limit(0), "item_id", "text", 500)[1] == 0
