@@ -12,9 +12,11 @@ hold anything, header-like lines too), and makes up what WARC wants: an identifi
 on the record (so a repeated run writes the same archive), the ISO form of the 14-digit date, the
 record type from the scheme of the URL and the content type, and digests of block and payload.
 
-A damaged file is no reason to lose the others: what follows a record that can't be read is given as one
-row with ``error`` set. Null payloads count as empty, null URLs as the empty URL. Repeated rows are
-separate records (equal ids and payloads make equal rows). Empty tables make no archive.
+A damaged file is no reason to lose the others, nor its own other records: each gzip member that can't be inflated, and each
+record that can't be read, gives one row with ``error`` set, and reading goes on at the next member (a file that
+is not compressed has no other place to go on from). Null payloads count as empty, null URLs as the empty URL. Repeated rows are
+separate records with identifiers of their own. Very long payloads make an archive by themselves. Empty tables make no archive; further
+columns, also such with the names used here, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ import gzip
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ FIELDS = {
 ARCHIVE_BYTES, REVISIT_BYTES = 32_000_000, 1000
 #: An empty gzip member: what Spark's text writer puts behind each archive, so that the file stays a sequence of members.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+#: How a gzip member starts, and how much of a file is inflated at once.
+MEMBER, CHUNK = b"\x1f\x8b\x08", 65536
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD = ("record_id string, record_type string, target_uri string, ip string, date string, content_type string, "
@@ -64,56 +69,122 @@ def arc_record(version: int, url: str, payload: bytes, date: str = "202401010000
     return " ".join(values.get(f, "-") for f in FIELDS[version]).encode("utf-8", "replace") + b"\n" + payload + b"\n"
 
 
-def inflated(data: bytes) -> bytes:
-    """An archive without compression; members are read one after another, what follows the last whole one is dropped."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        reader = zlib.decompressobj(31)
+def members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """(content, error) of the gzip members of a file, one by one; a file that is not compressed is one. Behind a damaged member, or bytes
+    that are none, reading goes on at the next member that is whole."""
+    if data[:2] != MEMBER[:2]:
+        yield data, None
+        return
+    at, lost, size = 0, False, len(data)
+    while at < size:
+        start = data.find(MEMBER, at)
+        if start != at and data[at:start if start >= 0 else size].strip(b"\0") and not lost:
+            yield b"", f"no gzip member at byte {at}"
+            lost = True
+        if start < 0:
+            return
+        reader, out, fed = zlib.decompressobj(31), [], start
         try:
-            out.append(reader.decompress(data))
+            while fed < size and not reader.eof:
+                out.append(reader.decompress(data[fed:fed + CHUNK]))
+                fed = min(fed + CHUNK, size)
         except zlib.error:
-            break
-        if not reader.eof:
-            break
-        data = reader.unused_data.lstrip(b"\0")
-    return b"".join(out)
+            pass
+        if reader.eof:
+            yield b"".join(out), None
+            at, lost = fed - len(reader.unused_data), False
+        else:
+            if not lost:
+                yield b"", f"gzip member at byte {start} is damaged"
+            at, lost = start + 1, True
+
+
+def pieces(data: bytes) -> Iterator[tuple[bytes, list[int], str | None]]:
+    """(content, starts, error): whole members that follow each other joined, with the places where they start; or what was lost."""
+    joined, starts, size = [], [], 0
+    for content, error in members(data):
+        if error is None:
+            starts.append(size)
+            joined.append(content)
+            size += len(content)
+            continue
+        if joined:
+            yield b"".join(joined), starts, None
+        yield b"", [], error
+        joined, starts, size = [], [], 0
+    if joined:
+        yield b"".join(joined), starts, None
+
+
+def recovered(data: bytes, read: Callable) -> Iterator[tuple[dict[str, str] | None, bytes | str]]:
+    """(header, payload) of each record of a file and (None, error) for each part that can't be read. ``read`` gives the records of a
+    stretch from a place on; behind a record that can't be read it goes on at the next member."""
+    for content, starts, error in pieces(data):
+        at = 0
+        if error:
+            yield None, error
+            continue
+        while at is not None:
+            try:
+                yield from read(content, at)
+                at = None
+            except BadRecord as e:
+                yield None, str(e)
+                at = next((s for s in starts if s > e.at), None)
+
+
+class BadRecord(ValueError):
+    """A record that can't be read, and where it starts."""
+
+    def __init__(self, text: str, at: int):
+        super().__init__(text)
+        self.at = at
+
+
+class ArcReader:
+    """Records of ARC content. The field line of the version block holds for the rest of the file."""
+
+    def __init__(self):
+        self.fields: list[str] | None = None
+
+    def __call__(self, data: bytes, at: int) -> Iterator[tuple[dict[str, str], bytes]]:
+        while at < len(data):
+            if data[at:at + 1] in b"\r\n":
+                at += 1
+                continue
+            end = data.find(b"\n", at)
+            line = data[at:end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
+            names = self.fields or FIELDS[1 if len(line.split(" ")) <= len(FIELDS[1]) else 2]
+            # a content type may hold spaces: what is too much belongs to it
+            values = line.split(" ")
+            more = len(values) - len(names)
+            if more > 0:
+                kind = names.index("Content-type") if "Content-type" in names else len(names) - 2
+                values[kind:kind + 1 + more] = [" ".join(values[kind:kind + 1 + more])]
+            header = dict(zip(names, values))
+            if end < 0 or len(values) != len(names) or not header["Archive-length"].isdigit():
+                raise BadRecord(f"no record header at byte {at}", at)
+            size = int(header["Archive-length"])
+            payload = data[end + 1:end + 1 + size]
+            if len(payload) < size:
+                raise BadRecord(f"record at byte {at} is cut off", at)
+            start, at = at, end + 1 + size
+            if not header["URL"].startswith("filedesc:"):
+                if self.fields is None:
+                    raise BadRecord("no version block", start)
+                yield {**header, "offset": str(start)}, payload
+                continue
+            lines = payload.decode("utf-8", "replace").split("\n")
+            self.fields = lines[1].split() if len(lines) > 1 and "Archive-length" in lines[1] else None
+            if not self.fields:
+                self.fields = FIELDS.get(int(lines[0].split()[0]) if lines[0][:1].isdigit() else 1, FIELDS[1])
 
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header by field name, payload) of each record; ValueError where the file can't be read on."""
-    data = inflated(data)
-    at, fields = 0, None
-    while at < len(data):
-        if data[at:at + 1] in b"\r\n":
-            at += 1
-            continue
-        end = data.find(b"\n", at)
-        line = data[at:end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
-        names = fields or FIELDS[1 if len(line.split(" ")) <= len(FIELDS[1]) else 2]
-        # a content type may hold spaces: what is too much belongs to it
-        values = line.split(" ")
-        more = len(values) - len(names)
-        if more > 0:
-            kind = names.index("Content-type") if "Content-type" in names else len(names) - 2
-            values[kind:kind + 1 + more] = [" ".join(values[kind:kind + 1 + more])]
-        header = dict(zip(names, values))
-        if end < 0 or len(values) != len(names) or not header["Archive-length"].isdigit():
-            raise ValueError(f"no record header at byte {at}")
-        size = int(header["Archive-length"])
-        payload = data[end + 1:end + 1 + size]
-        if len(payload) < size:
-            raise ValueError(f"record at byte {at} is cut off")
-        at = end + 1 + size
-        if fields is None:
-            if not header["URL"].startswith("filedesc:"):
-                raise ValueError("no version block")
-            lines = payload.decode("utf-8", "replace").split("\n")
-            fields = lines[1].split() if len(lines) > 1 and "Archive-length" in lines[1] else None
-            if not fields:
-                fields = FIELDS.get(int(lines[0].split()[0]) if lines[0][:1].isdigit() else 1, FIELDS[1])
-            continue
+    for header, payload in recovered(data, ArcReader()):
+        if header is None:
+            raise ValueError(payload)
         yield header, payload
 
 
@@ -126,12 +197,13 @@ def iso_date(date: str) -> str:
     return f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}T{digits[8:10]}:{digits[10:12]}:{digits[12:14]}Z"
 
 
-def converted(header: dict[str, str], payload: bytes) -> dict:
-    """The WARC fields of an ARC record."""
+def converted(header: dict[str, str], payload: bytes, source: str = "") -> dict:
+    """The WARC fields of an ARC record. Its identifier depends on the archive and the place in it, so equal records are told apart and
+    a repeated run gives the same."""
     url, kind = header["URL"], header.get("Content-type", "-")
     url = "" if url == "-" else url
     digest = hashlib.sha1(payload)
-    name = "\n".join([url, header.get("Archive-date", "-"), digest.hexdigest()])
+    name = "\n".join([url, header.get("Archive-date", "-"), digest.hexdigest(), source, header.get("offset", "")])
     scheme = url.split(":", 1)[0].lower()
     record_type = "response" if scheme in ("http", "https") or "://" not in url and scheme != "dns" else "resource"
     return {"record_id": f"<{uuid.uuid5(uuid.NAMESPACE_URL, name).urn}>", "record_type": record_type, "target_uri": url, "ip": header.get("IP-address", "-"),
@@ -157,22 +229,37 @@ def warc_record(r: dict, payload: bytes) -> bytes:
     return packer.compress(head.encode("utf-8", "replace") + body + b"\r\n\r\n") + packer.flush()
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header by lower-case field name, block) of each record, by declared lengths."""
-    data, at = inflated(data), 0
+def warc_stretch(data: bytes, at: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of WARC content from a place on, by declared lengths."""
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         lines = data[at:end].decode("utf-8", "replace").split("\r\n") if end >= 0 else [""]
         header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = header.get("content-length", "")
         if not lines[0].startswith("WARC/") or not size.isdigit() or end + 4 + int(size) > len(data):
-            raise ValueError(f"no record at byte {at}")
+            raise BadRecord(f"no record at byte {at}", at)
         yield header, data[end + 4:end + 4 + int(size)]
         at = end + 4 + int(size)
         while data[at:at + 1] in (b"\r", b"\n"):
             at += 1
 
 
+def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header by lower-case field name, block) of each record; ValueError where the file can't be read on."""
+    for header, block in recovered(data, warc_stretch):
+        if header is None:
+            raise ValueError(block)
+        yield header, block
+
+
+def warc_info(date: str) -> bytes:
+    """The record that starts an archive: what wrote it, and in which format."""
+    body = b"software: newsweave\r\nformat: WARC File Format 1.1\r\n"
+    head = (f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <{uuid.uuid5(uuid.NAMESPACE_URL, date).urn}>\r\nWARC-Date: {date}\r\n"
+            f"Content-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n")
+    return gzip.compress(head.encode() + body + b"\r\n\r\n", 1, mtime=0)
+
+
 # ---------------------------------------------------------------- tables of archives
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -187,7 +274,7 @@ def to_arc(rows: DataFrame, url: str, payload: str, key: str | None = None, vers
         parts, size, number = [], 0, 0
 
         def archive():
-            name = f"{number:06d}.arc"
+            name = f"{TaskContext.get().partitionId():06d}-{number:06d}.arc"
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([arc_head(name, version) + b"".join(parts)], pa.binary())], ["path", "content"])
         for b in batches:
             for k, u, p in zip(cells(b, "_key"), cells(b, "_url"), cells(b, "_payload")):
@@ -212,12 +299,8 @@ def arc_table(archives: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for path, content in zip(cells(b, "path"), cells(b, "content")):
-                rows = []
-                try:
-                    for header, payload in arc_records(content or b""):
-                        rows.append({**converted(header, payload), "source": path, "payload": payload})
-                except ValueError as e:
-                    rows.append({"source": path, "error": str(e)})
+                rows = [{"source": path, "error": payload} if header is None else {**converted(header, payload, path or ""), "source": path, "payload": payload}
+                        for header, payload in recovered(content or b"", ArcReader())]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, ARC_SCHEMA)
     return map_batches(archives, run, RECORD + ", payload binary")
@@ -254,6 +337,8 @@ def write_warc(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES
             for r in b.to_pylist():
                 if r["record_id"] is None:
                     continue
+                if not parts:
+                    parts.append(warc_info(r["date"]))
                 parts.append(warc_record(r, r["payload"] or b""))
                 size += len(parts[-1])
                 if size >= archive_bytes:
@@ -267,29 +352,30 @@ def write_warc(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES
      .option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path))
 
 
-def warc_table(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each record of WARC archives (path, content). Digest and length are those of the block that was read; for a revisit
+def warc_table(archives: DataFrame, payloads: bool = False, info: bool = False) -> DataFrame:
+    """A row for each record of WARC archives (path, content), with ``info`` also for those that describe the archive itself. Digest and length are those of the block that was read; for a revisit
     those that its header declares. A block that doesn't fit its digest sets ``error``."""
     def run(batches):
         for b in batches:
             for path, content in zip(cells(b, "path"), cells(b, "content")):
                 rows = []
-                try:
-                    for h, block in warc_records(content or b""):
-                        declared = h.get("warc-payload-digest", "")
-                        kind = h.get("warc-type", "")
-                        digest = hashlib.sha1(block).hexdigest()
-                        size, error = len(block), None
-                        if kind == "revisit":
-                            digest = base64.b32decode(declared.removeprefix("sha1:")).hex()
-                            size = int(h.get("x-payload-length", "0"))
-                        elif declared and base32(digest) != declared:
-                            error = "digest"
-                        rows.append({"record_id": h.get("warc-record-id"), "record_type": kind, "target_uri": h.get("warc-target-uri", ""), "ip": h.get("warc-ip-address"),
-                                     "date": h.get("warc-date"), "content_type": h.get("content-type"), "payload_bytes": size, "payload_digest": digest,
-                                     "refers_to": h.get("warc-refers-to"), "refers_to_uri": h.get("warc-refers-to-target-uri"), "source": path, "error": error, **({"payload": block} if payloads else {})})
-                except ValueError as e:
-                    rows.append({"source": path, "error": str(e)})
+                for h, block in recovered(content or b"", warc_stretch):
+                    if h is None:
+                        rows.append({"source": path, "error": block})
+                        continue
+                    declared, kind = h.get("warc-payload-digest", ""), h.get("warc-type", "")
+                    if kind == "warcinfo" and not info:
+                        continue
+                    digest = hashlib.sha1(block).hexdigest()
+                    size, error = len(block), None
+                    if kind == "revisit":
+                        digest = base64.b32decode(declared.removeprefix("sha1:")).hex()
+                        size = int(h.get("x-payload-length", "0"))
+                    elif declared and base32(digest) != declared:
+                        error = "digest"
+                    rows.append({"record_id": h.get("warc-record-id"), "record_type": kind, "target_uri": h.get("warc-target-uri", ""), "ip": h.get("warc-ip-address"),
+                                 "date": h.get("warc-date"), "content_type": h.get("content-type"), "payload_bytes": size, "payload_digest": digest,
+                                 "refers_to": h.get("warc-refers-to"), "refers_to_uri": h.get("warc-refers-to-target-uri"), "source": path, "error": error, **({"payload": block} if payloads else {})})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, ARC_SCHEMA if payloads else pa.schema(RECORD_FIELDS))
     return map_batches(archives, run, RECORD + (", payload binary" if payloads else ""))

@@ -42,6 +42,51 @@ def test_damaged_archives(spark):
     assert ar.warc_table(spark.createDataFrame([("x", bytearray(b"WARC/1.1\r\nbroken"))], "path string, content binary")).first()["error"]
 
 
+def broken(parts, at, how):
+    """Gzip members with one of them damaged."""
+    packed = [gzip.compress(p, mtime=0) for p in parts]
+    if how == "flip":
+        packed[at] = packed[at][:len(packed[at]) // 2] + bytes([packed[at][len(packed[at]) // 2] ^ 0xFF]) + packed[at][len(packed[at]) // 2 + 1:]
+    elif how == "cut":
+        packed[at] = packed[at][:-9]
+    elif how == "noise":
+        packed.insert(at, b"between members \x1f\x8b\x08 nothing")
+    elif how == "header":
+        packed[at] = gzip.compress(b"no header at all\n", mtime=0)
+    return b"".join(packed)
+
+
+@pytest.mark.parametrize("how, lost", [("flip", 1), ("cut", 1), ("noise", 0), ("header", 1)])
+def test_reading_goes_on_behind_damage(spark, how, lost):
+    records = [ar.arc_record(1, f"http://a.example/{i}", f"payload {i} ".encode() * 50) for i in range(6)]
+    data = broken([ar.arc_head("a.arc", 1), *records], 3, how)
+    rows = spark.createDataFrame([("x", bytearray(data)), ("whole", bytearray(b"".join([ar.arc_head("b.arc", 1), *records])))], "path string, content binary")
+    got = ar.arc_table(rows).collect()
+    good = sorted(r["target_uri"] for r in got if r["source"] == "x" and r["error"] is None)
+    assert len(good) == 6 - lost and (not lost or "http://a.example/2" not in good)
+    assert sum(r["error"] is not None for r in got if r["source"] == "x") == 1
+    assert sum(r["error"] is None for r in got if r["source"] == "whole") == 6
+    made = [ar.converted(h, p, "x") for h, p in ar.arc_records(b"".join([ar.arc_head("b.arc", 1), *records]))]
+    warc = [gzip.decompress(ar.warc_record({**m, "refers_to": None, "refers_to_uri": None}, b"payload %d " % i * 50)) for i, m in enumerate(made)]
+    found = ar.warc_table(spark.createDataFrame([("w", bytearray(broken(warc, 2, how)))], "path string, content binary")).collect()
+    assert sum(r["error"] is None for r in found) == 6 - lost and sum(r["error"] is not None for r in found) == 1
+    with pytest.raises(ValueError):
+        list(ar.arc_records(data))
+
+
+def test_identifiers_and_archive_records(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "same")] * 4, "page_id long, url string, html string").coalesce(1)
+    records = ar.arc_table(ar.to_arc(pages, "url", "html", archive_bytes=300))
+    ids = [r["record_id"] for r in records.collect()]
+    assert len(set(ids)) == 4 and ids == [r["record_id"] for r in records.collect()]
+    path = scratch_path(spark, "warc")
+    ar.write_warc(ar.with_revisits(records, F.lit(1)), path, archive_bytes=400)
+    files = ar.read_archives(spark, path)
+    kinds = [r["record_type"] for r in ar.warc_table(files, info=True).collect()]
+    assert kinds.count("warcinfo") == files.count() > 1 and kinds.count("response") == 4
+    assert ar.warc_table(files).count() == 4
+
+
 def test_round_trip(spark):
     big = "<p>" + "long page " * 300 + "</p>"
     rows = [(1, "http://a.example/", big), (2, "http://b.example/", big), (3, "http://c.example/", big), (4, "u", "short"), (5, "u", "short"), (6, None, None),
