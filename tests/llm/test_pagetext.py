@@ -83,3 +83,27 @@ def test_odd_rows(spark, odd_texts):
     assert got.columns == ["page_id", "url", "html", "text", "n_chars"]
     assert got.count() == len(odd_texts) + 4
     assert pt.main_text(pages.limit(0), pt.train()).collect() == []
+
+
+@pytest.mark.parametrize("markup, text", [
+    ("<p title=it's>Hello", "Hello"),
+    ("<p title=it's class=\"a>b\">Hello</p>", "Hello"),
+    ("<a href=x?a='1>one</a> two", "one two"),
+    ("<p data-x='a > b' title = \"c > d\">text</p>", "text"),
+    ("super<wbr>cali<img src=x>fragile", "supercalifragile"),
+    ("one<br>two<br/>three", "one two three"),
+    ("a<script>x < y</script>b<style>p{}</style>c<!-- - -->d", "abcd"),
+    ("a &<b>amp;</b> b", "a &amp; b"),
+    ("&lt;p&gt; &#65;&#x42; &nbsp; &copy", "<p> AB ©"),
+    ("x <math><mi>a</mi><mo>+</mo><mi>b</mi></math> y", "x a+b y"),
+    ("<svg><text>label</text></svg> and <object>fallback</object>", "label and fallback"),
+    ("<p>one<p>two</div>", "one\ntwo"),
+    ("<b>bold</b><i>italic</i> <u> under </u>", "bolditalic under"),
+    ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+    ("<p =odd==x>still</p>", "still"),
+    ("<p title=\"never closed>text", "text"),
+])
+def test_hard_markup(markup, text):
+    """Blocks of a page whose every node is content, against what a browser shows."""
+    _, blocks = pt.parsed(f"<article>{markup}")
+    assert "\n".join(t for _, t in blocks) == text
