@@ -83,7 +83,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and the verdict of rules and perplexity bands for every document."""
-    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judged(docs, labels=table(spark, sf_dir, "labels")).drop("text", "lang")
 
 
 @query

@@ -30,14 +30,14 @@ def test_columns(stages):
         assert after.subtract(before).count() == 0
 
 
-def test_quality(stages):
+def test_quality(stages, read):
     before, after = stages[0]
     kept = ids(after)
     for r in before.collect():
         m = slow_measures(r["text"])
         if m[0] < 20 or 100 * m[4] > 30 * m[0]:
             assert r["doc_id"] not in kept
-    assert kept == {r["doc_id"] for r in quality.judged(before).collect() if r["kept"]}
+    assert kept == {r["doc_id"] for r in quality.judged(before, labels=read("labels")).collect() if r["kept"]}
 
 
 def test_toxicity(stages, read):
