@@ -11,10 +11,10 @@ sequences whose number of different contexts in toxic documents is beyond chance
 ratio) and many times that in ordinary ones. A sequence is counted once per context (word
 before, word, word after), so that copies of one document count once.
 
-Scoring reads whole texts: every window of ``WIDE`` words is compressed fast; where it gains,
-its words are compressed one by one (anchored behind a common string) with a fast and with a
-thorough search. The gain of a document is the best word's sum of both. Calibration: the
-share of toxic documents at each gain, among the labelled training rows, gives the score.
+Scoring reads whole texts. Every window of ``WIDE`` words is compressed fast; the words of windows that gain are compressed one by one, as
+windows of one word, with a fast and a thorough search. How many distinct words of a document reach each of the gains ``GAINS``, as such and among a
+thousand words, is weighed by a logistic fit over the labelled rows, so that several small gains count and a long ordinary
+document is not marked for one. Calibration: the share of toxic documents at each level of this evidence gives the score.
 
 Only the label decides what is learnt; labels, ids, languages and sources are no part of a score.
 A bounded sample is learnt from: at most ``TRAIN_ROWS`` labelled rows of each class, those with the
@@ -33,7 +33,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsweave.llm.common import cells, map_batches, once, schema_of, stored, with_columns
@@ -41,6 +41,8 @@ from newsweave.llm.common import cells, map_batches, once, schema_of, stored, wi
 #: Most labelled rows of each class that are learnt from, and most characters of them in all
 #: (beyond one text, which is never cut).
 TRAIN_ROWS, TRAIN_CHARS = 4000, 8_000_000
+#: Windows of ordinary text from which the ordinary dictionary is made (a random sample of those of the rows above).
+TRAIN_WINDOWS = 50_000
 #: Words of a wide window; characters of a sequence; least likelihood ratio, contexts and factor that set it apart.
 WIDE, RUN, RATIO, CONTEXTS, FACTOR = 8, 5, 30.0, 3, 10.0
 #: Rows that the logistic curve counts for at each gain.
@@ -54,6 +56,14 @@ WINDOWS = re.compile(rb"(?:[^\s]{1,48}+\s*+){1,%d}+" % WIDE)
 FAST, THOROUGH = zstandard.STRATEGY_LAZY2, zstandard.STRATEGY_BTULTRA2
 
 
+def runs_of(word: str) -> list[tuple[int, str]]:
+    """(place, sequence) of the character sequences of a word between spaces: its beginnings, and what lies behind them. A beginning is a
+    sequence of its own, as most that tells at the start of a word is common inside others."""
+    word = f" {word} "
+    starts = [(0, word[:n]) for n in range(RUN, RUN + 3) if n < len(word)] or [(0, word)]
+    return starts + [(i, word[i:i + RUN]) for i in range(2, len(word) - RUN + 1)]
+
+
 def contexts(texts: list[str]) -> tuple[Counter, int]:
     """For each character sequence in how many different contexts it stands; the number of contexts."""
     seen: set[int] = set()
@@ -64,8 +74,7 @@ def contexts(texts: list[str]) -> tuple[Counter, int]:
             known = hash(context)
             if known not in seen:
                 seen.add(known)
-                word = f" {context[1]} "
-                found.update({word[i:i + RUN] for i in range(len(word) - RUN + 1)})
+                found.update({run for _, run in runs_of(context[1])})
     return found, len(seen)
 
 
@@ -89,11 +98,11 @@ def stretches(text: str, runs: set[str]) -> list[bytes]:
     """The parts of the words of a text that the sequences cover."""
     out = []
     for word in text.lower().split():
+        covered = bytearray(len(word) + 2)
+        for i, run in runs_of(word):
+            if run in runs:
+                covered[i:i + len(run)] = b"\1" * len(run)
         word = f" {word} "
-        covered = bytearray(len(word))
-        for i in range(len(word) - RUN + 1):
-            if word[i:i + RUN] in runs:
-                covered[i:i + RUN] = b"\1" * RUN
         out += ["".join(word[m.start():m.end()]).encode("utf-8", "replace") for m in re.finditer(rb"\x01+", covered)]
     return out
 
@@ -115,6 +124,10 @@ def compressor(content: bytes, strategy: int):
     return zstandard.ZstdCompressor(dict_data=trained, compression_params=settings).compress
 
 
+#: Largest gain of a word that is told apart, gains whose words are counted, levels of a document's evidence for the calibration, folds.
+MOST, GAINS, LEVELS, FOLDS = 40, (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 13), 80, 4
+
+
 class Meter:
     """Gains of texts under a pair of dictionaries."""
 
@@ -125,72 +138,131 @@ class Meter:
         self.word = [(compressor(filled + ordinary, s), compressor(toxic + ordinary, s)) for s in (FAST, THOROUGH)]
         self.known: dict[bytes, int] = {}
 
-    def gain(self, text: str | None) -> int:
-        """Most bytes that a word gains, by both searches together; 0 if no window does."""
+    def gain(self, word: bytes) -> int:
+        """Bytes that a window of one word gains, by both searches together."""
+        found = self.known.get(word)
+        if found is None:
+            anchored = b" " + word + b" " + ANCHOR
+            found = min(MOST, sum(max(0, len(p(anchored)) - len(t(anchored))) for p, t in self.word))
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def gains(self, text: str | None) -> np.ndarray:
+        """How many of the distinct words of a text gain 0, 1, .. ``MOST`` bytes. Words of wide windows that gain nothing gain nothing."""
         plain, toxic = self.wide
-        best, known = 0, self.known
-        for window in WINDOWS.findall((text or "").lower().encode("utf-8", "replace")):
+        raw = (text or "").lower().encode("utf-8", "replace")
+        close: set[bytes] = set()
+        for window in WINDOWS.findall(raw):
             padded = b" " + window + b" "
-            if len(plain(padded)) <= len(toxic(padded)):
-                continue
-            for w in set(window.split()):
-                found = known.get(w)
-                if found is None:
-                    anchored = b" " + w + b" " + ANCHOR
-                    found = sum(max(0, len(p(anchored)) - len(t(anchored))) for p, t in self.word)
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[w] = found
-                best = max(best, found)
-        return best
-
-
-def calibrated(gains: list[int], labels: list[int], most: int = 40) -> list[float]:
-    """Probability of a toxic document for each gain from 0 to ``most``: the share of toxic rows at each gain, held to a logistic curve
-    in the gain (as ``PRIOR`` rows more) where rows are few, and not falling: neighbours that fall are pooled."""
-    x = np.column_stack([np.ones(len(gains)), np.minimum(gains, most) / 10])
-    y, w, penalty = np.array(labels, float), np.zeros(2), np.array([1e-3, 1e-2])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -2, 2)
-    curve = 1 / (1 + np.exp(-np.clip(w[0] + max(w[1], 0.0) * np.arange(most + 1) / 10, -30, 30)))
-    at = np.minimum(gains, most)
+            if len(plain(padded)) > len(toxic(padded)):
+                close.update(window.split())
+        counts = np.bincount([self.gain(w) for w in close], minlength=MOST + 1) if close else np.zeros(MOST + 1, np.int64)
+        counts[0] += len(set(raw.split())) - len(close)
+        return np.maximum(counts, 0)
+
+
+def pooled(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The rising values nearest to ``share``: neighbours that fall are pooled by weight."""
     pools: list[list[float]] = []
-    for t, n in zip(np.bincount(at, y, most + 1) + PRIOR * curve, np.bincount(at, minlength=most + 1) + PRIOR):
-        pools.append([float(t), float(n), 1])
+    for x, w in zip(share.tolist(), weight.tolist()):
+        pools.append([w * x, w, 1])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    return [t / n for t, n, times in pools for _ in range(int(times))]
+    return np.array([t / n for t, n, times in pools for _ in range(int(times))])
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, tuple[float, ...]]:
-    """(ordinary dictionary, toxic dictionary, score by gain). Gains for the calibration are taken on halves: the dictionaries
-    that score one half are trained on the other."""
-    def trained(t, o):
-        runs = telling(t, o)
-        parts = [s for x in t for s in stretches(x, runs)]
-        random.Random(1).shuffle(parts)
-        plain = [w for x in o for w in WINDOWS.findall(x.lower().encode("utf-8", "replace"))]
-        random.Random(1).shuffle(plain)
-        samples = [b"".join(parts[i:i + 8]) for i in range(0, len(parts), 8)]
-        return dictionary(plain[:50_000], ORDINARY_BYTES, 48) if plain else b"", dictionary(samples, TOXIC_BYTES, 16) if samples else b""
+def looks(counts: np.ndarray) -> np.ndarray:
+    """What the counts of gains of documents say: of each threshold of ``GAINS`` how many words reach it, as such and among a
+    thousand; the number of words; a constant."""
+    words = counts.sum(axis=1)[:, None]
+    reached = np.stack([counts[:, g:].sum(axis=1) for g in GAINS], axis=1)
+    return np.hstack([np.log1p(reached), np.sqrt(1000 * reached / (words + 50)), np.log1p(words), np.ones((len(counts), 1))])
 
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """Weights that make the labels likely, kept small by a quadratic penalty."""
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        w += np.clip(step, -2, 2)
+    return w
+
+
+def level(evidence: float) -> int:
+    """Step of a document's summed evidence: half a unit each, 0 at -10 and below."""
+    return int(min(LEVELS, max(0.0, 2 * (evidence + 10))))
+
+
+def calibrated(levels: list[int], labels: list[int], most: int = LEVELS) -> list[float]:
+    """Probability of a toxic document for each level from 0 to ``most``: the share of toxic rows at each, held to a logistic curve
+    (as ``PRIOR`` rows more) where rows are few, and not falling: neighbours that fall are pooled."""
+    y = np.array(labels, float)
+    w = logistic(np.column_stack([np.ones(len(levels)), np.minimum(levels, most) / 10]), y, np.array([1e-3, 1e-2]))
+    curve = 1 / (1 + np.exp(-np.clip(w[0] + max(w[1], 0.0) * np.arange(most + 1) / 10, -30, 30)))
+    at = np.minimum(levels, most)
+    n = np.bincount(at, minlength=most + 1) + PRIOR
+    return pooled((np.bincount(at, y, most + 1) + PRIOR * curve) / n, n).tolist()
+
+
+def trained(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """(ordinary dictionary, toxic dictionary) from texts."""
+    runs = telling(toxic, ordinary)
+    parts = [s for x in toxic for s in stretches(x, runs)]
+    random.Random(1).shuffle(parts)
+    plain = [w for x in ordinary for w in WINDOWS.findall(x.lower().encode("utf-8", "replace"))]
+    random.Random(1).shuffle(plain)
+    samples = [b"".join(parts[i:i + 8]) for i in range(0, len(parts), 8)]
+    return dictionary(plain[:TRAIN_WINDOWS], ORDINARY_BYTES, 48) if plain else b"", dictionary(samples, TOXIC_BYTES, 16) if samples else b""
+
+
+def fold_gains(toxic: list[str], ordinary: list[str], fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of gains, labels) of the texts of one fold under dictionaries that are trained on the others."""
+    texts = (ordinary, toxic)
+    meter = Meter(*trained(*([t for i, t in enumerate(texts[y]) if i % FOLDS != fold] for y in (1, 0))))
+    counts = [[meter.gains(t) for t in texts[y][fold::FOLDS]] for y in (0, 1)]
+    return np.array([*counts[0], *counts[1]]).reshape(-1, MOST + 1), np.repeat([0, 1], [len(counts[0]), len(counts[1])])
+
+
+def combined(content: tuple[bytes, bytes], counts: np.ndarray, labels: np.ndarray):
+    """The model: dictionaries, weights of what the gains say, score by level of the evidence."""
+    x = looks(counts)
+    penalty = np.ones(x.shape[1])
+    penalty[-1] = 1e-6
+    weights = logistic(x, labels.astype(float), penalty)
+    return *content, tuple(weights.tolist()), tuple(calibrated([level(e) for e in x @ weights], labels.tolist()))
+
+
+def fit(toxic: list[str], ordinary: list[str], spark: SparkSession | None = None) -> tuple[bytes, bytes, tuple[float, ...], tuple[float, ...]]:
+    """(ordinary dictionary, toxic dictionary, weights, score by level of a document). Gains for weights and calibration are taken on folds:
+    the dictionaries that score one are trained on the others. With a session the folds are tasks; the texts, which ``train`` bounds, are broadcast."""
     if not toxic or not ordinary:
-        return b"", b"", (0.0,) * 41
-    gains, labels = [], []
-    if min(len(toxic), len(ordinary)) >= 2:
-        for half in (0, 1):
-            meter = Meter(*trained(toxic[1 - half::2], ordinary[1 - half::2]))
-            for texts, y in ((toxic[half::2], 1), (ordinary[half::2], 0)):
-                gains += [meter.gain(t) for t in texts]
-                labels += [y] * len(texts)
-    content = trained(toxic, ordinary)
-    if not gains:
+        return b"", b"", (0.0,) * (2 * len(GAINS) + 2), (0.0,) * (LEVELS + 1)
+    if min(len(toxic), len(ordinary)) < FOLDS:
+        content = trained(toxic, ordinary)
         meter = Meter(*content)
-        gains, labels = [meter.gain(t) for t in [*toxic, *ordinary]], [1] * len(toxic) + [0] * len(ordinary)
-    return *content, tuple(calibrated(gains, labels))
+        return combined(content, np.array([meter.gains(t) for t in [*toxic, *ordinary]]), np.repeat([1, 0], [len(toxic), len(ordinary)]))
+    if spark is None:
+        parts, content = [fold_gains(toxic, ordinary, f) for f in range(FOLDS)], trained(toxic, ordinary)
+    else:
+        shared = spark.sparkContext.broadcast((toxic, ordinary))
+
+        def run(batches):
+            for b in batches:
+                for fold in cells(b, "id"):
+                    if fold == FOLDS:
+                        found = [*trained(*shared.value)]
+                    else:
+                        found = [x.astype(np.int64).tobytes() for x in fold_gains(*shared.value, fold)]
+                    yield pa.RecordBatch.from_arrays([pa.array([fold]), pa.array([found], pa.list_(pa.binary()))], ["fold", "found"])
+        rows = {r["fold"]: r["found"] for r in map_batches(spark.range(0, FOLDS + 1, 1, FOLDS + 1), run, "fold long, found array<binary>").collect()}
+        shared.unpersist()
+        content = tuple(bytes(x) for x in rows[FOLDS])
+        parts = [(np.frombuffer(rows[f][0], np.int64).reshape(-1, MOST + 1), np.frombuffer(rows[f][1], np.int64)) for f in range(FOLDS)]
+    return combined(content, *(np.concatenate(x) for x in zip(*parts)))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None):
@@ -205,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         chars = 0
         for r in narrow.where(F.col("_toxic") == y).groupBy("_hash").agg(F.min("_id").alias("_id"), F.max("_n").alias("_n")).orderBy("_hash").limit(TRAIN_ROWS).collect():
             if chars and chars + r["_n"] > TRAIN_CHARS:
-                break
+                continue
             chosen.append((r["_id"], r["_hash"], y))
             chars += r["_n"]
     picked: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
@@ -215,18 +287,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         found = rows.join(F.broadcast(wanted), (F.col("_id") == F.col("_want")) & (F.col("_hash") == F.col("_wanted"))).groupBy("_y", "_hash").agg(F.first("_text").alias("_text"))
         for r in found.collect():
             picked[r["_y"]].append((r["_hash"], r["_text"]))
-    return fit(*([t for _, t in sorted(picked[y])] for y in (1, 0)))
+    return fit(*([t for _, t in sorted(picked[y])] for y in (1, 0)), docs.sparkSession)
 
 
-def score(docs: DataFrame, model, text: str = "text", out: str = "score", gain: str = "gain") -> DataFrame:
-    """``docs`` with the score (0 to 1) and the gain it comes from; columns of those names are replaced."""
-    kept = docs.drop(out, gain)
-    ordinary, toxic, by_gain = model
+def score(docs: DataFrame, model, text: str = "text", out: str = "score", evidence: str = "evidence") -> DataFrame:
+    """``docs`` with the score (0 to 1) and the summed evidence it comes from; columns of those names are replaced."""
+    kept = docs.drop(out, evidence)
+    ordinary, toxic, weights, by_level = model
 
     def run(batches):
-        meter = once(Meter, ordinary, toxic)
+        meter, each = once(Meter, ordinary, toxic), np.array(weights)
         for b in batches:
-            gains = [meter.gain(t) for t in cells(b, text)]
-            scores = [by_gain[min(g, len(by_gain) - 1)] for g in gains]
-            yield with_columns(b, **{out: pa.array(scores, pa.float64()), gain: pa.array(gains, pa.int32())})
-    return map_batches(kept, run, schema_of(kept) + f"`{out}` double, `{gain}` int")
+            counts = np.array([meter.gains(t) for t in cells(b, text)]).reshape(-1, MOST + 1)
+            sums = (looks(counts) @ each).tolist()
+            yield with_columns(b, **{out: pa.array([by_level[level(e)] for e in sums], pa.float64()), evidence: pa.array(sums, pa.float64())})
+    return map_batches(kept, run, schema_of(kept) + f"`{out}` double, `{evidence}` double")

@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,13 +29,60 @@ def corpus():
 
 def test_held_out_accuracy(corpus):
     train, rest = corpus[:500], corpus[500:]
-    ordinary, toxic, by_gain = toxicity.fit([t for t, y in train if y], [t for t, y in train if not y])
+    ordinary, toxic, weights, by_level = toxicity.fit([t for t, y in train if y], [t for t, y in train if not y])
     meter = toxicity.Meter(ordinary, toxic)
-    said = [(by_gain[min(meter.gain(t), 40)] >= 0.5, y) for t, y in rest]
+
+    def scored(text):
+        return by_level[toxicity.level(float(toxicity.looks(meter.gains(text)[None])[0] @ np.array(weights)))]
+    said = [(scored(t) >= 0.5, y) for t, y in rest]
     assert sum(p for p, y in said if y) >= 0.95 * sum(y for _, y in said)
     assert sum(p for p, y in said if not y) <= 0.03 * sum(1 - y for _, y in said)
-    assert list(by_gain) == sorted(by_gain) and 0 <= by_gain[0] and by_gain[-1] <= 1
-    assert meter.gain(("then and other " * 5000) + " GRUBBLEX " + "of the and " * 5000) >= 5
+    assert list(by_level) == sorted(by_level) and 0 <= by_level[0] and by_level[-1] <= 1
+    assert meter.gains(("then and other " * 5000) + " GRUBBLEX " + "of the and " * 5000)[5:].sum() == 1
+
+
+def test_gains_from_compressed_lengths(corpus):
+    """Each word's gain by compressing it anew with both dictionaries; words of wide windows that gain nothing count as 0."""
+    ordinary, toxic = toxicity.trained([t for t, y in corpus[:200] if y], [t for t, y in corpus[:200] if not y])
+    meter, rng = toxicity.Meter(ordinary, toxic), random.Random(0)
+    filled = bytes(rng.randrange(240, 256) for _ in range(len(toxic)))
+
+    def length(content, strategy, text):
+        return len(toxicity.compressor(content, strategy)(text))
+    for text, _ in corpus[200:212]:
+        want = [0] * (toxicity.MOST + 1)
+        raw, gaining = text.lower().encode(), set()
+        for window in toxicity.WINDOWS.findall(raw):
+            if length(filled + ordinary, toxicity.FAST, b" " + window + b" ") > length(toxic + ordinary, toxicity.FAST, b" " + window + b" "):
+                gaining |= set(window.split())
+        for w in set(raw.split()):
+            anchored = b" " + w + b" " + toxicity.ANCHOR
+            gain = sum(max(0, length(filled + ordinary, s, anchored) - length(toxic + ordinary, s, anchored)) for s in (toxicity.FAST, toxicity.THOROUGH))
+            want[min(gain, toxicity.MOST) if w in gaining else 0] += 1
+        assert meter.gains(text).tolist() == want
+    assert meter.gains(None).tolist() == meter.gains("").tolist() == [0] * (toxicity.MOST + 1)
+
+
+def test_score_from_its_parts(spark, docs_of, corpus):
+    """The score of every row from gains, weights and levels, one row at a time; folds in tasks give what folds in turn give."""
+    texts = [t for t, _ in corpus]
+    toxic, ordinary = ([t for t, y in corpus[:300] if y == label] for label in (1, 0))
+    model = toxicity.fit(toxic, ordinary)
+    assert toxicity.fit(toxic, ordinary, spark) == model
+    meter = toxicity.Meter(*model[:2])
+    for r in toxicity.score(docs_of(texts[300:420]), model).collect():
+        counts = meter.gains(texts[300 + r["doc_id"]])
+        reached = [int(counts[g:].sum()) for g in toxicity.GAINS]
+        n = int(counts.sum())
+        look = [math.log1p(x) for x in reached] + [math.sqrt(1000 * x / (n + 50)) for x in reached] + [math.log1p(n), 1.0]
+        evidence = sum(a * b for a, b in zip(look, model[2]))
+        assert r["evidence"] == pytest.approx(evidence, abs=1e-9)
+        assert r["score"] == model[3][int(min(toxicity.LEVELS, max(0.0, 2 * (evidence + 10))))]
+
+
+def test_pooled_is_the_nearest_rising_curve():
+    assert toxicity.pooled(np.array([1.0, 3.0, 2.0, 4.0]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
+    assert toxicity.pooled(np.array([3.0, 0.0]), np.array([1.0, 2.0])).tolist() == [1, 1]
 
 
 def test_training_rows(spark, corpus, docs_of):
