@@ -77,12 +77,22 @@ def url_relative(spark, d):
     return pages(spark, d).select("page_id", U.url_relative(u).alias("relative"))
 
 
-HOSTS = [("host", ".example.com"), ("10.0.0.", ""), ("127.0.0.", ""), ("192.168.1.", ""), ("172.20.0.", ""), ("172.32.0.", ""), ("8.8.8.", "")]
+#: First parts of the addresses below, so that reserved ranges and their neighbours occur.
+FIRST = [10, 127, 169, 172, 192, 0, 8, 11]
 
 
-@query("select page_id, page_id % 7 in (0, 5, 6) as safe from pages")
+@query(f"""select page_id, host, not (a = 10 or a = 127 or a = 169 and b = 254 or a = 172 and b between 16 and 31 or a = 192 and b = 168 or a = 0 and b = 0 and c = 0 and d = 0) as safe,
+ regexp_extract(url, '://([^/?#:]+)', 1) <> 'localhost' as own_safe
+ from (select page_id, url, a, b, c, d, a || '.' || b || '.' || c || '.' || d as host from
+  (select page_id, url, {FIRST}[x[1] % 8 + 1] as a, case when x[2] < 96 then [254, 168, 16, 31, 15, 32, 0, 0][x[2] % 8 + 1] else x[2] end as b, case when x[2] < 96 then x[3] % 2 else x[3] end as c, x[4] % 2 as d from
+   (select page_id, url, list_transform([1, 3, 5, 7], lambda i: cast('0x' || substr(md5(html), i, 2) as int)) as x from pages)))""")
 def url_safe_host(spark, d):
-    return pages(spark, d).select("page_id", U.url_safe_host(pick([around(a, b) for a, b in HOSTS])).alias("safe"))
+    """Addresses made from the digests of the pages, and the pages' own hosts."""
+    x = [F.conv(F.substring(F.md5("html"), i, 2), 16, 10).cast("int") for i in (1, 3, 5, 7)]
+    second = F.get(F.array(*[F.lit(v) for v in (254, 168, 16, 31, 15, 32, 0, 0)]), x[1] % 8)
+    parts = [F.get(F.array(*[F.lit(v) for v in FIRST]), x[0] % 8), F.when(x[1] < 96, second).otherwise(x[1]), F.when(x[1] < 96, x[2] % 2).otherwise(x[2]), x[3] % 2]
+    host = F.concat_ws(".", *[p.cast("string") for p in parts])
+    return S.read(spark, d, "pages").select("page_id", host.alias("host"), U.url_safe_host(host).alias("safe"), U.url_safe_host(U.url_domain(F.col("url"))).alias("own_safe"))
 
 
 FEEDS = [("https://h", ".example.com/feed.xml"), ("ftp://h", ".example.com/feed"), ("https://192.168.1.", "/feed"), ("http://localhost/", ""), ("not-a-url", "")]

@@ -34,12 +34,12 @@ _CUT = "\x01"
 
 
 def _characters(c: Column) -> Column:
-    """Character references decoded; the list of named ones is the standard library's."""
+    """Character references decoded; the list of named ones is the standard library's. Only texts with an ampersand are sent to Python."""
     @F.pandas_udf("string")
     def run(text: pd.Series) -> pd.Series:
-        return text.map(unescape)
+        return text.map(unescape, na_action="ignore")
 
-    return run(c)
+    return F.coalesce(run(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def _nodes(markup: Column) -> Column:
