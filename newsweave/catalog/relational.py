@@ -255,9 +255,10 @@ def shuffle_page(spark, d):
     return R.shuffle_page(first, F.col("id"), 7)
 
 
-@query(sql("articles interactions", "select i.user_id, c.id, c.title, c.topic, i.is_read, i.interaction_at from interactions i join articles c on c.id = i.content_id where i.is_liked"))
+@query(sql("articles interactions", """select i.user_id, row_number() over (partition by i.user_id order by i.interaction_at desc nulls first, c.id) as position, c.id, c.title, c.topic,
+ i.is_read, i.interaction_at from interactions i join articles c on c.id = i.content_id where i.is_liked"""))
 def favorites(spark, d):
-    return A.favorites(S.tables(spark, d)).select("user_id", "id", "title", "topic", "is_read", "interaction_at")
+    return A.favorites(S.tables(spark, d)).select("user_id", "position", "id", "title", "topic", "is_read", "interaction_at")
 
 
 @query(sql("content", f"select {KEYS}, row_number() over (partition by topic order by {NEWEST}) as position from content"))

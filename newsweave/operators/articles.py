@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from newsweave import clock
 from newsweave.operators.interactions import liked_ids, per_article
-from newsweave.sources.tables import Tables
+from newsweave.operators.ranking import position_in_group
+from newsweave.sources.tables import Tables, one_user
 
 BASE = ["id", "source_id", "title", "summary", "article_url", "published_at", "topic", "image_url"]
 SIMPLE = BASE + ["source_name", "source_feed_url"]
@@ -73,8 +74,15 @@ def liked_articles(t: Tables, user_id: int | None = None) -> DataFrame:
 
 
 def favorites(t: Tables, user_id: int | None = None) -> DataFrame:
-    """All liked articles of a reader, latest like first, without a limit."""
-    return liked_articles(t, user_id).orderBy("user_id", F.col("interaction_at").desc_nulls_first(), "id")
+    """All liked articles of a reader with their ``position``, latest like first, without a limit. Only keys are numbered, by a
+    distributed sort that no busy reader overloads; the articles are fetched for them afterwards."""
+    liked = one_user(t.interactions, user_id).where("is_liked")
+    known = t.content.select(F.col("id").alias("content_id"), "source_id").join(t.sources.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    keys = liked.join(known.select("content_id"), "content_id", "left_semi").select("user_id", "content_id", "interaction_at")
+    placed = position_in_group(keys, ["user_id"], [F.col("interaction_at").desc_nulls_first(), F.col("content_id")], "position")
+    state = liked.join(placed.select("user_id", "content_id", F.col("position").cast("long").alias("position")), ["user_id", "content_id"])
+    rows = flags_defaulted(join_source(state.join(t.content, F.col("content_id") == F.col("id")).drop("content_id"), t.sources))
+    return rows.select("user_id", "position", *WITH_STATE)
 
 
 def by_interest(articles: DataFrame, user_topics: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ from newsweave.sources.tables import Tables
 
 # -- retention -------------------------------------------------------------------------
 
+# What a retention run reports, by how much fresh content there is ({n} articles).
+ENOUGH = "Fresh content available ({n} new articles)"
+SOME = "Limited fresh content ({n} new), extended retention to 48h"
+TOO_FEW = "Insufficient fresh content ({n} new articles). Preserving existing content to prevent empty site."
+
 
 def retention_counts(t: Tables, as_of) -> DataFrame:
     """Fresh today, published yesterday and total, all without liked articles; one row."""
@@ -34,10 +39,7 @@ def retention_rule(counts: DataFrame, as_of, min_fresh: int = 10, min_total: int
     n = fresh.cast("string")
     return counts.withColumns({
         "action_taken": F.when(enough, "cleanup_performed").when(some, "conservative_cleanup").otherwise("cleanup_skipped"),
-        "reason": F.when(enough, F.concat(F.lit("Fresh content available ("), n, F.lit(" new articles)")))
-                   .when(some, F.concat(F.lit("Limited fresh content ("), n, F.lit(" new), extended retention to 48h")))
-                   .otherwise(F.concat(F.lit("Insufficient fresh content ("), n,
-                                       F.lit(" new articles). Preserving existing content to prevent empty site."))),
+        "reason": F.replace(F.when(enough, ENOUGH).when(some, SOME).otherwise(TOO_FEW), F.lit("{n}"), n),
         "cutoff": F.when(enough, clock.hours_before(as_of, 24)).when(some, clock.hours_before(as_of, 48))})
 
 

@@ -20,7 +20,7 @@ from newsweave.operators import articles as A
 from newsweave.operators.paging import PAGE_ROWS, PageIndex, page_index
 from newsweave.operators.ranking import HEAD_LIMIT, page, position_in_group, ranked_head, top_k_per_group
 from newsweave.session import cut_lineage
-from newsweave.sources.tables import TOPICS, Tables, distinct_users, one_user, topic_dimension
+from newsweave.sources.tables import TOPICS, Tables, distinct_users, one_user, topic_dimension, user_topics
 from newsweave.operators.trends import briefing_sentence
 
 TURN, LIST = "_turn", "_list"
@@ -39,7 +39,7 @@ def _known(t: Tables) -> DataFrame:
 
 
 def _interests(t: Tables, user_id=None) -> DataFrame:
-    return one_user(t.user_topics, user_id).select("user_id", "topic").distinct()
+    return user_topics(t, user_id)
 
 
 def _reads(t: Tables, user_id=None) -> DataFrame:

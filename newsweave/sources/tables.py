@@ -64,6 +64,11 @@ class Tables:
         return Tables(read("sources"), read("content"), read("user_content_interactions"), read("user_topics"))
 
 
+def user_topics(t: Tables, user_id: int | None = None) -> DataFrame:
+    """(user_id, topic): interests, of one reader or of all, each once."""
+    return one_user(t.user_topics, user_id).select("user_id", "topic").distinct()
+
+
 def topic_dimension(spark: SparkSession) -> DataFrame:
     """(k, topic): eight fixed rows."""
     return spark.createDataFrame(list(enumerate(TOPICS)), "k int, topic string")
