@@ -28,8 +28,14 @@ def test_time_filter_reaches_the_scan(spark, tmp_path, sf):
     assert "GreaterThanOrEqual(published_at" in plan(T.trending_topics(t, S.AS_OF))
 
 
-def test_top_k_is_cut_below_the_shuffle(spark, sf):
-    assert "WindowGroupLimit" in plan(P.topic_feed(S.tables(spark, sf), S.AS_OF, 24))
+def test_top_k_is_cut_below_the_shuffle(spark, sf, monkeypatch):
+    """Every ranking that a topic feed writes on its way is cut in the map tasks; what is left ranks nothing."""
+    written = []
+    cut = P.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: written.append(plan(df)) or cut(df))
+    feed = plan(P.topic_feed(S.tables(spark, sf), S.AS_OF, 24))
+    ranked = [p for p in written if "Window" in p]
+    assert ranked and all(p.count("WindowGroupLimit") >= 2 for p in ranked) and "Window" not in feed
 
 
 def test_no_text_is_moved_with_a_reader(spark, sf):
