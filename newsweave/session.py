@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import NullType
@@ -53,7 +54,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path inside the shared folder for a table one job writes and reads back."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+#: Scratch paths that this process has given out and not removed.
+_WRITTEN: list[str] = []
+
+
+@contextmanager
+def scratch_removed(spark: SparkSession):
+    """Remove the scratch tables that are made inside, at its end. Results must be written by then: they may be read from such tables.
+
+        with scratch_removed(spark):
+            feeds.personalized_digest(t).write.parquet(target)
+    """
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[before:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        del _WRITTEN[before:]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
