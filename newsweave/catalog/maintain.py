@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsweave.catalog.registry import query
@@ -12,12 +14,15 @@ from newsweave.operators import articles as A
 from newsweave.operators import maintenance as M
 from newsweave.operators import url_filter as U
 from newsweave.plans import ingest as G
+from newsweave.schemas import TABLES
+from newsweave.schemas import create_tables as make_tables
 from newsweave.session import cut_lineage, scratch_path
 from newsweave.sources import sample as S
 from newsweave.sources.feeds import FEEDS
 from newsweave.sources.rewrite import delete_rows
 from newsweave.sources.sample import AS_OF
 from newsweave.sources.sinks import replace_partitions
+from newsweave.sources.tables import Tables
 
 # -- ingest ----------------------------------------------------------------------------
 
@@ -193,6 +198,24 @@ def high_water_mark(spark, d):
     return M.high_water_mark(runs)
 
 
+@query(sql("content sources", """select 'content' as name, c.id, c.source_id, c.title, c.article_url, c.published_at, cast(c.published_at as date) as published_on from content c
+ union all select 'sources', id, null, source_name, feed_url, null, null from sources"""))
+def create_tables(spark, d):
+    """The model tables made in a database of their own, filled and read back."""
+    name, place = f"model_{uuid.uuid4().hex}", scratch_path(spark, "database")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{place}'")
+    make_tables(spark, name)
+    t = S.tables(spark, d)
+    for table, rows in (("sources", t.sources), ("content", t.content.withColumn("published_on", F.to_date("published_at")))):
+        fields = TABLES[table][0]
+        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).write.insertInto(f"{name}.{table}")
+    stored = Tables.from_catalog(spark, name)
+    none = F.lit(None)
+    return stored.content.select(F.lit("content").alias("name"), "id", "source_id", "title", "article_url", "published_at", "published_on").unionByName(
+        stored.sources.select(F.lit("sources").alias("name"), "id", none.cast("long").alias("source_id"), F.col("source_name").alias("title"), F.col("feed_url").alias("article_url"),
+                              none.cast("timestamp").alias("published_at"), none.cast("date").alias("published_on")))
+
+
 # -- retention -------------------------------------------------------------------------
 
 LIKED_OUT = "id not in (select content_id from likes)"
