@@ -12,7 +12,7 @@ search of the section bounds among the token bounds. A token that lies over a bo
 
 Bytes between sections belong to no section; they are given as section -1 if a token falls there.
 Sections must not overlap. Null and empty texts have no tokens: one row with the empty section 0.
-Repeated rows give repeated results, an empty table an empty one; no other column is looked at.
+Very long texts are encoded whole. Repeated rows give repeated results, an empty table an empty one; no other column is looked at.
 """
 
 from __future__ import annotations

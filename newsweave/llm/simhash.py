@@ -21,8 +21,8 @@ How links are found:
   small-star steps, in the shared folder between steps.
 
 Null and empty texts have fingerprint zero, linked like any other. Repeated ids are repeated
-rows of the result; a null id can't name a group unless all in it are null. An empty table
-gives an empty result; other columns are not looked at.
+rows of the result; a null id can't name a group unless all in it are null. Very long
+texts are read whole. An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -86,3 +86,25 @@ def test_odd_rows(spark, sf, docs_of, odd_texts):
             assert stage(spark, docs, sf).columns == cp.COLUMNS
             assert stage(spark, docs, sf).count() <= docs.count()
         assert cp.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_null_and_repeated_ids(spark, sf, read):
+    """Rows are judged by their own text whatever their ids; of near duplicates the smallest id stays, and a group without an id keeps one row."""
+    item = read("benchmark").first()["text"]
+    sample = [r["text"] for r in read("documents").orderBy("doc_id").limit(60).collect()]
+    texts = sample + [f"{sample[1]} {item}", None, "", "one two " * 60]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    unique = spark.createDataFrame([(10**9 + i, t, "en", "s", 0) for i, t in enumerate(texts)], schema)
+    shared = spark.createDataFrame([((None, 10**9)[i % 2], t, "en", "s", 0) for i, t in enumerate(texts)], schema)
+    for name, stage in cp.STAGES:
+        if name in ("quality", "toxicity", "decontamination"):
+            want, got = (sorted(r["text"] or "" for r in stage(spark, docs, sf).collect()) for docs in (unique, shared))
+            assert want == got and (name == "toxicity" or 0 < len(got) < len(texts)), name
+        elif name == "pieces":
+            want, got = (sorted(tuple(r)[1:] for r in stage(spark, docs, sf).collect()) for docs in (unique, shared))
+            assert want == got and len(got) == len(texts)
+    dedup = dict(cp.STAGES)["near_duplicates"]
+    rows = [(None, "a b c d"), (None, "a b c d"), (5, "e f g h"), (5, "e f g h"), (4, "e f g h"), (7, "x y z"), (7, "q r s t"), (None, "e f g h")]
+    got = dedup(spark, spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], schema), sf).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got if r["doc_id"] != 7) == [("4", "e f g h"), ("None", "a b c d")]
+    assert sum(r["doc_id"] == 7 for r in got) == 1
