@@ -27,22 +27,28 @@ def audited(spark, d):
     return p.select("page_id", F.concat(head, extra).alias("html"))
 
 
-BARE = r"regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g')"
+FULL = f"""case when page_id % 7 = 0 then replace(lang, '<meta charset="utf-8">', '<meta name="viewport" content="w">') else lang end || {EXTRA!r}[page_id % 4 + 1]"""
+#: Stripped text nodes of an element, joined without a space.
+NODES = r"array_to_string(list_transform(string_split(regexp_replace(e, '(?s)<[^>]+>', chr(1), 'g'), chr(1)), lambda n: regexp_replace(n, '^\s+|\s+$', '', 'g')), '')"
+BLANK = rf"{NODES} = '' and not regexp_matches(regexp_extract(e, '(?s)^<[^>]*>'), '\s(aria-label|title)=')"
+LINKS = r"regexp_extract_all(h, '(?is)<a\s[^>]*href\s*=[^>]*>.*?</a\s*>')"
 AUDIT = rf"""select page_id, rule, issues from (
  select page_id, unnest([
   {{'rule': 'no_semantic_element', 'issues': cast(not regexp_matches(h, '<(main|header|footer|nav|section|article|aside)[\s>]') as bigint)}},
   {{'rule': 'first_heading_not_h1', 'issues': cast(len(lv) > 0 and lv[1] <> '1' as bigint)}},
   {{'rule': 'heading_level_skipped', 'issues': len(list_filter(range(2, len(lv) + 1), lambda i: cast(lv[i] as int) > cast(lv[i - 1] as int) + 1)) + 0}},
-  {{'rule': 'image_without_alt', 'issues': (k = 0)::bigint}},
-  {{'rule': 'input_without_label', 'issues': case k when 1 then 1 when 3 then 1 else 0 end::bigint}},
-  {{'rule': 'button_without_text', 'issues': (k = 1)::bigint}},
-  {{'rule': 'link_without_text', 'issues': (k = 2)::bigint + len(regexp_extract_all(h, '<a href="[^"]*">\s*</a>'))}},
-  {{'rule': 'vague_link_text', 'issues': (k = 0)::bigint + len(regexp_extract_all(h, '(?i)<a href="[^"]*">(click here|read more|here|more|link)</a>'))}},
-  {{'rule': 'html_without_lang', 'issues': (page_id % 6 = 0)::bigint}},
-  {{'rule': 'no_viewport', 'issues': (page_id % 7 <> 0)::bigint}},
-  {{'rule': 'table_without_header', 'issues': (k = 2)::bigint}}], recursive := true)
- from (select page_id, page_id % 4 as k, {BARE} as h, regexp_extract_all({BARE}, '<h([1-6])[\s>]', 1) ||
-   case page_id % 4 when 0 then ['4'] when 3 then ['2', '4', '6'] else [] end as lv from pages)) where issues > 0"""
+  {{'rule': 'image_without_alt', 'issues': len(list_filter(regexp_extract_all(h, '(?i)<img[\s/][^>]*>'), lambda t: not regexp_matches(t, '(?i)\salt='))) + 0}},
+  {{'rule': 'input_without_label', 'issues': len(list_filter(regexp_extract_all(h, '(?i)<(?:input|textarea|select)[^>]*>'), lambda t: regexp_extract(t, 'type="([^"]*)"', 1) not in ('hidden', 'submit', 'button')
+    and not list_contains(regexp_extract_all(h, '(?i)<label[^>]*\sfor="([^"]*)"', 1), regexp_extract(t, '\sid="([^"]*)"', 1)) and not contains(t, 'aria-label'))) + 0}},
+  {{'rule': 'button_without_text', 'issues': len(list_filter(regexp_extract_all(h, '(?is)<button[^>]*>.*?</button>'), lambda e: {BLANK})) + 0}},
+  {{'rule': 'link_without_text', 'issues': len(list_filter({LINKS}, lambda e: {BLANK})) + 0}},
+  {{'rule': 'vague_link_text', 'issues': len(list_filter({LINKS}, lambda e: lower({NODES}) in ('click here', 'read more', 'here', 'more', 'link'))) + 0}},
+  {{'rule': 'html_without_lang', 'issues': cast(regexp_matches(h, '(?i)<html[^>]*>') and not regexp_matches(regexp_extract(h, '(?i)<html[^>]*>'), '\slang=') as bigint)}},
+  {{'rule': 'no_viewport', 'issues': cast(not regexp_matches(h, '(?i)<meta[^>]*name="viewport"') as bigint)}},
+  {{'rule': 'table_without_header', 'issues': len(list_filter(regexp_extract_all(h, '(?is)<table[^>]*>.*?</table>'), lambda e: not regexp_matches(e, '(?i)<th[\s>]'))) + 0}}], recursive := true)
+ from (select *, regexp_extract_all(h, '<h([1-6])[\s>]', 1) as lv from (
+  select page_id, regexp_replace({FULL}, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') as h from (
+   select page_id, case when page_id % 6 = 0 then regexp_replace(html, ' lang="[a-z]+"', '', 'g') else html end as lang from pages)))) where issues > 0"""
 
 
 @query(AUDIT)
