@@ -152,13 +152,13 @@ def join_article_source(spark, d):
     return A.join_source(S.content(spark, d).select("id", "source_id"), S.sources(spark, d))
 
 
-PAGE = f"""select * from (select u.user_id, c.{KEYS.replace(', ', ', c.')}, row_number() over (partition by u.user_id order by {NEWEST.replace('id', 'c.id')}) as position
- from content c join user_topics u on u.topic = c.topic) where position <= 60"""
+PAGE = f"""select u.user_id, c.{KEYS.replace(', ', ', c.')}, row_number() over (partition by u.user_id order by {NEWEST.replace('id', 'c.id')}) as position
+ from content c join user_topics u on u.topic = c.topic"""
 
 
 def pages(spark, d, interests=None):
-    """Three pages of 20 for every reader with interests, over all dates."""
-    return N.page_of_interests(S.content(spark, d), S.user_topics(spark, d) if interests is None else interests, 20, 3)
+    """Every article of each reader's interests, over all dates."""
+    return N.articles_of_interests(S.content(spark, d), S.user_topics(spark, d) if interests is None else interests)
 
 
 def state_table(spark, d):

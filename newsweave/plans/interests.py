@@ -3,7 +3,7 @@
 Articles are sorted once per topic (runs). Readers with the same set of interests share a list, which is the merge of the runs of
 its topics. A page takes the next ``k`` places of each run behind the list's cursor and keeps the newest ``k`` of them; the cursor then moves by
 what was taken of each run. So a page costs lists x topics x k narrow rows, whatever a topic holds and however deep the
-page lies, and each reader gets exactly one page.
+page lies, and each reader gets exactly one page. ``articles_of_interests`` gives every reader the whole list instead.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from newsweave.plans.feeds import LIST, TURN, interest_sets, list_topics, served
 from newsweave.session import cut_lineage
 
 PLACE = "_place"
+#: Parts into which a whole list is cut where it meets its readers, so that a list many readers share is no single task's.
+SLICES = 32
 
 
 def topic_runs(articles: DataFrame, depth: int | None = None) -> DataFrame:
@@ -63,3 +65,14 @@ def page_of_interests(articles: DataFrame, user_topics: DataFrame, k: int, pages
         rows = rows.withColumn("position", F.col("position") + n * k)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def articles_of_interests(articles: DataFrame, user_topics: DataFrame) -> DataFrame:
+    """(user_id, id, topic, published_at, position): every article of each reader's interests, numbered newest first. Lists are sorted and
+    numbered once per set of interests, by a distributed sort; only then do they meet the readers, so no reader's list is sorted by itself."""
+    sets = cut_lineage(interest_sets(user_topics))
+    listed = articles.where(A.has_topic()).select("topic", "id", "published_at").join(list_topics(sets), "topic")
+    lists = position_in_group(listed.select(LIST, "topic", "id", "published_at"), [LIST], A.newest_first(), "position")
+    readers = sets.select("user_id", LIST, F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("_slice"))
+    sliced = lists.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
+    return readers.join(sliced, [LIST, "_slice"]).select("user_id", "id", "topic", "published_at", "position")

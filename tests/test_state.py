@@ -92,3 +92,34 @@ def test_pages_continue(spark, depth):
         mine = [a for a in articles if (u, a[1]) in wants and a[1]]
         want = [a[0] for a in sorted(mine, key=lambda a: (a[2] is not None, -(a[2].timestamp() if a[2] else 0), a[0]))][:40]
         assert got.get(u, []) == want
+
+
+def test_all_articles_of_interests(spark):
+    """More than three pages for every reader, of all dates, numbered; repeated interests count once."""
+    rng = random.Random(5)
+    day = datetime(2024, 1, 1)
+    articles = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, day, day + timedelta(days=rng.randrange(99))])) for i in range(400)]
+    wants = [(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "nothing"), (5, None)]
+    content = spark.createDataFrame(articles, "id long, topic string, published_at timestamp")
+    got = {}
+    for r in N.articles_of_interests(content, spark.createDataFrame(wants, "user_id long, topic string")).collect():
+        got.setdefault(r["user_id"], []).append((r["position"], r["id"], r["topic"], r["published_at"]))
+    assert set(got) == {1, 2, 3} and min(map(len, got.values())) > 60
+    for u, found in got.items():
+        mine = sorted((a for a in articles if (u, a[1]) in wants), key=lambda a: (a[2] is not None, -(a[2].timestamp() if a[2] else 0), a[0]))
+        assert sorted(found) == [(n, *a) for n, a in enumerate(mine, 1)]
+
+
+def test_registered_interest_joins_are_whole(spark, tmp_path):
+    """As many rows as articles and interests have pairs."""
+    from newsweave.catalog import QUERIES
+
+    spark.range(600).selectExpr("id as doc_id", "'A title. Text.' as text", "'en' as lang", "'src1' as source", "15L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(3000).selectExpr("id as event_id", "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int)) as ts", "id % 4 as user_id", "'view' as event_type",
+                                 "1.0D as value", "cast(null as string) as props").write.parquet(f"{tmp_path}/events.parquet")
+    content, wanted = S.content(spark, str(tmp_path)), S.user_topics(spark, str(tmp_path))
+    pairs = content.join(wanted, "topic").count()
+    assert pairs > 60 * wanted.select("user_id").distinct().count()
+    read = S.interactions(spark, str(tmp_path)).where("is_read").join(content.withColumnRenamed("id", "content_id"), "content_id").join(wanted, ["user_id", "topic"]).count()
+    for name, n in (("join_user_interests", pairs), ("join_article_user_state", pairs), ("anti_read_by_user", pairs - read)):
+        assert QUERIES[name](spark, str(tmp_path)).count() == n
