@@ -56,15 +56,16 @@ WHOLE = "id, source_id, title, summary, article_url, published_at, topic, image_
                    pictures="""select i.doc_id, arg_min(o.image, row(o.pos, o.source_name)) as image from inserts i
  join offered o on o.link = i.link and (o.pos > i.pos or o.pos = i.pos and o.source_name >= i.source_name) group by i.doc_id"""))
 def stream_ingest(spark, d):
-    """Raw entries arrive in four files, in round order, one file per micro-batch; the whole table behind them."""
+    """Raw entries arrive in four deliveries, in round order, one per run of the stream; the whole table behind them."""
     content = cut_lineage(retention_days(known_tables(spark, d), S.AS_OF))
-    entries = raw_entries(spark, d).select("source_id", "source_name", "pos", "link", "title", "summary", "published_at", "image_url")
-    inbox = W.new_output(spark, "inbox")
+    entries = cut_lineage(raw_entries(spark, d).select("source_id", "source_name", "pos", "link", "title", "summary", "published_at", "image_url"))
+    inbox, out = W.new_output(spark, "inbox"), W.new_output(spark, "ingest")
+    status = cut_lineage(S.url_status(spark, d))
     rounds = entries.agg(F.max("pos")).first()[0] // 4 + 1
     for i in range(4):
-        entries.where(F.col("pos").between(i * rounds, i * rounds + rounds - 1)).coalesce(1).write.mode("append").parquet(inbox)
-    stream = W.read_files(spark, inbox, entries.schema, files_per_batch=1)
-    out = G.ingest_stream(stream, content, S.url_status(spark, d), S.AS_OF, W.new_output(spark, "ingest"))
+        # as many files as the entries have partitions: no task holds a delivery
+        entries.where(F.col("pos").between(i * rounds, i * rounds + rounds - 1)).write.mode("append").parquet(inbox)
+        G.ingest_stream(W.read_files(spark, inbox, entries.schema), content, status, S.AS_OF, out)
     return G.streamed_content(content, out).select(*WHOLE.split(", "))
 
 

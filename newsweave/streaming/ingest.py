@@ -1,8 +1,8 @@
 """Ingest of a stream of feed entries: the whole job in each micro-batch.
 
-Entries are cleaned, classified and checked against the crawl status as they come. What is known of a URL is keyed state:
-present means the article is stored or was inserted, and the value says whether it has a picture. So a batch meets only the
-state of its own URLs; nothing that earlier batches wrote is read again but the last id they gave. The stored articles enter the state once, with the
+Entries are cleaned, classified and checked against the crawl status as they come. What is known of a URL is state, keyed by small buckets of
+URLs (a Python call for each URL costs far more than its work): present means the article is stored or was inserted, and the value says whether
+it has a picture. So a batch meets only the buckets of its own URLs; nothing that earlier batches wrote is read again but the last id they gave. The stored articles enter the state once, with the
 first batch, and ``forget`` takes URLs out again that retention removed.
 
 For a URL that is not known, the first eligible entry of the batch in round order is inserted, with the first picture that it or a
@@ -30,7 +30,11 @@ from newsweave.streaming.streams import run_to_table
 ENTRY = ("link string, pos long, source_name string, source_id long, title string, summary string, published_at timestamp, topic string, "
          "image_url string, method string, ai_used boolean, confidence double, reason string, eligible boolean, what string")
 COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
+NAMED = {"what", "link", "image_url"}
 LINKS = "what string, link string, image_url string"
+#: Stored URLs of a bucket when the stream starts: what one Python call decides, and what a batch that meets one of them writes anew.
+BUCKET_URLS = 256
+STATE = "links array<string>, pictured array<boolean>"
 
 
 def checked_entries(entries: DataFrame, url_status: DataFrame, as_of, vocab: Vocabulary | None = None, scores: str | None = None) -> DataFrame:
@@ -44,30 +48,46 @@ def checked_entries(entries: DataFrame, url_status: DataFrame, as_of, vocab: Voc
 
 
 def decide(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """What the rows of one URL in a batch lead to: a row to insert, a picture for a known article, or nothing."""
-    rows = pd.concat(list(parts))
-    known, pictured = state.exists, state.exists and state.get[0]
-    held = rows[rows["what"] == "stored"]
-    if len(held):
-        known, pictured = True, bool(pictured or (held["image_url"].fillna("") != "").any())
-    if (rows["what"] == "gone").any():
-        known = pictured = False
-    entries = rows[rows["what"] == "entry"].sort_values(ROUND, kind="stable")
-    out = None
-    if not known and entries["eligible"].any():
-        at = entries["eligible"].to_numpy().argmax()
-        out, entries = entries.iloc[at:at + 1].assign(what="insert"), entries.iloc[at:]
-    if not pictured and (known or out is not None):
-        offers = entries["image_url"][entries["image_url"].fillna("") != ""]
-        if len(offers):
-            pictured = True
-            out = (entries.iloc[:1].assign(what="picture") if out is None else out).assign(image_url=offers.iloc[0])
-    if known or out is not None:
-        state.update((bool(pictured),))
-    elif state.exists:
+    """What the rows of one bucket of URLs in a batch lead to: rows to insert and pictures for known articles, at most one row for a URL."""
+    rows = pd.concat(list(parts)).sort_values(ROUND, kind="stable")
+    before = dict(zip(*state.get)) if state.exists else {}
+    known = dict(before)
+    whats, links, pictures = rows["what"].tolist(), rows["link"].tolist(), rows["image_url"].fillna("").tolist()
+    for what, link, picture in zip(whats, links, pictures):
+        if what == "stored":
+            known[link] = known.get(link, False) or picture != ""
+    for what, link in zip(whats, links):
+        if what == "gone":
+            known.pop(link, None)
+    chosen: dict = {}
+    for i, (what, link, picture, eligible) in enumerate(zip(whats, links, pictures, rows["eligible"].tolist())):
+        if what != "entry":
+            continue
+        if link not in known:
+            if not eligible:
+                continue
+            known[link], chosen[link] = False, [i, "insert", rows["image_url"].iat[i]]
+        if not known[link] and picture:
+            known[link] = True
+            chosen.setdefault(link, [i, "picture", None])[2] = picture
+    if known and known != before:
+        state.update((list(known), list(known.values())))
+    elif not known and state.exists:
         state.remove()
-    if out is not None:
-        yield out[COLUMNS]
+    if chosen:
+        at, what, picture = zip(*chosen.values())
+        yield rows.iloc[list(at)].assign(what=list(what), image_url=list(picture))[COLUMNS]
+
+
+def buckets_of(content: DataFrame, out: str) -> int:
+    """Buckets of the URLs in the state of the stream into ``out``: chosen for its first run by the number of stored articles, and kept beside it."""
+    spark = content.sparkSession
+    try:
+        return spark.read.parquet(f"{out}/buckets").first()["n"]
+    except AnalysisException:
+        least = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.range(1).select(F.lit(max(least, content.count() // BUCKET_URLS)).alias("n")).write.parquet(f"{out}/buckets")
+        return buckets_of(content, out)
 
 
 def seeded(spark: SparkSession, content: DataFrame, out: str) -> DataFrame:
@@ -92,8 +112,11 @@ def ingest_stream(entries: DataFrame, content: DataFrame, url_status: DataFrame,
     table that the first run starts from. Returns ``out``; ``streamed_content`` reads it."""
     spark = content.sparkSession
     fresh = checked_entries(entries, url_status, as_of, vocab, scores)
-    links = seeded(spark, content, out).select(*[F.col(c) if c in LINKS else F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in ENTRY.split(", "))])
-    decided = fresh.unionByName(links).groupBy("link").applyInPandasWithState(decide, ENTRY, "pictured boolean", "append", GroupStateTimeout.NoTimeout)
+    # numbers instead of nulls, which would make floats of the entries' numbers in pandas
+    blank = {"string": None, "timestamp": None, "long": 0, "double": 0.0, "boolean": False}
+    links = seeded(spark, content, out).select(*[F.col(c) if c in NAMED else F.lit(blank[kind]).cast(kind).alias(c) for c, kind in (x.split() for x in ENTRY.split(", "))])
+    bucket = F.pmod(F.xxhash64("link"), F.lit(buckets_of(content, out))).alias("bucket")
+    decided = fresh.unionByName(links).select(bucket, "*").groupBy("bucket").applyInPandasWithState(decide, ENTRY, STATE, "append", GroupStateTimeout.NoTimeout)
 
     def each(batch: DataFrame, number: int) -> DataFrame:
         chosen = f"{out}/decided/batch={number}"

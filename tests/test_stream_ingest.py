@@ -96,3 +96,43 @@ def test_forgotten_urls_are_new(spark, tmp_path):
     run(spark, inbox, content, status, out)
     deliver(entry, inbox, 0, 1)
     assert len(run(spark, inbox, content, status, out)) == len(before) + 1
+
+
+class Held:
+    """A state of a bucket."""
+
+    def __init__(self, value=None):
+        self.get = value
+
+    exists = property(lambda self: self.get is not None)
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+
+def test_one_call_decides_a_bucket():
+    """Several URLs in one call, each by its own rows and state."""
+    import pandas as pd
+
+    blank = dict.fromkeys(G.COLUMNS)
+    row = lambda what, link, pos=0, image=None, eligible=False: {**blank, "what": what, "link": link, "pos": pos, "source_name": "f", "source_id": 1, "image_url": image, "eligible": eligible}
+    state = Held((["old", "bare", "gone"], [True, False, True]))
+    rows = pd.DataFrame([row("entry", "new", 3, "late"), row("entry", "new", 1, "early"), row("entry", "new", 2, eligible=True), row("entry", "old", 0, "x", True),
+                         row("entry", "bare", 2, "second"), row("entry", "bare", 1, "first"), row("entry", "down", 0, "x"), row("gone", "gone"), row("stored", "kept", image="y")])
+    out = pd.concat(list(G.decide((0,), iter([rows.iloc[:4], rows.iloc[4:]]), state)))
+    assert sorted(zip(out["link"], out["what"], out["pos"], out["image_url"])) == [("bare", "picture", 1, "first"), ("new", "insert", 2, "late")]
+    assert dict(zip(*state.get)) == {"old": True, "bare": True, "new": True, "kept": True}
+    before = state.get
+    assert list(G.decide((0,), iter([rows.iloc[3:4]]), state)) == [] and state.get is before
+    assert list(G.decide((0,), iter([pd.DataFrame([row("gone", k) for k in ("old", "bare", "new", "kept")])]), state)) == [] and not state.exists
+
+
+def test_buckets_stay(spark, tmp_path):
+    """Their number follows the stored articles and is that of the first run for good."""
+    out = str(tmp_path / "out")
+    least = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert G.buckets_of(spark.range(G.BUCKET_URLS * (least + 1)), out) == least + 1
+    assert G.buckets_of(spark.range(1), out) == least + 1 and G.buckets_of(spark.range(1), out + "2") == least
