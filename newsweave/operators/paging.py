@@ -1,6 +1,6 @@
 """Pages at any depth: keys in range partitions with counts, and seek keys.
 
-The keys of a table are written once in the order of the pages, in partitions of about ``PAGE_ROWS`` rows, beside the number of rows of
+The keys of a table are written once in the order of the pages, in at most ``MAX_PARTS`` partitions of about ``PAGE_ROWS`` rows, larger ones beyond, beside the number of rows of
 each. A page at an offset is looked up in the counts (one number for each partition) and read from the partitions it lies in, so its
 cost does not depend on the offset and no task sorts more than a few partitions. Who has the last row of a page continues by its key instead
 (``after``), without any index.
@@ -18,6 +18,8 @@ from newsweave.operators.ranking import page
 from newsweave.session import scratch_path
 
 PAGE_ROWS = 100_000
+#: Most partitions of an index, whatever a table holds: their bounds, counts and files are all that the driver hears of.
+MAX_PARTS = 1000
 
 
 @dataclass(frozen=True)
@@ -48,10 +50,11 @@ class PageIndex:
 
 
 def page_index(articles: DataFrame, page_rows: int = PAGE_ROWS, path: str | None = None) -> PageIndex:
-    """Index over (id, published_at, and further narrow columns) of ``articles``."""
+    """Index over (id, published_at, and further narrow columns) of ``articles``, in partitions of ``page_rows`` rows or, if those were more than
+    ``MAX_PARTS``, in that many."""
     spark = articles.sparkSession
     path = path or scratch_path(spark, "pages")
-    parts = max(1, -(-articles.count() // page_rows))
+    parts = min(MAX_PARTS, max(1, -(-articles.count() // page_rows)))
     # as many parts as asked for, also where few keys are sampled
     dealt = articles.repartitionByRange(parts, *newest_first()).withColumn("part", F.spark_partition_id())
     dealt.sortWithinPartitions("part", *newest_first()).write.partitionBy("part").parquet(path)

@@ -58,3 +58,12 @@ def test_seek(articles):
 def test_empty(spark, articles):
     index = G.page_index(articles[1].limit(0))
     assert index.page(10).collect() == [] and index.page(10, 100).collect() == []
+
+
+def test_parts_are_bounded(articles, monkeypatch):
+    """Pages of few rows do not cut a large table into ever more partitions."""
+    rows, df = articles
+    monkeypatch.setattr(G, "MAX_PARTS", 12, raising=False)
+    index, want = G.page_index(df, 5), ordered(rows)
+    assert len(index.rows) == 12 and sum(index.rows) == 1000
+    assert [tuple(r) for r in index.page(30, 500).collect()] == want[500:530]
