@@ -107,7 +107,9 @@ def stream_sessions(spark, d):
 def written_feeds(spark, d, folder, part):
     """Half of the feed documents as files, numbered within their feed."""
     docs = feed_documents(spark, d).where(F.col("part") % 2 == part)
-    docs.select("source_id", (F.col("part") + part * 1_000_000).alias("number"), "xml").repartition("source_id", "number").write.mode("append").partitionBy("source_id", "number").text(folder)
+    docs.select("source_id", (F.col("part") + part * 1_000_000).alias("number"), "xml").repartition("source_id", "number").write.mode("append").partitionBy("source_id", "number").option(
+        # each task puts its many files in place itself instead of leaving all of them to the driver
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
 
 
 @query(ORACLE["parse_feed_xml"])

@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+#: Runs of a batch beyond which they hold more documents, so that a backlog makes longer tasks, not ever more of them.
+MAX_RUNS = 400
+
 SCHEMA = "source_id long, number long, fetched_at timestamp, xml string"
 
 
@@ -58,16 +61,17 @@ class Folder:
         self.per_task = int(options.get("documents_per_task", 100))
 
     def runs(self, after: dict[str, int], upto: dict[str, int] | None = None) -> list[Run]:
-        """Documents behind the numbers ``after`` (by feed) and up to those of ``upto``, in runs of at most ``documents_per_task``."""
+        """Documents behind the numbers ``after`` (by feed) and up to those of ``upto``, in runs of at most ``documents_per_task``, or of
+        a ``MAX_RUNS``-th of all where that is more."""
         system, path = opened(self.root)
-        out = []
+        found = {}
         for feed in numbers_in(system, path, self.feed_column):
             low, high = after.get(str(feed), -1), None if upto is None else upto.get(str(feed), -1)
             if high is not None and high <= low:
                 continue
-            wanted = [n for n in numbers_in(system, f"{path}/{self.feed_column}={feed}", self.number_column) if n > low and (high is None or n <= high)]
-            out += [Run(feed, tuple(wanted[i:i + self.per_task])) for i in range(0, len(wanted), self.per_task)]
-        return out
+            found[feed] = [n for n in numbers_in(system, f"{path}/{self.feed_column}={feed}", self.number_column) if n > low and (high is None or n <= high)]
+        length = max(self.per_task, -(-sum(map(len, found.values())) // MAX_RUNS))
+        return [Run(feed, tuple(wanted[i:i + length])) for feed, wanted in found.items() for i in range(0, len(wanted), length)]
 
     def ends(self) -> dict[str, int]:
         """The last number of every feed."""

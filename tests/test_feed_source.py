@@ -55,3 +55,14 @@ def test_partitions(tmp_path):
     assert folder.ends() == {"1": 24, "2": 4}
     missing = X.Folder({"root": f"{root}/nothing"})
     assert missing.runs({}) == [] and missing.ends() == {}
+
+
+def test_a_backlog_makes_longer_runs(tmp_path, monkeypatch):
+    """No more tasks for more documents: runs grow beyond ``documents_per_task``."""
+    monkeypatch.setattr(X, "MAX_RUNS", 5, raising=False)
+    for feed in (1, 2):
+        for number in range(30):
+            put(str(tmp_path), feed, number, "x")
+    runs = X.Folder({"root": str(tmp_path), "documents_per_task": "2"}).runs({})
+    assert [(r.feed, len(r.numbers)) for r in runs] == [(1, 12), (1, 12), (1, 6), (2, 12), (2, 12), (2, 6)]
+    assert [n for r in runs if r.feed == 2 for n in r.numbers] == list(range(30))
