@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 last return the columns of ``documents``. A table with the same ids in several rows keeps or drops each row by its own text,
 but for near duplicates, of which the row with the smallest id (and of equal ids one) stays.
 
-1. quality: rows that the rules or the perplexity bands reject go; the first model is learnt from the rows labelled good.
+1. quality: rows that the rules or the perplexity bands reject go; the first model is learnt from all rows labelled good.
 2. toxicity: rows with a score of 0.5 or more go; learnt from the labelled rows among those that are left.
 3. near duplicates: of each group of rows whose SimHash fingerprints (three-word shingles) are linked at two or fewer differing bits one row stays.
 4. decontamination: rows in which a benchmark item stands go.

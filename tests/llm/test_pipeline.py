@@ -40,6 +40,23 @@ def test_quality(stages, read):
     assert kept == {r["doc_id"] for r in quality.judged(before, labels=read("labels")).collect() if r["kept"]}
 
 
+def test_quality_learns_from_every_good_label(spark, docs_of, tmp_path, monkeypatch):
+    """No id is kept out of the counts: the first model of the stage sees each text labelled good."""
+    texts = [f"number {i} of the plain words " * 5 for i in range(40)]
+    docs = docs_of([*texts, None])
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(41)] + [(None, 1)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    counted = []
+
+    def seen(docs, text, first=None, count=quality.count_grams):
+        if first is None:
+            counted.append(sorted(r[text] for r in docs.collect()))
+        return count(docs, text, first)
+    monkeypatch.setattr(quality, "count_grams", seen)
+    assert cp.quality_stage(spark, docs, str(tmp_path)).columns == cp.COLUMNS
+    assert counted == [sorted(t for i, t in enumerate(texts) if i % 4)]
+
+
 def test_toxicity(stages, read):
     before, after = stages[1]
     kept = ids(after)
