@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -41,14 +42,22 @@ def longest_of(keywords: Iterable[str]) -> str:
 
 def found_strings(text: Column, keywords: Iterable[str]) -> Column:
     """Distinct strings found by looking for the longest keyword at **every** position of ``text``.
-    Any keyword that occurs in the text is the beginning of one of them."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({longest_of(keywords)}))"), F.lit(1)))
+    Any keyword that occurs in the text is the beginning of one of them. Python's ``re`` passes over the positions
+    where no keyword starts several times faster than the engine of the column functions."""
+    pattern = f"(?=({longest_of(keywords)}))"
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        find = re.compile(pattern).findall
+        return pd.Series([None if t is None else list(dict.fromkeys(find(t))) for t in texts], dtype=object)
+
+    return found(text)
 
 
 def hits(found: Column, keywords: Iterable[str]) -> Column:
     """How many list entries occur, as plain substrings, in the text that ``found`` comes from. One
     higher-order call over a literal array: the plan does not grow with the list."""
-    return F.size(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.exists(found, lambda f: f.startswith(k))))
+    return let(found, lambda finds: F.size(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.exists(finds, lambda f: f.startswith(k)))))
 
 
 def _by_edges(keywords: Iterable[str]) -> dict[tuple[bool, bool], list[str]]:

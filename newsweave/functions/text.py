@@ -88,9 +88,10 @@ def sanitize_pii(c, max_len: int | None = 1000) -> Column:
     """Email addresses, phone numbers and links masked; then at most ``max_len`` characters
     (``None`` keeps the whole text)."""
     s = _col(c)
-    s = F.regexp_replace(s, rf"{EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{EDGE}", "[EMAIL]")
-    s = F.regexp_replace(s, rf"{EDGE}\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{4}}{EDGE}", "[PHONE]")
-    s = F.regexp_replace(s, rf"{EDGE}\+\p{{Nd}}{{1,3}}[-.]?\p{{Nd}}{{3,4}}[-.]?\p{{Nd}}{{4,}}{EDGE}", "[PHONE]")
+    # what a match must hold is looked for before the edges of words, which are costly at every position
+    s = F.when(s.contains("@"), F.regexp_replace(s, rf"{EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{EDGE}", "[EMAIL]")).otherwise(s)
+    s = F.regexp_replace(s, rf"(?=\p{{Nd}}{{3}}){EDGE}\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{4}}{EDGE}", "[PHONE]")
+    s = F.regexp_replace(s, rf"(?=\+){EDGE}\+\p{{Nd}}{{1,3}}[-.]?\p{{Nd}}{{3,4}}[-.]?\p{{Nd}}{{4,}}{EDGE}", "[PHONE]")
     s = F.regexp_replace(s, f"https?://{NOT_WS}+", "[URL]")
     return s if max_len is None else F.left(s, F.lit(max_len))
 

@@ -35,6 +35,12 @@ def test_sanitize_pii(one):
         "mail [EMAIL] or [PHONE], see [URL] ok", "éa@b.com", "y" * 1000]
 
 
+def test_masks_beside_letters_and_marks(one):
+    texts = ["a@b.co", "555-123-4567+65 123 4567", "x555-123-4567", "é+65-1234-5678", "+65-1234-5678", "no mail +", "@", None, "٣٣٣-123-4567 b.x@ex.com"]
+    assert one(X.sanitize_pii("t"), t=texts) == ["[EMAIL]", "[PHONE]+65 123 4567", "x555-123-4567", "é[PHONE]", "+65-1234-5678", "no mail +", "@", None,
+                                                 "[PHONE] [EMAIL]"]
+
+
 def test_summarizer_and_points(one):
     assert one(X.summarizer_input("a", "b"), a=["A title", "A title of some length", "T"], b=["x" * 60 + "...", "", "short"]) == [
         "A title. " + "x" * 60, "A title of some length", None]
