@@ -143,7 +143,8 @@ def ingest(t: Tables, feed_items: DataFrame, url_status: DataFrame, as_of, vocab
     image_url): old articles go, new ones come in round robin, missing pictures are filled. Without ``rounds`` the run
     does not end at the first round that inserts nothing."""
     kept = retention_days(t, as_of)
-    entries = prepared(entry_defaults(feed_cap(feed_items, cap), as_of), vocab, scores)
+    # the entries are chosen from and offer pictures: parsed, cleaned and classified once
+    entries = cut_lineage(prepared(entry_defaults(feed_cap(feed_items, cap), as_of), vocab, scores))
     fits = within_lengths({"title": "title", "link": "article_url"})
     eligible = reachable(entries.where(A.has_topic() & fits), url_status)
     # used four times below: classified and chosen once
