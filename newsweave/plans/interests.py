@@ -8,7 +8,7 @@ page lies, and each reader gets exactly one page. ``articles_of_interests`` give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.operators import articles as A
@@ -17,8 +17,11 @@ from newsweave.plans.feeds import LIST, TURN, interest_sets, list_topics, served
 from newsweave.session import cut_lineage
 
 PLACE = "_place"
-#: Parts into which a whole list is cut where it meets its readers, so that a list many readers share is no single task's.
-SLICES = 32
+#: Whole lists meet their readers in pieces of so many articles and about so many readers, so what is moved is a small part of the pairs.
+ARTICLES, READERS = 1000, 1000
+#: Pairs that a task is to make, and most tasks. Their number comes from the pairs: the planner would see the few rows moved and take few tasks.
+TASK_PAIRS, MOST_TASKS = 2_000_000, 5000
+PIECE = [LIST, "_part", "_crew"]
 
 
 def topic_runs(articles: DataFrame, depth: int | None = None) -> DataFrame:
@@ -67,12 +70,37 @@ def page_of_interests(articles: DataFrame, user_topics: DataFrame, k: int, pages
     return out
 
 
+def numbered_lists(articles: DataFrame, sets: DataFrame) -> DataFrame:
+    """(_list, id, topic, published_at, position): the whole list of every set of interests, numbered newest first by a distributed sort."""
+    listed = articles.where(A.has_topic()).select("topic", "id", "published_at").join(list_topics(sets), "topic")
+    return cut_lineage(position_in_group(listed.select(LIST, "topic", "id", "published_at"), [LIST], A.newest_first(), "position"))
+
+
+def part_of(position: str = "position") -> Column:
+    """Part of a list in which a position lies."""
+    return F.floor((F.col(position) - 1) / ARTICLES).cast("int").alias("_part")
+
+
+def in_pieces(sets: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(readers in every part of their list, the lists for every crew of their readers, number of tasks). Both carry the columns of
+    ``PIECE``; a piece has at most ``ARTICLES`` articles and about ``READERS`` readers."""
+    sizes = lists.groupBy(LIST).agg(F.count("*").alias("_articles")).join(sets.groupBy(LIST).agg(F.count("*").alias("_readers")), LIST)
+    sizes = cut_lineage(sizes.withColumns({"_parts": F.ceil(F.col("_articles") / ARTICLES).cast("int"), "_crews": F.ceil(F.col("_readers") / READERS).cast("int")}))
+    pairs = sizes.select(F.sum(F.col("_articles") * F.col("_readers"))).first()[0] or 0
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    readers = sets.select("user_id", LIST).join(sizes, LIST).select(
+        "user_id", LIST, F.pmod(F.xxhash64("user_id"), "_crews").cast("int").alias("_crew"), every("_parts").alias("_part"))
+    rows = lists.join(sizes.select(LIST, "_crews"), LIST).select(*lists.columns, part_of(), every("_crews").alias("_crew"))
+    return readers, rows, max(1, min(MOST_TASKS, -(-pairs // TASK_PAIRS)))
+
+
+def met(readers: DataFrame, rows: DataFrame, tasks: int) -> DataFrame:
+    """Every reader of a piece with every article of it."""
+    return readers.repartition(tasks, *PIECE).join(rows.repartition(tasks, *PIECE), PIECE)
+
+
 def articles_of_interests(articles: DataFrame, user_topics: DataFrame) -> DataFrame:
     """(user_id, id, topic, published_at, position): every article of each reader's interests, numbered newest first. Lists are sorted and
     numbered once per set of interests, by a distributed sort; only then do they meet the readers, so no reader's list is sorted by itself."""
     sets = cut_lineage(interest_sets(user_topics))
-    listed = articles.where(A.has_topic()).select("topic", "id", "published_at").join(list_topics(sets), "topic")
-    lists = position_in_group(listed.select(LIST, "topic", "id", "published_at"), [LIST], A.newest_first(), "position")
-    readers = sets.select("user_id", LIST, F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("_slice"))
-    sliced = lists.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
-    return readers.join(sliced, [LIST, "_slice"]).select("user_id", "id", "topic", "published_at", "position")
+    return met(*in_pieces(sets, numbered_lists(articles, sets))).select("user_id", "id", "topic", "published_at", "position")

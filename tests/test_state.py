@@ -123,3 +123,37 @@ def test_registered_interest_joins_are_whole(spark, tmp_path):
     read = S.interactions(spark, str(tmp_path)).where("is_read").join(content.withColumnRenamed("id", "content_id"), "content_id").join(wanted, ["user_id", "topic"]).count()
     for name, n in (("join_user_interests", pairs), ("join_article_user_state", pairs), ("anti_read_by_user", pairs - read)):
         assert QUERIES[name](spark, str(tmp_path)).count() == n
+
+
+def wanted_pairs(articles, wants):
+    return sorted(((u, a[0]) for u in {u for u, _ in wants} for a in articles if (u, a[1]) in wants and a[1]), key=str)
+
+
+def test_whole_lists_meet_readers_in_pieces(spark, monkeypatch):
+    """As many tasks as the pairs ask for, though few rows are moved; each pair once, over the edges of pieces too."""
+    monkeypatch.setattr(N, "ARTICLES", 7)
+    monkeypatch.setattr(N, "READERS", 3)
+    monkeypatch.setattr(N, "TASK_PAIRS", 100)
+    articles = [(i, "ab"[i % 3 > 1], datetime(2024, 1, 1 + i % 20)) for i in range(90)] + [(3, "a", None), (3, "a", None)]
+    wants = [(u, t) for u in range(20) for t in "ab"[: 1 + u % 2]] + [(77, "b"), (None, "a")]
+    content, interests = spark.createDataFrame(articles, "id long, topic string, published_at timestamp"), spark.createDataFrame(wants, "user_id long, topic string")
+    found = N.articles_of_interests(content, interests)
+    want = wanted_pairs(articles, wants)
+    assert found.rdd.getNumPartitions() >= len(want) // 100 > 8
+    assert sorted(((r["user_id"], r["id"]) for r in found.collect()), key=str) == want
+
+
+@pytest.mark.parametrize("name", ["join_user_interests"])
+def test_pairs_are_not_moved(spark, sf, name, plain_joins):
+    """Nothing is exchanged above the join that makes the pairs."""
+    from newsweave.catalog import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(re.match(r"^[\s:+\-*|]*(\(\d+\) )?", line).group(0))
+    at = next(i for i, line in enumerate(plan) if "Join" in line and "_part" in line and "_crew" in line)
+    level, above = depth(plan[at]), []
+    for line in reversed(plan[:at]):
+        if line.strip() and depth(line) < level:
+            level = depth(line)
+            above.append(line)
+    assert above and not [line for line in above if "Exchange" in line]
