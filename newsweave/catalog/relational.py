@@ -165,11 +165,18 @@ def state_table(spark, d):
     return Z.read_state(spark, Z.write_state(S.interactions(spark, d)))
 
 
+def pages_by_state(spark, d):
+    """The state; the rows of ``pages`` that it knows; all others."""
+    state = state_table(spark, d)
+    return state, *N.split_by_state(S.content(spark, d), S.user_topics(spark, d), state)
+
+
 @query(sql("content interactions user_topics", """select p.user_id, p.id, coalesce(i.is_read, false) as is_read,
  coalesce(i.is_liked, false) as is_liked, coalesce(i.is_liked, false) as is_saved, i.interaction_at
  from page p left join interactions i on i.content_id = p.id and i.user_id = p.user_id""", page=PAGE))
 def join_article_user_state(spark, d):
-    return A.with_state(pages(spark, d).select("user_id", "id"), state_table(spark, d))
+    state, known, others = pages_by_state(spark, d)
+    return A.with_state(known, state).unionByName(A.never_seen(others))
 
 
 @query(sql("content touches", "select c.id, coalesce(t.n, 0) as interaction_count, coalesce(t.reads, 0) as view_count from content c left join touches t on t.content_id = c.id"))

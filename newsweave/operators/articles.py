@@ -45,6 +45,12 @@ def with_state(user_articles: DataFrame, interactions: DataFrame) -> DataFrame:
     return flags_defaulted(joined.drop("_u", "_c"))
 
 
+def never_seen(user_articles: DataFrame) -> DataFrame:
+    """What ``with_state`` gives for rows without state."""
+    unset = F.lit(None).cast("boolean")
+    return flags_defaulted(user_articles.withColumns({"is_read": unset, "is_liked": unset, "interaction_at": F.lit(None).cast("timestamp")}))
+
+
 def flags_defaulted(df: DataFrame) -> DataFrame:
     liked = F.coalesce("is_liked", F.lit(False))
     return df.withColumns({"is_read": F.coalesce("is_read", F.lit(False)), "is_liked": liked, "is_saved": liked})

@@ -3,7 +3,8 @@
 Articles are sorted once per topic (runs). Readers with the same set of interests share a list, which is the merge of the runs of
 its topics. A page takes the next ``k`` places of each run behind the list's cursor and keeps the newest ``k`` of them; the cursor then moves by
 what was taken of each run. So a page costs lists x topics x k narrow rows, whatever a topic holds and however deep the
-page lies, and each reader gets exactly one page. ``articles_of_interests`` gives every reader the whole list instead.
+page lies, and each reader gets exactly one page. ``articles_of_interests`` gives every reader the whole list instead, and ``split_by_state`` the
+same pairs parted by whether a stored state knows them. Pairs of a reader and an article are made where they are used and never moved.
 """
 
 from __future__ import annotations
@@ -104,3 +105,19 @@ def articles_of_interests(articles: DataFrame, user_topics: DataFrame) -> DataFr
     numbered once per set of interests, by a distributed sort; only then do they meet the readers, so no reader's list is sorted by itself."""
     sets = cut_lineage(interest_sets(user_topics))
     return met(*in_pieces(sets, numbered_lists(articles, sets))).select("user_id", "id", "topic", "published_at", "position")
+
+
+def split_by_state(articles: DataFrame, user_topics: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (user_id, id) of ``articles_of_interests`` in two tables: those with a row in ``state``, and all others.
+
+    The rows of the state are looked up in the lists, not the pairs in the state, so the first table is no larger than the state's part in the
+    lists. Of the second a reader brings along the places to leave out in each part of a list, ``ARTICLES`` at most."""
+    sets = cut_lineage(interest_sets(user_topics))
+    lists = numbered_lists(articles, sets).select(LIST, "id", "position")
+    keys = state.select("user_id", F.col("content_id").alias("id")).distinct()
+    known = cut_lineage(keys.join(sets.select("user_id", LIST), "user_id").join(lists, [LIST, "id"]).select("user_id", "id", "position"))
+    places = known.groupBy("user_id", part_of()).agg(F.collect_list("position").alias("_known"))
+    readers, rows, tasks = in_pieces(sets, lists)
+    rest = met(readers.join(places, ["user_id", "_part"], "left"), rows, tasks)
+    rest = rest.where(~F.coalesce(F.array_contains("_known", F.col("position")), F.lit(False)))
+    return known.select("user_id", "id"), rest.select("user_id", "id")

@@ -143,7 +143,30 @@ def test_whole_lists_meet_readers_in_pieces(spark, monkeypatch):
     assert sorted(((r["user_id"], r["id"]) for r in found.collect()), key=str) == want
 
 
-@pytest.mark.parametrize("name", ["join_user_interests"])
+def test_pairs_split_by_state(spark, monkeypatch):
+    """Rows that the state knows and all others, against sets; repeated and null ids, a null reader, and a reader who has seen all."""
+    monkeypatch.setattr(N, "ARTICLES", 7)
+    monkeypatch.setattr(N, "READERS", 3)
+    rng = random.Random(8)
+    articles = [(i, rng.choice("aab"), datetime(2024, 1, 1 + i % 20)) for i in range(80)] + [(3, "a", None), (4, "b", None), (None, "a", None), (5, None, None)]
+    wants = [(u, t) for u in range(9) for t in "ab"[: 1 + u % 2]] + [(1, "a"), (None, "a")]
+    keys = {(u, rng.randrange(99)) for u in range(9) for _ in range(9)} | {(7, i) for i in range(80)} | {(None, 3), (2, None), (500, 1)}
+    state = spark.createDataFrame([(u, c, rng.random() < 0.5, rng.random() < 0.5, datetime(2024, 2, 1)) for u, c in keys], "user_id long, content_id long, is_read boolean, is_liked boolean, interaction_at timestamp")
+    content, interests = spark.createDataFrame(articles, "id long, topic string, published_at timestamp"), spark.createDataFrame(wants, "user_id long, topic string")
+    known, others = N.split_by_state(content, interests, state)
+    stored = {(u, c) for u, c in keys if u is not None and c is not None}
+    want = wanted_pairs(articles, wants)
+    assert sorted(map(tuple, known.collect()), key=str) == [p for p in want if p in stored]
+    assert sorted(map(tuple, others.collect()), key=str) == [p for p in want if p not in stored]
+    # with the operators, as if all pairs had met the state
+    pages = N.articles_of_interests(content, interests).select("user_id", "id")
+    whole = lambda df: sorted(df.select(sorted(df.columns)).collect(), key=str)
+    assert whole(A.with_state(known, state).unionByName(A.never_seen(others))) == whole(A.with_state(pages, state))
+    assert whole(A.without_read(known, state).unionByName(others)) == whole(A.without_read(pages, state))
+    assert A.never_seen(others).select(sorted(A.never_seen(others).columns)).dtypes == A.with_state(known, state).select(sorted(A.with_state(known, state).columns)).dtypes
+
+
+@pytest.mark.parametrize("name", ["join_user_interests", "join_article_user_state"])
 def test_pairs_are_not_moved(spark, sf, name, plain_joins):
     """Nothing is exchanged above the join that makes the pairs."""
     from newsweave.catalog import QUERIES
