@@ -203,7 +203,8 @@ def anti_liked(spark, d):
 @query(sql("content interactions user_topics", """select user_id, id from page p
  where not exists (select 1 from interactions i where i.user_id = p.user_id and i.content_id = p.id and i.is_read)""", page=PAGE))
 def anti_read_by_user(spark, d):
-    return A.without_read(pages(spark, d).select("user_id", "id"), state_table(spark, d))
+    state, known, others = pages_by_state(spark, d)
+    return A.without_read(known, state).unionByName(others)
 
 
 # -- state -----------------------------------------------------------------------------

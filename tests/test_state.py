@@ -166,7 +166,7 @@ def test_pairs_split_by_state(spark, monkeypatch):
     assert A.never_seen(others).select(sorted(A.never_seen(others).columns)).dtypes == A.with_state(known, state).select(sorted(A.with_state(known, state).columns)).dtypes
 
 
-@pytest.mark.parametrize("name", ["join_user_interests", "join_article_user_state"])
+@pytest.mark.parametrize("name", ["join_user_interests", "join_article_user_state", "anti_read_by_user"])
 def test_pairs_are_not_moved(spark, sf, name, plain_joins):
     """Nothing is exchanged above the join that makes the pairs."""
     from newsweave.catalog import QUERIES
